@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import mixing, sharding
+from spillway.llm import mixing, ngram_join, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +15,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, _read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_pairs(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_mixing": op7_mixing,
 }
 ORACLE_SQL = {
     "op2_sharding": sharding.SQL.format(docs="documents"),
+    "op5_ngram_jaccard_join": ngram_join.PAIRS_SQL.format(docs="documents"),
     "op7_mixing": mixing.SQL.format(docs="documents"),
 }
