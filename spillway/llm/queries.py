@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import mixing, ngram_join, sharding
+from spillway.llm import decontaminate, mixing, ngram_join, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {
     "op2_sharding": sharding.SQL.format(docs="documents"),
     "op5_ngram_jaccard_join": ngram_join.PAIRS_SQL.format(docs="documents"),
     "op7_mixing": mixing.SQL.format(docs="documents"),
+    "op9_decontamination": decontaminate.SQL.format(docs="documents", benchmark="benchmark"),
 }
