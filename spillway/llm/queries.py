@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, mixing, ngram_join, sharding
+from spillway.llm import decontaminate, mixing, ngram_join, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +27,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op2_sharding": sharding.SQL.format(docs="documents"),
     "op5_ngram_jaccard_join": ngram_join.PAIRS_SQL.format(docs="documents"),
     "op7_mixing": mixing.SQL.format(docs="documents"),
     "op9_decontamination": decontaminate.SQL.format(docs="documents", benchmark="benchmark"),
+    "op10_substring_dedup": substring_dedup.SQL.format(docs="documents"),
 }
