@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, mixing, ngram_join, sharding, substring_dedup
+from spillway.llm import decontaminate, mixing, ngram_join, sharding, substring_dedup, suffix_array
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(spark, _read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeats(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
@@ -41,6 +46,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_sharding": sharding.SQL.format(docs="documents"),
     "op5_ngram_jaccard_join": ngram_join.PAIRS_SQL.format(docs="documents"),
+    "op6_suffix_array_dedup": suffix_array.SQL.format(docs="documents"),
     "op7_mixing": mixing.SQL.format(docs="documents"),
     "op9_decontamination": decontaminate.SQL.format(docs="documents", benchmark="benchmark"),
     "op10_substring_dedup": substring_dedup.SQL.format(docs="documents"),
