@@ -310,7 +310,8 @@ def _prepared(spark: SparkSession, docs: DataFrame, n: int, least: float, pairs:
     member = store.table(member.select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "home", "chunk"), "member")
     store.drop("edges")
     # Each text is moved once by its doc_id, then to its groups; only texts that have candidates go there.
-    with_text = member.join(texts.withColumnRenamed("doc_id", "v"), "v").select("g", "i", "j", "v", "home", "chunk", "text")
+    # Members grow with the corpus, so they are never broadcast.
+    with_text = member.hint("merge").join(texts.withColumnRenamed("doc_id", "v"), "v").select("g", "i", "j", "v", "home", "chunk", "text")
     with_text = with_text.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "v")
     found = with_text.mapInArrow(_verify(n, least, pairs), "a long, b long, jaccard double")
     return mapped.select("doc_id", "rep"), store.table(found, "found"), store
