@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, language_id, mixing, ngram_join, sharding, substring_dedup, suffix_array
+from spillway.llm import decontaminate, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.outliers(spark, _read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, _read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_outliers": op1_quality_outliers,
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
