@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array
+from spillway.llm import decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, substring_dedup, suffix_array
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(spark, _read(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(spark, _read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
+    "op4_pii_redaction": op4_pii_redaction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_mixing": op7_mixing,
