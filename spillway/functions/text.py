@@ -17,9 +17,14 @@ def _bytes(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
+def _text(b: Column) -> Column:
+    """Text of bytes that may begin or end inside a character, which is left out."""
+    return F.regexp_replace(F.make_valid_utf8(b.cast("string")), "^\ufffd+|\ufffd+$", "")
+
+
 def prefix(text: Column, start: Column) -> Column:
     """The text before a byte offset, cut back to whole characters."""
-    return F.decode(F.substring(_bytes(text), F.lit(1), start), "UTF-8")
+    return _text(F.substring(_bytes(text), F.lit(1), start))
 
 
 def line_of(text: Column, start: Column) -> Column:
@@ -41,15 +46,15 @@ def column_utf16(text: Column, start: Column) -> Column:
 def before(text: Column, start: Column) -> Column:
     """The line before a byte offset, of PREFIX_WINDOW bytes at most, in lower case."""
     lo = F.greatest(start - W.PREFIX_WINDOW, F.lit(0))
-    window = F.decode(F.substring(_bytes(text), lo + 1, start - lo), "UTF-8")
+    window = _text(F.substring(_bytes(text), lo + 1, start - lo))
     return F.lower(F.substring_index(window, "\n", -1))
 
 
 def line_text(text: Column, start: Column) -> Column:
     """The line of a byte offset, its first LINE_BYTES bytes."""
     head = F.substring_index(prefix(text, start), "\n", -1)
-    tail = F.substring_index(F.decode(F.substring(_bytes(text), start + 1, F.octet_length(text)), "UTF-8"), "\n", 1)
-    return F.regexp_replace(F.decode(F.substring(_bytes(F.concat(head, tail)), 1, W.LINE_BYTES), "UTF-8"), "\ufffd+$", "")
+    tail = F.substring_index(_text(F.substring(_bytes(text), start + 1, F.octet_length(text))), "\n", 1)
+    return _text(F.substring(_bytes(F.concat(head, tail)), 1, W.LINE_BYTES))
 
 
 def leading_name(line: Column) -> Column:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spillway.functions.text import has_any
-from spillway.ml.features import NAMES, vector
+from spillway.ml.features import NAMES, RATIO, vector
 
 THRESHOLD = 0.3
 
@@ -56,13 +59,24 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
-def score(model: Model, features: Column) -> Column:
-    @F.arrow_udf("double")
-    def run(x: pa.Array) -> pa.Array:
-        flat = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(NAMES))
-        return pa.array(model.predict(flat)) if len(flat) else pa.array([], pa.float64())
+def _batches(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            at = names.index("__x")
+            flat = np.array(batch.column(at).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(NAMES))
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(names.index("__v")).to_pylist()]
+            flat[:, RATIO] = [len(zlib.compress(b, 6)) / len(b) if b else 0.0 for b in raw]
+            kept = [k for k, n in enumerate(names) if n not in ("__x", "__v")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(model.predict(flat), pa.float64())], [*(names[k] for k in kept), "score"])
 
-    return run(features)
+    return run
+
+
+def scored(rows: DataFrame, model: Model, value: Column, name: Column, line: Column, path: Column, source: Column) -> DataFrame:
+    """rows with `score`, the probability that the value is a secret.  One pass of Python: the share that zlib leaves is taken there too."""
+    wide = rows.withColumns({"__x": vector(value, name, line, path, source, ratio=False), "__v": value})
+    return wide.mapInArrow(_batches(model), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def exempt(kind: Column, stage: Column) -> Column:
@@ -73,6 +87,6 @@ def exempt(kind: Column, stage: Column) -> Column:
 
 def gated(hits: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of scan.raw() that are exempt or score the threshold, with their score."""
-    value = F.decode(F.substring(F.encode("value", "UTF-8"), 1, 512), "UTF-8")
-    rows = hits.withColumn("score", score(model, vector(value, F.col("name"), F.col("text"), F.col("path"), F.col("source"))))
+    value = F.make_valid_utf8(F.substring(F.encode("value", "UTF-8"), 1, 512).cast("string"))
+    rows = scored(hits, model, value, F.col("name"), F.col("text"), F.col("path"), F.col("source"))
     return rows.where(exempt(F.col("type"), F.col("stage")) | (F.col("score") >= threshold) | (F.col("type") == "results_truncated"))

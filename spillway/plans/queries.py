@@ -134,7 +134,7 @@ def pos02_line_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 SELECT doc_id AS item_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, CAST(strlen(string_split(text, chr(10))[-1]) + 1 AS INTEGER) AS col, CAST(length(string_split(text, chr(10))[-1]) AS INTEGER) AS utf16_col,
-  lower(string_split(text, chr(10))[-1]) AS before FROM {docs} WHERE text IS NOT NULL AND strlen(text) - strlen(string_split(text, chr(10))[-1]) >= 0 AND strlen(string_split(text, chr(10))[-1]) <= 2048
+  lower(string_split(text, chr(10))[-1]) AS before FROM {docs} WHERE text IS NOT NULL AND strlen(string_split(text, chr(10))[-1]) <= 2048
 """)
 def pos01_end_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line, byte column, UTF-16 column and line prefix of the end of each text; those whose last line is longer than the window have a cut prefix and aren't compared."""

@@ -35,10 +35,9 @@ PATHS = (
 )
 PATHS_SQL = f"SELECT doc_id, k, {_fill('t')} AS path FROM (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS m FROM {{docs}}) d CROSS JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(PATHS)) + ") AS s(k, t)"
 
-_HEX = "'0123456789abcdef', 'ABCDEFGHIJKLMNOP'"
 #: Lines added to every document: (type, category, confidence, severity, stage, what stands before the value, the value in SQL, what stands after).
 LINES = (
-    ("aws_access_key_id", "cloud", 0.9, "high", "L1-regex", "cloud id AKIA as ", "concat('AKIA', upper(translate(substr(m, 1, 16), '0189', 'WXYZ')))", " here"),
+    ("aws_access_key_id", "cloud", 0.9, "high", "L1-regex", "cloud id AKIA as ", "concat('AKIA', upper(translate(substr(m, 1, 16), '0189', 'WQYZ')))", " here"),
     ("generic_password", "generic", 0.6, "medium", "L1-regex", 'password = "', "concat('Wq7(', substr(m, 1, 8), ')')", '"'),
     ("db_connection_string", "db", 0.9, "critical", "L1-regex", "dsn ", "concat('mysql://app:q', substr(m, 3, 9), 'Z@db1.internal/orders')", ""),
     ("stripe_secret_key", "payment", 0.9, "critical", "L1-regex", "pay with ", "concat('sk_live_', substr(m, 1, 12), upper(substr(m, 13, 12)))", ";"),
