@@ -16,7 +16,7 @@ def folder(spark, tmp_path_factory):
     say = lambda la, n: " ".join("".join(r.choice(SOUNDS[la]) for _ in range(r.randint(1, 4))) for _ in range(n))
     bench = [(k, say("en", 30)) for k in range(5)]
     docs = [(k, say(la, 50 + k % 60), la, f"s{k % 3}") for k, la in enumerate(["en", "de"] * 60)]
-    docs += [(500, docs[0][1], "en", "s0"), (501, docs[1][1] + " extra", "de", "s1"), (502, docs[0][1], "en", "s0"), (503, "", "en", "s0"), (504, None, "en", "s1"), (505, "0123 4567 " * 40, "en", "s2")]
+    docs += [(500, docs[0][1], "en", "s0"), (501, docs[1][1] + " extra", "de", "s1"), (502, docs[0][1], "en", "s0"), (503, "", "en", "s0"), (504, None, "en", "s1"), (505, "0123 4567 " * 40, None, "s2")]
     docs += [(600 + k, say("en", 20) + " " + b[1], "en", "s0") for k, b in enumerate(bench)]
     d = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([(*x, len(x[1] or "")) for x in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
