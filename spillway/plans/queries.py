@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spillway.detect import table
@@ -18,9 +18,9 @@ from spillway.functions import text as T
 from spillway.ml.features import features
 from spillway.operators import images, post, resolve, scan, spans, verify
 from spillway.plans import seeds
-from spillway.rules import catalogue
+from spillway.rules import catalogue, install
 from spillway.sinks import report
-from spillway.sources import files, trackers, web
+from spillway.sources import trackers, web
 from spillway.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,16 +628,9 @@ def jn17_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("WITH o AS (SELECT source, md5(string_agg(text, '' ORDER BY doc_id)) AS h FROM {docs} WHERE lang = 'en' GROUP BY 1), n AS (SELECT source, md5(string_agg(text, '' ORDER BY doc_id)) AS h FROM {docs} WHERE source <> 'src3' GROUP BY 1) SELECT source, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (source)")
 def jn15_16_rules_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as rule files: what a new set of files adds, changes and removes, by hash."""
-    digest = lambda rows: rows.groupBy("source").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "")).alias("h"))
+    digest = lambda rows: rows.groupBy("source").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "")).alias("hash"))
     docs = _docs(spark, sf_dir)
-    return diff(digest(docs.where("lang = 'en'")), digest(docs.where("source != 'src3'")), "source")
+    return install.diff(digest(docs.where("lang = 'en'")), digest(docs.where("source != 'src3'")), "source")
 
 
-def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """key and change of every file in either set: added, removed, changed or same."""
-    rows = old.select(key, F.col("h").alias("__old")).join(new.select(key, F.col("h").alias("__new")), key, "full_outer")
-    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") == F.col("__new"), "same").otherwise("changed")
-    return rows.select(key, change.alias("change"))
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Window", "diff", "files"]
+__all__ = ["ORACLE_SQL", "QUERIES"]
