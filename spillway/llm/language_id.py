@@ -30,6 +30,7 @@ from spillway.llm.tokens import raw, slices
 
 HIDDEN, STRETCH = 8, 128
 TRAIN_DOCS, TRAIN_PLACES, TRAIN_STRETCH, STEPS, BATCH = 600, 4, 48, 220, 192
+SPARE, LANGS = 8, 1000
 UND, MIN_PROBABILITY = "und", 0.4
 SCHEMA = "doc_id long, lang string, probability double, keep boolean, positions array<struct<label:string,n:long>>, runs array<struct<label:string,start:long,stop:long>>"
 
@@ -192,9 +193,16 @@ def predict(q: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
 
 def model(spark: SparkSession, docs: DataFrame) -> dict:
     """Trained on the labelled documents of least hashed doc_id, a bounded number for each language."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
-    picks = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    picks = picks.withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS).select("doc_id").distinct()
+    labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("hash"))
+    # The least hashes of a language are sought below a bound that SPARE times as many should pass, so no task sorts a language.
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bound = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(SPARE * TRAIN_DOCS)) / F.col("n")) * F.lit(2.0**64)
+    small = counts.limit(LANGS + 1).count() <= LANGS
+    near = labelled.join(F.broadcast(counts) if small else counts, "lang").where(F.col("hash") <= bound)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    picks = near.withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS).select("doc_id").distinct()
+    # At most TRAIN_DOCS a language: sent to the texts, which stay where they are.
+    picks = F.broadcast(picks) if small else picks
     places = F.expr(f"transform(sequence(0, {TRAIN_PLACES - 1}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), greatest(1, length(text) - {TRAIN_STRETCH})) as int), {TRAIN_STRETCH}))")
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(picks, "doc_id", "left_semi").select("doc_id", "lang", F.explode(places).alias("s")).where(f"octet_length(s) >= {TRAIN_STRETCH}")
     rows = sorted(tuple(r) for r in rows.collect())
