@@ -125,7 +125,7 @@ def looks_random(s: Column) -> Column:
 
 
 def has_ramp_tail(v: Column) -> Column:
-    shape = (F.octet_length(v) <= 16) | v.rlike("[A-Za-z0-9][^A-Za-z0-9][A-Za-z0-9]")
+    shape = (F.octet_length(v) <= 16) | v.rlike(W.INNER_SIGN)
     return _no_null(F.lower(v).rlike(_java(W.RAMP_TAIL)) & shape & ~F.exists(F.split(v, "[^A-Za-z0-9]+"), looks_random))
 
 
@@ -191,7 +191,7 @@ def base62_crc32(body: Column) -> Column:
 
 
 def github_checksum_ok(v: Column) -> Column:
-    rest = F.regexp_extract(v, r"^(?:gh[opusr]_|github_pat_)([A-Za-z0-9_]+)\z", 1)
+    rest = F.regexp_extract(v, _java(W.GITHUB), 1)
     n = F.char_length(rest)
     return _no_null((n >= 7) & (base62_crc32(F.substring(rest, F.lit(1), n - 6)) == F.right(rest, F.lit(6))))
 

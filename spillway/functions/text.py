@@ -78,7 +78,7 @@ def has_any(s: Column, words) -> Column:
 def redact(value: Column) -> Column:
     """Masked, but for four characters at either end; of a private key its kind and the start of its hash."""
     n = F.char_length(value)
-    kind = F.regexp_extract(F.trim(value), r"^-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----", 1)
+    kind = F.regexp_extract(F.trim(value), W.PEM_HEAD, 1)
     short = F.repeat(F.lit("*"), n)
     long = F.concat(F.left(value, F.lit(4)), F.repeat(F.lit("*"), F.least(F.lit(8), n - 8)), F.right(value, F.lit(4)))
     key = F.concat(F.trim(kind), F.lit(" [sha256:"), F.substring(F.sha2(value, 256), 1, 8), F.lit("]"))
@@ -135,7 +135,7 @@ def url_host(s: Column) -> Column:
     return lower_ascii(F.when(F.startswith(authority, F.lit("[")), F.regexp_extract(authority, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(authority, ":", 1)))
 
 
-LOCAL_HOSTS = ("0.0.0.0", "127.0.0.1", "::1", "[::1]", "localhost")
+LOCAL_HOSTS = ("localhost", "::1", "127.0.0.1", "[::1]", "0.0.0.0")
 SERVICE_HOSTS = ("database", "db", "host.docker.internal", "memcached", "mongo", "mongodb", "mysql", "postgres", "postgresql", "rabbitmq", "redis")
 
 

@@ -214,25 +214,25 @@ def _flags(name: str, sql: dict[str, str], columns: Callable[[Column], dict[str,
 
 _flags("flt12_13_placeholder", {"placeholder": _PLACE, "ref": _REF}, lambda v: {"placeholder": X.is_placeholder(v), "ref": X.is_template_ref(v)})
 _flags(
-    "flt14_23_uri_and_license", {"uri_ref": _REF.replace("(v,", f"({_CRED},"), "authority": "contains(v, '(?') OR contains(v, '[^')", "license": "regexp_matches(v, '^[A-Z0-9]{5}(-[A-Z0-9]{5}){3,}$')"},
+    "flt14_23_uri_and_license", {"uri_ref": _REF.replace("(v,", f"({_CRED},"), "authority": "contains(v, '(?') OR contains(v, '[^')", "license": "regexp_matches(v, '^([A-Z0-9]{5}-){3,}[A-Z0-9]{5}$')"},
     lambda v: {"uri_ref": X.uri_credential_is_ref(v), "authority": X.is_regex_authority(v), "license": X.is_license_key(v)},
 )
 _flags(
     "flt15_18_19_digest_and_path",
-    {"hex": _HEXRUN, "digest": f"{_HEXRUN} AND length(v) IN (32, 40, 56, 64, 96, 128)", "digest_named": f"{_HEXRUN} AND length(v) IN (40, 56, 64, 96, 128)", "code_path": "contains(v, '/') AND regexp_matches(v, '^[A-Za-z_$/]+$')", "recaptcha": "regexp_matches(v, '^6L[0-9A-Za-z_-]{38}$')"},
+    {"hex": _HEXRUN, "digest": f"{_HEXRUN} AND length(v) IN (32, 40, 56, 64, 96, 128)", "digest_named": f"{_HEXRUN} AND length(v) IN (40, 56, 64, 96, 128)", "code_path": "contains(v, '/') AND regexp_matches(v, '^[A-Za-z_$/]+$')", "recaptcha": "(length(v) = 40 AND regexp_matches(v, '^6L[[:word:]-]+$'))"},
     lambda v: {"hex": X.is_hex(v), "digest": X.is_digest(v, F.lit("etag ")), "digest_named": X.is_digest(v, F.lit("api key ")), "code_path": X.is_code_path(v), "recaptcha": X.is_recaptcha(v, F.lit("sitekey="))},
 )
 _flags(
     "flt20_21_password_shape",
     {"number": _NUM, "operator": _any("v", W.JS_OPERATORS), "escaped": "len(regexp_extract_all(v, '\\\\u[0-9a-fA-F]{4}')) >= 3 AND 30 * len(regexp_extract_all(v, '\\\\u[0-9a-fA-F]{4}')) >= 4 * length(v)",
-     "js": _any("v", W.JS_WORDS) + " OR regexp_matches(v, '^[A-Za-z_$][A-Za-z0-9_$]*([.][A-Za-z_$][A-Za-z0-9_$]*)+$')",
-     "identifier": "starts_with(v, '$') OR starts_with(v, '@') OR contains(v, '/') OR regexp_matches(v, '[A-Za-z_][A-Za-z0-9_]*[(]') OR regexp_matches(v, '^[a-z]+(_[a-z]+)+$') OR regexp_matches(v, '^[A-Z][a-z]+([A-Z][a-z]+){2,}$') OR " + " OR ".join(
+     "js": _any("v", W.JS_WORDS) + " OR regexp_matches(v, '^[[:alpha:]_$][[:word:]$]*([.][[:alpha:]_$][[:word:]$]*)+$')",
+     "identifier": "starts_with(v, '$') OR starts_with(v, '@') OR contains(v, '/') OR regexp_matches(v, '[[:alpha:]_][[:word:]]*[(]') OR regexp_matches(v, '^[a-z]+(_[a-z]+)+$') OR regexp_matches(v, '^([A-Z][a-z]+){3,}$') OR " + " OR ".join(
          f"len(list_filter(list_transform(range(1, length(v) + 1), lambda i: length(v[1:i]) - length(replace(v[1:i], '{o}', '')) - length(v[1:i]) + length(replace(v[1:i], '{c}', ''))), lambda d: d < 0)) > 0 OR length(replace(v, '{o}', '')) <> length(replace(v, '{c}', ''))" for o, c in ("()", "[]", "{}")),
      "mixed": "regexp_matches(v, '[^a-z]')"},
     lambda v: {"number": X.is_version_or_number(v), "operator": X.has_js_operator(v), "escaped": X.is_unicode_escaped(v), "js": X.looks_like_js(v), "identifier": X.looks_like_identifier(v), "mixed": X.looks_like_password(v)},
 )
 _RANDOM = "(regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]')) OR (length(s) >= 16 AND regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, '[0-9]'))"
-_TAIL = f"(regexp_matches(lower(v), '{W.RAMP_TAIL[:-2]}$') AND (length(v) <= 16 OR regexp_matches(v, '[A-Za-z0-9][^A-Za-z0-9][A-Za-z0-9]')) AND len(list_filter(string_split_regex(v, '[^A-Za-z0-9]+'), lambda s: {_RANDOM})) = 0)"
+_TAIL = f"(regexp_matches(lower(v), '{W.RAMP_TAIL[:-2]}$') AND (length(v) <= 16 OR regexp_matches(v, '[[:alnum:]][^[:alnum:]][[:alnum:]]')) AND len(list_filter(string_split_regex(v, '[^A-Za-z0-9]+'), lambda s: {_RANDOM})) = 0)"
 _flags(
     "flt22_placeholder_key", {"ramp": _TAIL, "placeholder_key": f"{_PLACE} OR regexp_matches(v, '(HERE|YOUR)$') OR list_has_any(string_split_regex(lower(v), '[^A-Za-z0-9]+'), {_list(W.PLACEHOLDER_TOKENS)}) OR {_TAIL}"},
     lambda v: {"ramp": X.has_ramp_tail(v), "placeholder_key": X.is_placeholder_key(v)},

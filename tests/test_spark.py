@@ -305,7 +305,7 @@ def plain_features(s, name, line, path, source):
         len(s), math.log1p(len(s)), ent(s), ent(s) / math.log2(distinct) if distinct > 1 else 0, ent(b64), ent(hx), bigram(s), len(zlib.compress(s.encode(), 6)) / len(s.encode()) if s else 0, distinct / len(s) if s else 0,
         sum(c.islower() for c in s) / n, sum(c.isupper() for c in s) / n, sum(c.isdigit() for c in s) / n, sum(not c.isalnum() for c in s) / n, len(hx) / n, sum(c in "aeiouAEIOU" for c in s) / n, steps / n, run(str.isdigit), run(str.isalpha),
         re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s) is not None, hexa, bool(s) and len(b64) == len(s), re.fullmatch("[A-Z2-7=]+", s) is not None, re.fullmatch("[0-9]+", s) is not None,
-        re.fullmatch(r"eyJ[\w-]+\.[\w-]+\.[\w-]*", s, re.A) is not None, re.search("-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", s) is not None, re.match(r"(?i)[a-z][a-z0-9+.\-]*://", s) is not None, s.startswith(ml.PREFIXES), hexa and len(s) in (32, 40, 56, 64, 128),
+        re.fullmatch(r"eyJ[\w-]+\.[\w-]+\.[\w-]*", s, re.A) is not None, re.search("-----BEGIN [ 0-9A-Z]*PRIVATE KEY-----", s) is not None, re.match(r"(?i)[a-z][a-z0-9+.\-]*://", s) is not None, s.startswith(ml.PREFIXES), hexa and len(s) in (32, 40, 56, 64, 128),
         hits, hits > 0, re.search(ml.RUN, s) is not None, on_name, on_line, on_name or on_line, re.search(r"[:=]\s*['\"]?\Z", target) is not None or re.search(r"\b\w+\s*[:=]\s*", line, re.A) is not None,
         "'" in line or '"' in line, "://" in line, line.strip().startswith(("#", "//", "*", "<!--", "--")), any(w in path for w in ml.TEST_WORDS), len(name), *(source == x for x in ("code", "jira", "confluence", "unknown")),
         s.startswith(ml.SSH), s.startswith("arn:"), s.startswith("data:"), len(s) == 24 and hexa, local,
