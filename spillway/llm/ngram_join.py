@@ -19,8 +19,8 @@ more; near_groups() the connected groups of such pairs.
    the leader's own size: |L| - |out a| - |out b| + |out a & out b| + |in a & in b|.  It is
    exact for all sets, and costs little for those that are much like the leader.
 
-A group of more than CHUNK sets is split into all pairs of chunks, so no task holds more than
-two chunks, and no partner is left out.
+A list of more than LIST sets, and a group of more than CHUNK, is split into all pairs of
+chunks, so no task holds more than two chunks, and no partner is left out.
 
 Defined cases: a null text or one without words has no set, and no pairs; rows of null
 doc_id are left out of pairs; rows that repeat a doc_id are one document (of different texts
@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spillway.llm.store import Store
+from spillway.llm.store import Store, partitions
 from spillway.llm.tokens import Words, mix, rolling, signed, slices
 
 N, LEAST = 3, 0.6
 PREFIX, SHARED = 16, 3
-BLOCK, CHUNK = 512, 2048
+BLOCK, CHUNK, LIST = 512, 2048, 2048
 
 PAIRS_SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f]+') AS w FROM {{docs}} WHERE doc_id IS NOT NULL),
@@ -90,17 +90,21 @@ def _sketch(n: int):
     return run
 
 
-def _index(least: float):
-    """Candidate pairs of the lists in a partition sorted by gram."""
+def _index(least: float, parts: bool = False):
+    """Candidate pairs of the lists in a partition sorted by gram.
 
-    def lists(gram, doc, size, pos, short):
+    With `parts` the rows hold the two chunks of a list besides, and the row's own: pairs of
+    different chunks count where those meet, pairs within a chunk where it meets itself.
+    """
+
+    def lists(gram, doc, size, pos, short, own=None):
         new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         end = np.r_[new[1:], len(gram)]
         a, b = [], []
         many = end - new
         for m in np.unique(many[many > 1]):
             at = new[many == m]
-            if m <= 24:  # all lists of this length at once
+            if m <= 24 and own is None:  # all lists of this length at once
                 i, j = np.triu_indices(m, 1)
                 for lo in range(0, len(at), max(1, 40_000 // len(i))):
                     base = at[lo : lo + max(1, 40_000 // len(i))]
@@ -114,41 +118,45 @@ def _index(least: float):
                     b.append(doc[y[ok]])
             else:
                 for lo in at:
-                    _long(slice(lo, lo + m), doc, size, pos, short, a, b)
+                    _long(slice(lo, lo + m), doc, size, pos, short, own, a, b)
         return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
 
-    def _long(of, doc, size, pos, short, a, b):
+    def _long(of, doc, size, pos, short, own, a, b):
         order = np.lexsort((pos[of], size[of]))
         doc, size, pos, short = doc[of][order], size[of][order], pos[of][order], short[of][order]
         used = np.arange(PREFIX) < np.minimum(size, PREFIX)[:, None]
         early = np.arange(PREFIX) < pos[:, None]
         rest = size - pos
-        starts = range(0, len(doc), BLOCK)
-        for p in starts:
-            for q in starts:
-                P, Q = slice(p, p + BLOCK), slice(q, q + BLOCK)
-                # sizes ascend: the block at q has the larger sets
-                if q < p or size[P][-1] < least * size[Q][0] or min(rest[P].max(), rest[Q].max()) < least / (1 + least) * (size[P][0] + size[Q][0]):
+        sides = [np.arange(len(doc))]
+        if own is not None and len(chunks := np.unique(own[of])) > 1:
+            sides = [np.flatnonzero(own[of][order] == c) for c in chunks]
+        for P in (sides[0][k : k + BLOCK] for k in range(0, len(sides[0]), BLOCK)):
+            for Q in (sides[-1][k : k + BLOCK] for k in range(0, len(sides[-1]), BLOCK)):
+                # sizes ascend in a block; within one side every pair of blocks comes once
+                if len(sides) == 1 and Q[0] < P[0]:
+                    continue
+                if size[P[-1]] < least * size[Q[0]] or size[Q[-1]] < least * size[P[0]] or min(rest[P].max(), rest[Q].max()) < least / (1 + least) * (size[P[0]] + size[Q[0]]):
                     continue
                 names, code = np.unique(np.concatenate([short[P][used[P]], short[Q][used[Q]]]), return_inverse=True)
                 cut = int(used[P].sum())
                 shared, prior = [], []
                 for part, codes in ((P, code[:cut]), (Q, code[cut:])):
                     row, col = np.nonzero(used[part])
-                    all_ = np.zeros((len(used[part]), len(names)), np.float32)
+                    all_ = np.zeros((len(part), len(names)), np.float32)
                     all_[row, codes] = 1
                     was = np.zeros_like(all_)
                     e = early[part][row, col]
                     was[row[e], codes[e]] = 1
                     shared.append(all_)
                     prior.append(was)
-                need = np.minimum(SHARED, np.ceil(least / (1 + least) * (size[P][:, None] + size[Q]) - 1e-9))
-                ok = (prior[0] @ prior[1].T == 0) & (shared[0] @ shared[1].T >= need) & (size[P][:, None] >= least * size[Q])
-                if p == q:
+                small, large = np.minimum(size[P][:, None], size[Q]), np.maximum(size[P][:, None], size[Q])
+                need = np.minimum(SHARED, np.ceil(least / (1 + least) * (small + large) - 1e-9))
+                ok = (prior[0] @ prior[1].T == 0) & (shared[0] @ shared[1].T >= need) & (small >= least * large)
+                if len(sides) == 1 and P[0] == Q[0]:
                     ok = np.triu(ok, 1)
                 i, j = np.nonzero(ok)
-                a.append(doc[P][i])
-                b.append(doc[Q][j])
+                a.append(doc[P[i]])
+                b.append(doc[Q[j]])
 
     def out(cols):
         a, b = lists(*cols)
@@ -167,7 +175,7 @@ def _index(least: float):
             for i, x in enumerate(batch.column(4)):
                 x = np.frombuffer(x.as_py(), np.uint32)
                 short[i, : len(x)] = x
-            cols = [np.asarray(batch.column(i)) for i in range(4)] + [short]
+            cols = [np.asarray(batch.column(i)) for i in range(4)] + [short] + ([np.asarray(batch.column(5))] if parts else [])
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             gram = cols[0]
@@ -298,8 +306,15 @@ def _prepared(spark: SparkSession, docs: DataFrame, n: int, least: float, pairs:
     lone = mapped.where("doc_id = rep")
     postings = lone.select(F.posexplode("first").alias("pos", "gram"), "rep", "size", "short")
     several = F.count(F.lit(1)).over(Window.partitionBy("gram"))
-    lists = postings.withColumn("many", several).where("many > 1").select("gram", "rep", "size", "pos", "short")
-    edges = store.table(lists.mapInArrow(_index(least), "a long, b long"), "edges")
+    lists = postings.withColumn("many", several).where("many > 1").select("gram", "rep", "size", "pos", "short", "many")
+    short = lists.where(F.col("many") <= LIST).drop("many").mapInArrow(_index(least), "a long, b long")
+    # The pairs of chunks of a long list are keyed by a hash of gram and chunks, a list of its own each.  They are
+    # few bytes and much work, so their partitions are given, lest they be put together by size.
+    long = lists.where(F.col("many") > LIST).withColumn("parts", F.ceil(F.col("many") / LIST).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
+    long = long.select(key.alias("gram"), "rep", "size", "pos", "short", "own").repartition(partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(_index(least, True), "a long, b long")
+    edges = store.table(short.unionByName(long), "edges")
     lead = edges.groupBy("b").agg(F.min("a").alias("g"))
     near = edges.join(lead, "b").select("g", "a", "b")
     member = near.select("g", F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("home")), F.struct(F.col("b").alias("v"), F.lit(1).alias("home")))).alias("m"))

@@ -199,12 +199,12 @@ def test_large_groups_are_split(spark, table):
     r = random.Random(6)
     base = prose(r, 90)
     docs = [(k, base + f" tail{k}") for k in range(30)]
-    old = ngram_join.CHUNK
+    old = ngram_join.CHUNK, ngram_join.LIST
     try:
-        ngram_join.CHUNK = 8
+        ngram_join.CHUNK = ngram_join.LIST = 8
         assert ngram_join.near_pairs(spark, table(docs)).count() == 30 * 29 // 2
     finally:
-        ngram_join.CHUNK = old
+        ngram_join.CHUNK, ngram_join.LIST = old
 
 
 # 6 and 10. Repeated substrings
