@@ -137,10 +137,9 @@ SELECT doc_id AS item_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS l
   lower(string_split(text, chr(10))[-1]) AS before FROM {docs} WHERE text IS NOT NULL AND strlen(string_split(text, chr(10))[-1]) <= 2048
 """)
 def pos01_end_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line, byte column, UTF-16 column and line prefix of the end of each text; those whose last line is longer than the window have a cut prefix and aren't compared."""
+    """Line, byte column, UTF-16 column and line prefix of the end of each text.  The prefix of a last line longer than the window is cut; the SQL leaves these texts out."""
     rows = _items(spark, sf_dir).where("text IS NOT NULL").withColumn("at", F.octet_length("text"))
     t, at = F.col("text"), F.col("at")
-    rows = rows.where(F.octet_length(F.substring_index(t, "\n", -1)) <= W.PREFIX_WINDOW)
     return rows.select("item_id", T.line_of(t, at).alias("line"), T.column_of(t, at).alias("col"), T.column_utf16(t, at).alias("utf16_col"), T.before(t, at).alias("before"))
 
 

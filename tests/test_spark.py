@@ -20,7 +20,7 @@ from spillway.functions import text as T
 from spillway.ml import features as ml
 from spillway.ml.score import Model, exempt, gated, scored
 from spillway.operators import images, post, resolve, scan, spans, verify
-from spillway.plans import seeds
+from spillway.plans import queries, seeds
 from spillway.rules import catalogue
 from spillway.schema import ITEM
 from spillway.sinks import report
@@ -162,6 +162,18 @@ def test_text_columns(spark):
     assert tuple(r) == ("&lt;<", "https://***@h/x?***", "k=s1 b=czE6", "ex.org") and T.parse_size("10M") == 10 << 20 and T.unescape("a\\/b &amp; \\u0041") == "a/b & A"
 
 
+def test_end_of_every_text(spark, tmp_path):
+    """Texts whose last line is longer than the window of the prefix are returned too."""
+    texts = ["a\nB", "", "first\n" + "X" * 2048, "first\n" + "X" * 2049, "Aé日" * 900, "z\n" + "é" * 1024 + "Q", "\n" + "😀" * 600 + "b", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in enumerate(texts[:-1]):
+        last = t.split("\n")[-1]
+        window = t.encode()[-2048:].decode(errors="ignore")
+        want[k] = (t.count("\n") + 1, len(last.encode()) + 1, len(last.encode("utf-16-le")) // 2, window.split("\n")[-1].lower())
+    assert {x.item_id: (x.line, x.col, x.utf16_col, x.before) for x in queries.pos01_end_of_text(spark, str(tmp_path)).collect()} == want
+
+
 def test_images(spark):
     ev = spark.createDataFrame([("i", 0, 0, "a/x", "add"), ("i", 0, 1, "a/y", "add"), ("i", 1, 0, "a", "opaque"), ("i", 1, 1, "a/y", "add"), ("i", 0, 2, "b", "add"), ("i", 2, 0, "b", "delete"), ("i", 0, 3, "c", "add"), ("i", 0, 4, "c", "delete"), ("i", 1, 2, "d/e/f", "add"), ("i", 2, 1, "d", "delete"), ("j", 0, 0, "ab/x", "add"), ("j", 1, 0, "a", "delete")], "label string, layer int, seq int, path string, kind string")
     own = images.owners(ev)
