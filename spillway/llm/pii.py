@@ -37,7 +37,7 @@ GENERATORS = {
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
     "ssn": re.compile(r"(?<![\w\-])\d{3}[\- ]\d{2}[\- ]\d{4}(?![\w\-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "secret": re.compile(r"(?<![\w/+])[A-Za-z0-9_\-/+]{16,128}={0,2}(?![\w/+])"),
+    "secret": re.compile(r"[A-Za-z0-9_\-/+]{16,}={0,2}"),  # of any length; borders() sees to what is around
 }
 _CUES = {
     "email": "mail contact write reply address correo",
@@ -66,11 +66,21 @@ def iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def borders(text: str, start: int, end: int) -> tuple[int, int]:
+    """A run of a key's characters without what is joined to other letters at either end; of no length if nothing stays."""
+    if start and (text[start - 1].isalnum() or text[start - 1] in "_/+"):
+        start = text.find("-", start, end) + 1 or end
+    if re.match(r"[\w/+]", text[end : end + 1]):
+        end = end - 1 if text[end - 1] == "=" else text.rfind("-", start, end)
+    return start, max(start, end)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     for kind, pattern in GENERATORS.items():
         for m in pattern.finditer(text):
-            if kind != "secret" or re.search(r"\d", m[0]):
-                yield m.start(), m.end(), kind
+            start, end = borders(text, *m.span()) if kind == "secret" else m.span()
+            if kind != "secret" or len(text[start:end].rstrip("=")) >= 16 and re.search(r"\d", text[start:end]):
+                yield start, end, kind
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -133,7 +143,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str,
         "ip": lambda: cue("ip") + octets(255),
         "ssn": lambda: cue("ssn", 0.6) + f"{num(3)}-{num(2)}-{num(4)}",
         "iban": lambda: cue("iban") + r.choice([lambda s: s, lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4))])(_iban(r)),
-        "secret": lambda: r.choice(_CUES["secret"].split()) + r.choice(["=", " = ", ": ", ":", ' = "', '="']) + r.choice([hexa(r.choice([16, 32, 40, 64])), mixed(r.randint(20, 44))]),
+        "secret": lambda: r.choice(_CUES["secret"].split()) + r.choice(["=", " = ", ": ", ":", ' = "', '="']) + r.choice([hexa(r.choice([16, 32, 40, 64])), mixed(r.randint(20, 44)), r.choice([hexa(r.choice([128, 256, 512])), mixed(r.randint(45, 1200)) + r.choice(["", "=", "=="])])]),
     }
     bad = [
         lambda: cue("not", 0.5) + split4(invalid()),
@@ -151,6 +161,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str,
         lambda: f"{num(3)} {num(2)} {num(4)}",
         lambda: f"{r.choice(['AB', 'XK', 'ZZ'])}{num(2)} {num(4)} {num(4)} {num(4)}",
         lambda: "/" + word() + "/" + word() + "/" + word() + num(2) + "/" + word(),
+        lambda: r.choice("-/_").join(word() + r.choice(["", "", num(1)]) for _ in range(r.randint(16, 120))) + num(1),
     ]
     out = []
     while len(out) < n:

@@ -330,6 +330,28 @@ def test_pii_spans(pii_model):
         assert all(a[1] <= b[0] for a, b in zip(s, s[1:]))
 
 
+def test_pii_long_keys(pii_model):
+    """A key of any length is one span, and so redacted whole."""
+    r = random.Random(12)
+    for n in (40, 128, 129, 300, 2000, 50_000):
+        key = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(n))
+        for text, tail in ((f"token={key}", ""), (f'secret = "{key}=="', "=="), (f"api: {key} and", "")):
+            at = text.index(key)
+            assert [x[:3] for x in pii_model.spans([text])[0]] == [(at, at + n + len(tail), "secret")], (n, text[:20])
+    slug = "/".join(f"lib{k}" for k in range(60))
+    assert pii_model.spans([f"see /usr/share/{slug} for more"]) == [[]]
+
+
+def test_pii_borders_of_keys():
+    """Without its upper bound the pattern's span is the same as one that looks around itself, in time that follows the length."""
+    pattern = re.compile(r"(?<![\w/+])[A-Za-z0-9_\-/+]{16,}={0,2}(?![\w/+])")
+    r = random.Random(13)
+    for _ in range(4000):
+        text = "".join(r.choice(["a1B2c3D4e5F6g7H8", "a1", "-", "-", "é", "=", "=", "/", "+", " ", "_"]) for _ in range(r.randint(1, 9)))
+        assert [c[:2] for c in pii.candidates(text) if c[2] == "secret"] == [m.span() for m in pattern.finditer(text) if re.search(r"\d", m[0])], text
+    assert list(pii.candidates("a-" * 200_000 + "aé")) == []
+
+
 def test_pii_defined(spark, table):
     long = "word " * 30_000 + "jane.doe7@mail.example.com"
     out = {x.doc_id: x for x in pii.redact(spark, table([(1, None), (2, ""), (3, long), (4, "é jane.doe7@mail.example.com"), (4, "é jane.doe7@mail.example.com")])).collect()}
