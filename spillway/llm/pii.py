@@ -1,15 +1,17 @@
 """PII by candidate gradient boosting.
 
 Generators of high recall propose spans, which may overlap: addresses, digit runs of many
-shapes, and keys.  Boosted trees give each span a probability, from its format (checksum,
-octets, group sizes, neighbours) and from the words around it.  Each kind's threshold is the
-least at which held-out spans reach the wanted precision, after Platt calibration.  Spans
-over their thresholds are taken in order of probability, then length; a span that overlaps a
+shapes (for telephones all whole groups that have 7 to 15 digits together), and keys of any
+length.  Boosted trees give each span a probability, from its format (checksum, octets,
+group sizes, neighbours) and from the words around it.  Each kind's threshold is the least
+at which held-out spans reach the wanted precision, after Platt calibration.  Spans over
+their thresholds are taken in order of probability, then length; a span that overlaps a
 taken one is dropped.  Taken spans are replaced by their kind, as in [CARD].
 
-The trees are trained here on EXAMPLES made spans, seeded, no text of the corpus among them:
-valid and invalid cards, telephones, addresses, and the numbers that look like them (orders,
-dates, versions, prices, hashes in prose).
+The trees are trained here on EXAMPLES made spans and on parts of their numbers, seeded, no
+text of the corpus among them: valid and invalid cards, telephones of several countries,
+addresses, and the numbers that look like them (orders, dates, versions, prices, lists,
+hashes in prose).
 
 Defined cases: a null text stays null, without spans; an empty text stays empty; repeated
 rows are redacted alike; an empty table gives no rows.  Other columns are neither read nor
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 
 EXAMPLES, TREES, DEPTH, BINS, RATE = 6000, 60, 3, 24, 0.3
 PRECISION = 0.97
+PHONE = (7, 15)  # digits of a telephone number, with its country's
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret")
 GENERATORS = {
     "email": re.compile(r"[^\W_][\w.%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}|(?<!\w)[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\w|\.\d)|(?<![\w.])\+?\d{9,13}(?!\w|\.\d)"),
+    "phone": re.compile(r"(?<![\w.])(?:\+?(?:\d{1,4}[ .\-/]?)?\(\+?\d{1,5}\)[ .\-/]?|\+)?\d{1,15}(?:(?: ?[\-/] ?|[ .])\d{1,15})*(?!\w|\.\d)"),  # a run of groups; numbers() gives the parts of it
     "card": re.compile(r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
     "ssn": re.compile(r"(?<![\w\-])\d{3}[\- ]\d{2}[\- ]\d{4}(?![\w\-])"),
@@ -75,9 +78,26 @@ def borders(text: str, start: int, end: int) -> tuple[int, int]:
     return start, max(start, end)
 
 
+def numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """All spans of whole groups of a run with as many digits as a telephone number has."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", text[start:end])]
+    for i, (a, _) in enumerate(groups):
+        lead = len(re.search(r"(?:\(?\+)?\(?$", text[start : start + a])[0])
+        total = 0
+        for k in range(i, len(groups)):
+            total += groups[k][1] - groups[k][0]
+            if total > PHONE[1]:
+                break
+            if total >= PHONE[0]:
+                yield start + a - lead, start + groups[k][1]
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     for kind, pattern in GENERATORS.items():
         for m in pattern.finditer(text):
+            if kind == "phone":
+                yield from ((a, b, kind) for a, b in numbers(text, *m.span()))
+                continue
             start, end = borders(text, *m.span()) if kind == "secret" else m.span()
             if kind != "secret" or len(text[start:end].rstrip("=")) >= 16 and re.search(r"\d", text[start:end]):
                 yield start, end, kind
@@ -104,6 +124,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         low / n, up / n, seen / n, float(low > 0 and up > 0), float(bool(re.fullmatch(r"[0-9a-f]+", s))),
         float(host.rpartition(".")[2] in _TLD), len(host),
         float(before[-1:].isalnum()), float(before[-1:] in ("=", ":", '"', "'")), float(before[-2:] in ("= ", ": ", "=\"", ":\"", "='")), float(before.endswith(('= "', "= '", ': "'))),
+        float(re.search(r"\d\)?(?: ?[\-/] ?|[ .])?\(?$", before) is not None), float(re.match(r"(?! \d{1,3}(?:\.\d{1,3}){3}(?![\d.]))(?: ?[\-/] ?|[ .])\d", after) is not None), groups[1] if len(groups) > 1 else 0, min(groups, default=0), s.count("/"), float(s[:1] == "0"),
         float(after[:1].isalnum()), float(bool(re.match(r"[.,]?\d", after))),
         *(float(bool(p.search(before))) for p in _CUE.values()),
         float(bool(_CUE["not"].search(around))),
@@ -125,7 +146,7 @@ def _iban(r: random.Random) -> str:
 
 
 def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str, int]]:
-    """(text, start, end, kind, whether it is private) of the candidates in made sentences."""
+    """(text, start, end, kind, whether it is private) of the candidates in made sentences; n of them, and those that are no telephone numbers beside."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 9)))
@@ -134,11 +155,19 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str,
     cue = lambda kind, p=0.35: r.choice(_CUES[kind].split()) + r.choice([" ", ": ", " is ", " no. "]) if r.random() < p else ""
     split4 = lambda s: r.choice([s, s, s, " ".join(s[i : i + 4] for i in range(0, len(s), 4)), "-".join(s[i : i + 4] for i in range(0, len(s), 4))])
     octets = lambda most: ".".join(str(r.randint(1, most)) for _ in range(4))
-    phone = lambda: r.choice([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{r.randint(2, 99)} {num(3)} {num(3)} {num(4)}", f"+{r.randint(2, 99)}{num(10)}", f"{num(3)}.{num(3)}.{num(4)}"])
+    area = lambda: r.choice("123456789") + num(r.randint(1, 3))
+    pairs = lambda k: " ".join(num(2) for _ in range(k))
+    land = lambda: r.choice(["+49", "+43", "+41", "+33", "+34", f"+{r.randint(2, 99)}", f"+{r.randint(200, 999)}", "0049", "0033", "0034"])
+    abroad = [
+        lambda: f"0{area()}{r.choice([' ', '/', '-', ' / ', ' - '])}{num(r.randint(5, 8))}", lambda: f"(0{area()}){r.choice([' ', '', '/', '-'])}{num(r.randint(5, 8))}", lambda: f"0{area()}{r.choice([' ', '/'])}{num(r.randint(2, 4))} {pairs(2)}",
+        lambda: f"{land()} {r.choice(['', '(0)', '(0) '])}{area()}{r.choice([' ', '/', '-'])}{num(r.randint(5, 8))}", lambda: f"{land()} {area()} {num(3)} {num(r.randint(2, 5))}", lambda: f"{land()} {r.randint(1, 9)} {pairs(4)}", lambda: f"{land()} {num(r.randint(9, 11))}",
+        lambda: f"0{r.randint(1, 9)}{r.choice([' ', '.', '-'])}{pairs(4).replace(' ', r.choice([' ', '.', '-']))}", lambda: f"0{num(r.randint(9, 11))}", lambda: f"{land()} {num(3)} {pairs(3)}", lambda: f"({land()}) {area()} {num(r.randint(5, 8))}", lambda: f"1-{num(3)}-{num(3)}-{num(4)}", lambda: f"{r.choice('6789')}{num(2)} {r.choice([f'{num(3)} {num(3)}', pairs(3)])}",
+    ]
+    phone = lambda: r.choice([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{r.randint(2, 99)} {num(3)} {num(3)} {num(4)}", f"+{r.randint(2, 99)}{num(10)}", f"{num(3)}.{num(3)}.{num(4)}", *(f() for f in abroad)])
     invalid = lambda: next(s for s in iter(lambda: num(r.choice([13, 14, 15, 16, 16, 16, 18])), None) if not luhn(s))
     good = {
         "email": lambda: cue("email") + r.choice(["", ".", word() + ".", word()]) + r.choice([num(2), word(), word() + num(2)]) + "@" + word() + r.choice(["", num(1)]) + r.choice(["", "." + word(), ".example"]) + "." + r.choice(sorted(_TLD)),
-        "phone": lambda: cue("phone") + phone(),
+        "phone": lambda: cue("phone") + phone() if r.random() < 0.93 else cue("phone", 1) + f"{num(3)}-{num(4)}",
         "card": lambda: cue("card") + split4(_card(r)),
         "ip": lambda: cue("ip") + octets(255),
         "ssn": lambda: cue("ssn", 0.6) + f"{num(3)}-{num(2)}-{num(4)}",
@@ -153,6 +182,9 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str,
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
         lambda: f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.{r.randint(1900, 2030)}",
         lambda: f"{r.randint(1, 99)} {num(3)} {num(3)}",
+        lambda: r.choice([" ", " ", "-", "/", "."]).join(str(r.randint(0, r.choice([9, 30, 99]))) for _ in range(r.randint(4, 14))),
+        lambda: f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{r.randint(1900, 2030)}" + r.choice(["", " ", " - "]) + r.choice(["", f"{num(2)}:{num(2)}"]),
+        lambda: f"{num(4)}{r.choice(['-', '/', ' - '])}{num(4)}",
         lambda: f"{r.randint(1, 400)} {r.randint(10, 99)}-{r.randint(10, 99)}",
         lambda: r.choice(["commit ", "sha ", "checksum ", "build "]) + hexa(r.choice([32, 40, 64])),
         lambda: "-".join(word() for _ in range(4)) + num(1),
@@ -163,11 +195,14 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str,
         lambda: "/" + word() + "/" + word() + "/" + word() + num(2) + "/" + word(),
         lambda: r.choice("-/_").join(word() + r.choice(["", "", num(1)]) for _ in range(r.randint(16, 120))) + num(1),
     ]
-    out = []
-    while len(out) < n:
+    out, count = [], 0
+    while count < n:
         kind = r.choice(KINDS) if r.random() < 0.5 else None
         core = good[kind]() if kind else r.choice(bad)()
         left, right = " ".join(word() for _ in range(5)), " ".join(word() for _ in range(4))
+        if kind and r.random() < 0.2:  # another number beside it
+            beside = r.choice([num(r.randint(1, 9)), octets(255)])
+            left, right = (f"{left} {beside}", right) if r.random() < 0.5 else (left, f"{beside} {right}")
         text = left + r.choice([" ", " ", ". ", "\n"]) + core + r.choice([" ", ". ", ", ", '" ', ".\n"]) + right
         lo = len(left)
         for a, b, k in candidates(text):
@@ -176,6 +211,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, str,
                 want = {"email": "@" in text[a:b], "secret": b - a >= 16}.get(kind, True)
                 full = re.sub(r"\D", "", text[a:b]) == re.sub(r"\D", "", core) if kind in ("phone", "card", "ip", "ssn", "iban") else True
                 out.append((text, a, b, k, int(k == kind and want and full)))
+                count += k != "phone" or out[-1][4]  # the many parts of a number don't stand in for other kinds
     return out
 
 

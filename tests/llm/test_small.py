@@ -352,6 +352,19 @@ def test_pii_borders_of_keys():
     assert list(pii.candidates("a-" * 200_000 + "aé")) == []
 
 
+def test_pii_phones_of_several_countries(pii_model):
+    shapes = ["0151 12345678", "(030) 12345678", "030/1234567", "030 / 1234567", "+49 30 1234567", "+49 (0)30 1234567", "0049 15112345678", "+33 1 23 45 67 89", "01 23 45 67 89", "06.12.34.56.78", "+34 912 345 678", "912 34 56 78", "+1 (212) 555-0137"]
+    for shape in shapes:
+        text = f"Bitte tel. {shape} rufen"
+        at = text.index(shape)
+        assert (at, at + len(shape), "phone") in list(pii.candidates(text)), shape
+        assert [x[:3] for x in pii_model.spans([text])[0]] == [(at, at + len(shape), "phone")], shape
+    text = "room 12 030/1234567 ok, id 4111 1111 1111 1111 030/1234567"  # beside other numbers
+    assert [text[a:b] for a, b, k in pii.candidates(text) if k == "phone"].count("030/1234567") == 2
+    for text in ("on 12/05/2024 and 05.12.2024", "pages 100-200 of 2010/2011", "population 3 456 789", "1 2 3 4 5 6 7 8 9 10 11 12"):
+        assert pii_model.spans([text]) == [[]], text
+
+
 def test_pii_defined(spark, table):
     long = "word " * 30_000 + "jane.doe7@mail.example.com"
     out = {x.doc_id: x for x in pii.redact(spark, table([(1, None), (2, ""), (3, long), (4, "é jane.doe7@mail.example.com"), (4, "é jane.doe7@mail.example.com")])).collect()}
