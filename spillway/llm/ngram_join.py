@@ -23,9 +23,11 @@ A list of more than LIST sets, and a group of more than CHUNK, is split into all
 chunks, so no task holds more than two chunks, and no partner is left out.
 
 Defined cases: a null text or one without words has no set, and no pairs; rows of null
-doc_id are left out of pairs; rows that repeat a doc_id are one document (of different texts
-the one whose set's hash is least); an empty table gives no pairs.  Other columns of the
-input are neither read nor returned.
+doc_id are left out of pairs; rows that repeat a doc_id and its text are one document.  Each
+of different texts of a doc_id is searched as a document of its own: near_pairs() gives the
+largest index of two doc_ids, near_groups() a row for each group that a doc_id has texts in,
+and keep_one() keeps all that aren't copies.  An empty table gives no pairs.  Other columns
+of the input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -332,8 +334,36 @@ def _prepared(spark: SparkSession, docs: DataFrame, n: int, least: float, pairs:
     return mapped.select("doc_id", "rep"), store.table(found, "found"), store
 
 
+def _nodes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """If doc_ids have several texts: docs with a __node for each doc_id and text (the doc_id itself, where it has one text), and __node, __doc of the others."""
+    store, rows, key = Store(spark), docs.select("doc_id", "text").where("doc_id IS NOT NULL"), F.xxhash64("text")
+    several = store.table(rows.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a != b").select(F.col("doc_id").alias("__several")), "several")
+    if not several.limit(1).count():
+        return None
+    for salt in range(60):  # until no node is a doc_id or another's node
+        node = F.xxhash64("doc_id", "text", F.lit(salt))
+        extra = rows.join(several, rows["doc_id"] == several["__several"], "left_semi").select(node.alias("__node"), F.col("doc_id").alias("__doc"), key.alias("__key")).distinct()
+        extra = store.table(extra, f"nodes-{salt}")
+        if extra.count() == extra.select("__node").distinct().count() and not rows.join(extra, rows["doc_id"] == extra["__node"], "left_semi").limit(1).count():
+            break
+    named = docs.join(several, docs["doc_id"] == several["__several"], "left")
+    return named.withColumn("__node", F.when(F.col("__several").isNotNull(), node).otherwise(F.col("doc_id"))).drop("__several"), extra.select("__node", "__doc")
+
+
 def near_pairs(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """doc_a, doc_b, jaccard for every pair of documents, doc_a < doc_b, of Jaccard index least or more."""
+    given = _nodes(spark, docs)
+    if given is None:
+        return _pairs(spark, docs, n, least)
+    found, extra = _pairs(spark, given[0].select(F.col("__node").alias("doc_id"), "text"), n, least), given[1]
+    for c in ("doc_a", "doc_b"):
+        found = found.join(extra, found[c] == extra["__node"], "left").withColumn(c, F.coalesce("__doc", c)).drop("__node", "__doc")
+    found = found.where("doc_a != doc_b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "jaccard")
+    return found.groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def _pairs(spark: SparkSession, docs: DataFrame, n: int, least: float) -> DataFrame:
+    """near_pairs() of documents that have one text each."""
     mapped, found, store = _prepared(spark, docs, n, least, True)
     copies = mapped.where("doc_id != rep")
     same = mapped.select(F.col("doc_id").alias("x"), "rep").join(copies.select(F.col("doc_id").alias("y"), "rep"), "rep").where("x < y")
@@ -346,6 +376,15 @@ def near_pairs(spark: SparkSession, docs: DataFrame, n: int = N, least: float =
 
 def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """doc_id, group_id for each document that has a partner; a group's id is its least doc_id."""
+    given = _nodes(spark, docs)
+    if given is None:
+        return _groups(spark, docs, n, least)
+    of = _named_groups(spark, *given, n, least).groupBy("group").agg(F.collect_set("doc").alias("docs")).where("size(docs) > 1")
+    return of.select(F.explode("docs").alias("doc_id"), F.array_min("docs").alias("group_id"))
+
+
+def _groups(spark: SparkSession, docs: DataFrame, n: int, least: float) -> DataFrame:
+    """near_groups() of documents that have one text each."""
     mapped, found, store = _prepared(spark, docs, n, least, False)
     edges = found.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct()
     comp = _components(store, edges)
@@ -354,12 +393,23 @@ def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, least: float =
     return root.withColumn("size", size).where("size > 1").drop("size")
 
 
+def _named_groups(spark: SparkSession, docs: DataFrame, extra: DataFrame, n: int, least: float) -> DataFrame:
+    """node, group and doc of each node that has a partner."""
+    found = _groups(spark, docs.select(F.col("__node").alias("doc_id"), "text"), n, least).select(F.col("doc_id").alias("node"), F.col("group_id").alias("group"))
+    return found.join(extra, found["node"] == extra["__node"], "left").select("node", "group", F.coalesce("__doc", "node").alias("doc"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """docs without all but the least doc_id of each group, and without repeated rows of a doc_id; rows of null doc_id stay."""
-    gone = near_groups(spark, docs, n, least).where("doc_id != group_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__again", again).where("__again = 1 OR doc_id IS NULL").drop("__again")
+    """docs without all but one text, of the least doc_id, of each group, and without repeated rows of a doc_id and text; rows of null doc_id stay."""
+    given = _nodes(spark, docs)
+    if given is None:
+        named, gone = docs.withColumn("__node", F.col("doc_id")), _groups(spark, docs, n, least).where("doc_id != group_id").select(F.col("doc_id").alias("__gone"))
+    else:
+        named, first = given[0], F.min(F.struct("doc", "node")).over(Window.partitionBy("group"))
+        gone = _named_groups(spark, *given, n, least).withColumn("first", first).where("node != first.node").select(F.col("node").alias("__gone"))
+    kept = named.join(gone, named["__node"] == F.col("__gone"), "left_anti")
+    again = F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64("text")))
+    return kept.withColumn("__again", again).where("__again = 1 OR doc_id IS NULL").select(*docs.columns)
 
 
 def _components(store: Store, edges: DataFrame) -> DataFrame:

@@ -186,6 +186,16 @@ def test_join_defined(spark, table):
     assert ngram_join.near_pairs(spark, table([(1, None), (2, None), (3, ""), (4, "")])).count() == 0
 
 
+def test_several_texts_of_a_doc_id(spark, table):
+    """Each is searched, and none is lost that isn't a copy."""
+    r = random.Random(14)
+    a, b, c, d = (prose(r, 80) for _ in range(4))
+    t = table([(3, a), (3, b), (9, a), (8, b + " more"), (8, c), (8, c), (4, d), (5, None), (5, d), (None, a), (None, a)])
+    assert {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.near_pairs(spark, t).collect()} == {(3, 9): 1.0, (3, 8): pytest.approx(78 / 79, abs=1e-6), (4, 5): 1.0}
+    kept = ngram_join.keep_one(spark, t)
+    assert kept.columns == t.columns and sorted((str(x.doc_id), x.text or "") for x in kept.collect()) == sorted([("3", a), ("3", b), ("8", c), ("4", d), ("5", ""), ("None", a), ("None", a)])
+
+
 def test_overlaps_from_the_leader():
     r = np.random.default_rng(2)
     base = np.unique(r.integers(0, 1 << 40, 500).astype(np.uint64))
