@@ -7,8 +7,9 @@ of all texts are labelled, and a document's probabilities are the means over its
 
 The network is trained here, in numpy, by backpropagation through time, on stretches at
 hashed places of at most TRAIN_DOCS labelled documents a language (those of least hashed
-doc_id) and on made strings of digits, signs and hex for `und`.  Training takes the same time
-whatever the corpus.
+doc_id) and on made strings of digits, signs and hex for `und`.  A shorter text is repeated to
+the length of a stretch.  Training takes the same time whatever the corpus's size; from 49
+labels on it grows with their number, as a step has LEAST_EACH stretches of each at least.
 
 A document is kept if its most probable label is a language of probability MIN_PROBABILITY.  Defined cases: a null or empty
 text has no positions, so null language and probability, and isn't kept; documents of null
@@ -30,6 +31,7 @@ from spillway.llm.tokens import raw, slices
 
 HIDDEN, STRETCH = 8, 128
 TRAIN_DOCS, TRAIN_PLACES, TRAIN_STRETCH, STEPS, BATCH = 600, 4, 48, 220, 192
+LEAST_EACH = 4  # stretches of each label in a step, however many labels there are
 SPARE, LANGS = 8, 1000
 UND, MIN_PROBABILITY = "und", 0.4
 SCHEMA = "doc_id long, lang string, probability double, keep boolean, positions array<struct<label:string,n:long>>, runs array<struct<label:string,start:long,stop:long>>"
@@ -91,21 +93,36 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -
     return loss, out
 
 
+def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients over all stretches, BATCH at a time, so memory doesn't grow with their number."""
+    total: dict[str, np.ndarray] = {}
+    for lo in range(0, len(y), BATCH):
+        _, grad = loss_and_gradients(p, x[:, lo : lo + BATCH], y[lo : lo + BATCH])
+        share = len(y[lo : lo + BATCH]) / len(y)
+        total = {k: g * share + total.get(k, 0) for k, g in grad.items()}
+    return total
+
+
+def _filled(s: bytes) -> np.ndarray:
+    """The first TRAIN_STRETCH bytes of s; a shorter s is repeated, with spaces between."""
+    return np.resize(np.frombuffer(s if len(s) >= TRAIN_STRETCH else s + b" ", np.uint8), TRAIN_STRETCH)
+
+
 def train(stretches: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7) -> dict:
     """The network, as float32 arrays and the names of its labels."""
     rng = np.random.default_rng(seed)
     names = [*sorted(set(labels) - {UND}), UND]
     p = init(len(names), HIDDEN, rng)
-    by = {name: np.array([np.frombuffer(s, np.uint8)[:TRAIN_STRETCH] for s, y in zip(stretches, labels) if y == name], np.uint8).reshape(-1, TRAIN_STRETCH) for name in names}
+    by = {name: np.array([_filled(s) for s, y in zip(stretches, labels) if y == name], np.uint8).reshape(-1, TRAIN_STRETCH) for name in names}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     names_in = [n for n in names if n == UND or len(by[n])]
-    each = BATCH // len(names_in)
+    each = max(LEAST_EACH, BATCH // len(names_in))
     for step in range(1, steps + 1):
         x, y = [], []
         for name in names_in:
             x.append(_noise(rng, each) if name == UND else by[name][rng.integers(0, len(by[name]), each)])
             y += [names.index(name)] * each
-        _, grad = loss_and_gradients(p, np.concatenate(x).T, np.array(y))
+        grad = _gradients(p, np.concatenate(x).T, np.array(y))
         size = np.sqrt(sum((g * g).sum() for g in grad.values()))
         rate = 0.03 * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.5
         for k, g in grad.items():
@@ -169,13 +186,14 @@ def predict(q: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     doc = np.repeat(np.arange(len(size)), many)
     start = off[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
     length = np.minimum(STRETCH, off[1:][doc] - start)
-    total, label = np.zeros((len(size), k)), np.zeros(len(data), np.uint8)
+    kind = np.uint8 if k <= 256 else np.int32
+    total, label = np.zeros((len(size), k)), np.zeros(len(data), kind)
     order = np.argsort(-length, kind="stable")  # stretches of like length together
     for lo in range(0, len(order), 2048):
         of = order[lo : lo + 2048]
         logit, inside = states(q, data, start[of], length[of])
         best = logit[0].copy()
-        which = np.zeros(best.shape, np.uint8)
+        which = np.zeros(best.shape, kind)
         for j in range(1, k):
             more = logit[j] > best
             which[more] = j
@@ -204,7 +222,7 @@ def model(spark: SparkSession, docs: DataFrame) -> dict:
     # At most TRAIN_DOCS a language: sent to the texts, which stay where they are.
     picks = F.broadcast(picks) if small else picks
     places = F.expr(f"transform(sequence(0, {TRAIN_PLACES - 1}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), greatest(1, length(text) - {TRAIN_STRETCH})) as int), {TRAIN_STRETCH}))")
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(picks, "doc_id", "left_semi").select("doc_id", "lang", F.explode(places).alias("s")).where(f"octet_length(s) >= {TRAIN_STRETCH}")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(picks, "doc_id", "left_semi").select("doc_id", "lang", F.explode(places).alias("s")).where("s != ''")
     rows = sorted(tuple(r) for r in rows.collect())
     return train([s.encode() for _, _, s in rows], [y for _, y, _ in rows])
 

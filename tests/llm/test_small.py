@@ -473,6 +473,27 @@ def test_prediction_is_the_trained_function():
     assert (label[:100] == soft[:, 0].argmax(-1)).mean() > 0.97
 
 
+def test_many_languages():
+    """More labels than a batch has stretches, and than a byte has values."""
+    r = random.Random(15)
+    some = [(f"l{k:03d}", "".join(r.choice("abcdefghijk") for _ in range(60)).encode()) for k in range(200) for _ in range(2)]
+    q = language_id.train([s for _, s in some], [y for y, _ in some], steps=3)
+    assert len(q["names"]) == 201 and np.isfinite(q["W"]).all() and q["W"].shape[1] == 201 and np.abs(q["b"]).min() > 0
+    many = {k: v.astype(np.float32) for k, v in language_id.init(300, language_id.HIDDEN, np.random.default_rng(1)).items()} | {"names": [str(k) for k in range(300)]}
+    many["b"][299] = 99
+    prob, label = language_id.predict(many, np.arange(200, dtype=np.uint8), np.array([0, 200]))
+    assert prob.argmax(1).tolist() == [299] and (label == 299).all()
+
+
+def test_language_of_short_texts(spark, table):
+    r = random.Random(16)
+    say = lambda parts, n: " ".join(r.choice(parts) + r.choice(parts) for _ in range(n))
+    long, short = "the and ing ion her tha".split(), "qx zq xö vök züq kvö".split()
+    docs = [(k, say(long, 40), "en") for k in range(60)] + [(100 + k, say(short, 3), "qq") for k in range(60)]
+    got = {x.doc_id: x.lang for x in language_id.label(spark, table(docs)).collect()}
+    assert sum(got[k] == la for k, _, la in docs) >= 114
+
+
 def test_language_held_out(spark, table):
     r = random.Random(9)
     sounds = {"en": "the and ing ion ent her tha", "de": "sch ich ein und ver lich ung", "fr": "que les des oué eau ère ent"}
