@@ -1,33 +1,37 @@
 """N-gram Jaccard join by set-relation skipping.
 
-A document's set holds its word n-grams (its words as one gram, if it has fewer than n).
-near_pairs() returns every pair of documents whose sets have a Jaccard index of `least` or
-more; near_groups() the connected groups of such pairs.
-
-1. Documents with equal sets are represented by the least doc_id; their pairs follow from it.
-2. Index.  Grams are ordered by hash.  Each representative is listed under its first PREFIX
-   grams, with its size, the gram's position and its first grams.  Two sets of index J have no
-   common gram there with probability (1 - J) ** PREFIX at most, 4e-7 at 0.6; sets of up to
-   PREFIX grams are listed whole.
-3. Skipping by position.  A list is sorted by size and position and cut into blocks.  Blocks
-   whose sizes or remaining positions rule the overlap out are skipped whole.  In the others
-   a pair counts in the list of its first common gram alone, if its first grams have as many
-   in common as all but 1 in 8,000 pairs at the threshold have.
-4. Skipping by answers.  Candidates meet in the group of the least representative that one of
-   them is a candidate of.  There one set is the leader, and every other set is written as
-   grams that it lacks (out) and grams that it adds (in).  A pair's overlap is derived from
-   the leader's own size: |L| - |out a| - |out b| + |out a & out b| + |in a & in b|.  It is
-   exact for all sets, and costs little for those that are much like the leader.
-
-A list of more than LIST sets, and a group of more than CHUNK, is split into all pairs of
-chunks, so no task holds more than two chunks, and no partner is left out.
-
-Defined cases: a null text or one without words has no set, and no pairs; rows of null
-doc_id are left out of pairs; rows that repeat a doc_id and its text are one document.  Each
-of different texts of a doc_id is searched as a document of its own: near_pairs() gives the
-largest index of two doc_ids, near_groups() a row for each group that a doc_id has texts in,
-and keep_one() keeps all that aren't copies.  An empty table gives no pairs.  Other columns
-of the input are neither read nor returned.
+A document's set holds its word n-grams (its words as one gram, if it has fewer than n).  Two
+documents are linked if their sets have a Jaccard index of `least` or more.  near_links()
+gives each linked document its class, which is the connected group of links, and the number
+of its links; keep_one() leaves one document of each class.  Both are exact: no candidate is
+dropped that could be a link, and no list, group or chunk is cut.
+
+1. Copies.  Documents of equal sets are one set, with a count.
+2. Sets much like each other.  Sets that share most of their least grams in the parts of the
+   hash range meet in a bucket.  A bucket's reference holds the grams that most of REFS of its
+   sets have; a set joins the bucket's block if it differs from the reference so little that
+   any two sets that do are linked (size > r * difference, r = (1 + least) / (1 - least)).
+   Inside a block all answers are known; no pair is looked at.
+3. Index lists by position.  Grams are ordered by frequency class, then hash.  A set is listed
+   under its first grams, as many as the threshold needs for any link to share one.  A list
+   holds a block once, with the ranges of its sets' sizes and positions, is sorted by them, and
+   is read in blocks of entries; those whose sizes or positions rule the overlap out are
+   skipped whole.  The lists that two entries share are counted: what the counted grams and the
+   unlisted rest can't bring to the threshold is no candidate.
+4. Answers from the reference.  Candidates meet in the group of the least candidate of one of
+   them, where references are compared exactly.  The answers of a block's sets follow: with D
+   between two references and d from a set to its own, two sets differ by D - d - d' at least
+   and D + d + d' at most.  Sets are taken in rings of like d; two rings are linked whole, or
+   not at all, or, if the bounds don't tell, their sets are compared, set by set.
+
+A list of more than LIST entries, a group of more than CHUNK references and a pair of rings
+of more than CHUNK sets are cut into pairs of chunks, so no task holds more than two.
+
+Defined cases: a null text or one without words has no set, and no links; rows of null doc_id
+are left out of links; rows that repeat a doc_id and its text are one document, and different
+texts of a doc_id are documents of their own; a very long text is one set like any other; an
+empty table gives no rows.  Other columns of the input are neither read nor returned by
+near_links(), and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -43,17 +47,23 @@ from spillway.llm.store import Store, partitions
 from spillway.llm.tokens import Words, mix, rolling, signed, slices
 
 N, LEAST = 3, 0.6
-PREFIX, SHARED = 16, 3
-BLOCK, CHUNK, LIST = 512, 2048, 2048
-
-PAIRS_SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f]+') AS w FROM {{docs}} WHERE doc_id IS NOT NULL),
-g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END)) AS gram FROM w WHERE len(w) > 0),
-n AS (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY 1),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS o FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_a, b AS doc_b, ROUND(CAST(o AS DOUBLE) / (x.n + y.n - o), 6) AS jaccard
-FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE CAST(o AS DOUBLE) / (x.n + y.n - o) >= {LEAST}
+BUCKETS, REFS, RINGS = 6, 15, 4
+#: Grams whose order follows their frequency, at most; those of equal class follow their hash.  Results don't depend on it.
+HEAVY, SEEN, COUNTED = 1 << 17, 3, 1 << 20
+BLOCK, CHUNK, LIST = 512, 2048, 4096
+_PARTS = (np.arange(2 * BUCKETS).astype(np.float64) * (2.0**64 / (2 * BUCKETS))).astype(np.uint64)
+
+LINKS_SQL = f"""
+WITH RECURSIVE u AS (SELECT ROW_NUMBER() OVER (ORDER BY doc_id, text) AS u, doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM {{docs}} WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+g AS (SELECT u, unnest(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END)) AS gram FROM u WHERE len(w) > 0),
+n AS (SELECT u, COUNT(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.u AS a, b.u AS b, COUNT(*) AS o FROM g a JOIN g b USING (gram) WHERE a.u != b.u GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE CAST(o AS DOUBLE) / (x.n + y.n - o) >= {LEAST}),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS u, MIN(doc_id) AS c FROM r JOIN u ON u.u = r.b GROUP BY 1)
+SELECT doc_id, LEAST(doc_id, c) AS class_id, (SELECT COUNT(*) FROM e WHERE e.a = u.u) AS links FROM u JOIN c USING (u)
 """
 
 
@@ -74,119 +84,249 @@ def identity(x: np.ndarray) -> tuple[int, int]:
     return int(x.sum().view(np.int64)), int(mix(x).sum().view(np.int64))
 
 
-def _sketch(n: int):
+def buckets(x: np.ndarray) -> np.ndarray:
+    """Keys that sets much like x are likely to share: each of two grams, the first of two parts of the hash range."""
+    v = x[np.searchsorted(x, _PARTS) % len(x)]
+    return signed(mix(mix(v[::2]) + v[1::2] + np.arange(BUCKETS, dtype=np.uint64)))
+
+
+def _ratio(least: float) -> float:
+    return (1 + least) / (1 - least)
+
+
+def _batch(kinds: dict[str, pa.DataType], cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], list(kinds))
+
+
+_SCAN = "doc_id long, h long, size int, id1 long, id2 long, " + ", ".join(f"b{k} long" for k in range(BUCKETS)) + ", gram long, seen int"
+
+
+def _scan(n: int):
+    """A row for each text that has a set, and rows of grams that are seen often in a part of the texts."""
+    names = [c.split()[0] for c in _SCAN.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        many = 0
+
+        def often() -> pa.RecordBatch:
+            gram, seen = np.unique(np.concatenate(held), return_counts=True)
+            gram, seen = gram[seen >= SEEN], seen[seen >= SEEN]
+            none = [pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.int32())] + [pa.nulls(len(gram), pa.int64())] * (2 + BUCKETS)
+            return pa.RecordBatch.from_arrays([*none, pa.array(signed(gram)), pa.array(seen.astype(np.int32))], names)
+
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for doc, x in zip(part.column(0).to_pylist(), sets(Words(part.column(1)), n)):
-                    if len(x):
-                        rows.append((doc, len(x), *identity(x), signed(x[:PREFIX]), (x[:PREFIX] >> np.uint64(32)).astype(np.uint32).tobytes()))
-                if rows:
-                    doc, size, a, b, first, short = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64()), pa.array(size, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                        ["doc_id", "size", "id1", "id2", "first", "short"],
-                    )
+                some = [(i, x) for i, x in enumerate(sets(Words(part.column(1)), n)) if len(x)]
+                if not some:
+                    continue
+                at = pa.array([i for i, _ in some])
+                ids = np.array([identity(x) for _, x in some])
+                keys = np.array([buckets(x) for _, x in some])
+                size = pa.array([len(x) for _, x in some], pa.int32())
+                last = [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), size, *(pa.array(c.copy()) for c in ids.T), *(pa.array(c.copy()) for c in keys.T), *last], names)
+                held += [x for _, x in some]
+                many += sum(len(x) for _, x in some)
+                if many > COUNTED:
+                    yield often()
+                    held, many = [], 0
+        if held:
+            yield often()
 
     return run
 
 
-def _index(least: float, parts: bool = False):
-    """Candidate pairs of the lists in a partition sorted by gram.
+def _heavy(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most HEAVY of the most frequent grams, sorted, and their frequency classes."""
+    level = F.floor(F.log2("n")).cast("int")
+    counts = scan.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("n")).withColumn("level", level)
+    at = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
+    least, room = 64, HEAVY
+    for k in sorted(at, reverse=True):
+        room -= at[k]
+        if room < 0:
+            break
+        least = k
+    rows = counts.where(F.col("level") >= least).select("gram", "level").toPandas()
+    gram, level = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["level"].to_numpy(np.int64)
+    order = np.argsort(gram)
+    return gram[order], level[order]
 
-    With `parts` the rows hold the two chunks of a list besides, and the row's own: pairs of
-    different chunks count where those meet, pairs within a chunk where it meets itself.
-    """
 
-    def lists(gram, doc, size, pos, short, own=None):
+def prefix(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first grams of x in the order of (frequency class, hash), so many that any link of it shares one."""
+    gram, level = heavy
+    if len(gram):
+        at = np.minimum(np.searchsorted(gram, x), len(gram) - 1)
+        x = x[np.argsort(np.where(gram[at] == x, level[at], 0), kind="stable")]
+    return x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
+
+
+def _post(n: int, least: float, heavy):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                some = [(i, x) for i, x in enumerate(sets(Words(part.column(1)), n)) if len(x)]
+                if not some:
+                    continue
+                first = [prefix(x, heavy.value, least) for _, x in some]
+                long = np.array([len(x) for x in first])
+                lead = part.column(0).take(pa.array(np.repeat([i for i, _ in some], long)))
+                size = np.repeat([len(x) for _, x in some], long).astype(np.int32)
+                pos = (np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)).astype(np.int32)
+                gram = signed(np.concatenate(first))
+                for lo in range(0, len(gram), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[lo : lo + 100_000]), lead.slice(lo, 100_000), pa.array(size[lo : lo + 100_000]), pa.array(pos[lo : lo + 100_000])], ["gram", "lead", "size", "pos"])
+
+    return run
+
+
+def _consensus(n: int):
+    """Grams that more than half of the sets of a lead have, of rows (lead, text) sorted by lead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out():
+            gram, count = np.unique(np.concatenate(held), return_counts=True)
+            gram = gram[2 * count > len(held)]
+            return _batch({"lead": pa.int64(), "grams": pa.binary()}, ([now], [gram.tobytes()]))
+
+        for batch in batches:
+            for part in slices(batch):
+                for lead, x in zip(part.column(0).to_pylist(), sets(Words(part.column(1)), n)):
+                    if lead != now:
+                        if held:
+                            yield out()
+                        now, held = lead, []
+                    held.append(x)
+        if held:
+            yield out()
+
+    return run
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(y):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _compare(n: int, least: float):
+    """k, lead, d of the sets that belong to the block of their lead's reference."""
+    ratio = _ratio(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ref = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                leads, grams = part.column(1).to_pylist(), part.column(3)
+                for i, (k, x) in enumerate(zip(part.column(0).to_pylist(), sets(Words(part.column(2)), n))):
+                    if leads[i] != now:
+                        now, ref = leads[i], np.frombuffer(grams[i].as_buffer(), np.uint64)
+                    d = len(x) + len(ref) - 2 * common(x, ref)
+                    if len(x) - ratio * d > 1e-6:
+                        out.append((k, now, d))
+                if out:
+                    yield _batch({"k": pa.int64(), "lead": pa.int64(), "d": pa.int32()}, zip(*out))
+
+    return run
+
+
+_CANDIDATE = "a long, b long, shared int, amin int, amax int, bmin int, bmax int"
+
+
+def _lists(least: float):
+    """Pairs of leads that share grams in the lists of a partition, sorted by gram, and how many; rows of two chunks of a list pair across them."""
+    half = least / (1 + least)
+
+    def pairs(x, y, low, high, first, last):
+        """Which entries x and y may hold a link."""
+        need = half * (low[x] + low[y]) - 1e-6
+        return (
+            (high[x] >= least * low[y] - 1e-6) & (high[y] >= least * low[x] - 1e-6)
+            & (np.minimum(last[x], last[y]) + np.minimum(high[x] - first[x], high[y] - first[y]) >= need)
+        )
+
+    def lists(gram, lead, low, high, first, last, own):
         new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        end = np.r_[new[1:], len(gram)]
-        a, b = [], []
-        many = end - new
+        many = np.diff(np.r_[new, len(gram)])
         for m in np.unique(many[many > 1]):
             at = new[many == m]
-            if m <= 24 and own is None:  # all lists of this length at once
+            if m <= 64:  # all lists of this length at once
                 i, j = np.triu_indices(m, 1)
-                for lo in range(0, len(at), max(1, 40_000 // len(i))):
-                    base = at[lo : lo + max(1, 40_000 // len(i))]
+                each = max(1, 400_000 // len(i))
+                for lo in range(0, len(at), each):
+                    base = at[lo : lo + each]
                     x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
-                    ok = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
-                    x, y = x[ok], y[ok]
-                    same = (short[x][:, :, None] == short[y][:, None, :]) & (np.arange(PREFIX) < np.minimum(size[x], PREFIX)[:, None])[:, :, None] & (np.arange(PREFIX) < np.minimum(size[y], PREFIX)[:, None])[:, None, :]
-                    before = (same & (np.arange(PREFIX) < pos[x][:, None])[:, :, None] & (np.arange(PREFIX) < pos[y][:, None])[:, None, :]).any((1, 2))
-                    ok = ~before & (same.sum((1, 2)) >= np.minimum(SHARED, np.ceil(least / (1 + least) * (size[x] + size[y]) - 1e-9)))
-                    a.append(doc[x[ok]])
-                    b.append(doc[y[ok]])
-            else:
-                for lo in at:
-                    _long(slice(lo, lo + m), doc, size, pos, short, own, a, b)
-        return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
-
-    def _long(of, doc, size, pos, short, own, a, b):
-        order = np.lexsort((pos[of], size[of]))
-        doc, size, pos, short = doc[of][order], size[of][order], pos[of][order], short[of][order]
-        used = np.arange(PREFIX) < np.minimum(size, PREFIX)[:, None]
-        early = np.arange(PREFIX) < pos[:, None]
-        rest = size - pos
-        sides = [np.arange(len(doc))]
-        if own is not None and len(chunks := np.unique(own[of])) > 1:
-            sides = [np.flatnonzero(own[of][order] == c) for c in chunks]
-        for P in (sides[0][k : k + BLOCK] for k in range(0, len(sides[0]), BLOCK)):
-            for Q in (sides[-1][k : k + BLOCK] for k in range(0, len(sides[-1]), BLOCK)):
-                # sizes ascend in a block; within one side every pair of blocks comes once
-                if len(sides) == 1 and Q[0] < P[0]:
-                    continue
-                if size[P[-1]] < least * size[Q[0]] or size[Q[-1]] < least * size[P[0]] or min(rest[P].max(), rest[Q].max()) < least / (1 + least) * (size[P[0]] + size[Q[0]]):
-                    continue
-                names, code = np.unique(np.concatenate([short[P][used[P]], short[Q][used[Q]]]), return_inverse=True)
-                cut = int(used[P].sum())
-                shared, prior = [], []
-                for part, codes in ((P, code[:cut]), (Q, code[cut:])):
-                    row, col = np.nonzero(used[part])
-                    all_ = np.zeros((len(part), len(names)), np.float32)
-                    all_[row, codes] = 1
-                    was = np.zeros_like(all_)
-                    e = early[part][row, col]
-                    was[row[e], codes[e]] = 1
-                    shared.append(all_)
-                    prior.append(was)
-                small, large = np.minimum(size[P][:, None], size[Q]), np.maximum(size[P][:, None], size[Q])
-                need = np.minimum(SHARED, np.ceil(least / (1 + least) * (small + large) - 1e-9))
-                ok = (prior[0] @ prior[1].T == 0) & (shared[0] @ shared[1].T >= need) & (small >= least * large)
-                if len(sides) == 1 and P[0] == Q[0]:
-                    ok = np.triu(ok, 1)
-                i, j = np.nonzero(ok)
-                a.append(doc[P[i]])
-                b.append(doc[Q[j]])
+                    chunked = own[base] != own[base + m - 1]
+                    ok = pairs(x, y, low, high, first, last) & ~(np.repeat(chunked, len(i)) & (own[x] == own[y]))
+                    yield x[ok], y[ok]
+                continue
+            for start in at:
+                one = np.arange(start, start + m)
+                sides = [one[own[one] == c] for c in np.unique(own[one])]
+                sides = [s[np.lexsort((first[s], low[s]))] for s in sides]
+                blocks = [[s[k : k + BLOCK] for k in range(0, len(s), BLOCK)] for s in sides]
+                for p, P in enumerate(blocks[0]):
+                    for q, Q in enumerate(blocks[-1]):
+                        if len(sides) == 1 and q < p:
+                            continue
+                        if high[P].max() < least * low[Q].min() - 1e-6 or high[Q].max() < least * low[P].min() - 1e-6:
+                            continue
+                        if min(last[P].max(), last[Q].max()) + min((high - first)[P].max(), (high - first)[Q].max()) < half * (low[P].min() + low[Q].min()) - 1e-6:
+                            continue
+                        ok = pairs(P[:, None], Q, low, high, first, last)
+                        i, j = np.nonzero(np.triu(ok, 1) if len(sides) == 1 and p == q else ok)
+                        yield P[i], Q[j]
 
     def out(cols):
-        a, b = lists(*cols)
-        keep = a != b
-        a, b = a[keep], b[keep]
-        for lo in range(0, len(a), 100_000):
-            x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        held, many = [], 0
+        _, lead, low, high, *_ = cols
+
+        def flush():
+            x, y = (np.concatenate(c) for c in zip(*held))
+            swap = lead[x] > lead[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            ok = lead[x] != lead[y]
+            x, y = x[ok], y[ok]
+            order = np.lexsort((lead[y], lead[x]))
+            x, y = x[order], y[order]
+            if not len(x):
+                return
+            new = np.flatnonzero(np.r_[True, (lead[x][1:] != lead[x][:-1]) | (lead[y][1:] != lead[y][:-1])])
+            cols = [lead[x[new]], lead[y[new]], np.diff(np.r_[new, len(x)]), np.minimum.reduceat(low[x], new), np.maximum.reduceat(high[x], new), np.minimum.reduceat(low[y], new), np.maximum.reduceat(high[y], new)]
+            for lo in range(0, len(new), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000].astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(cols)], [c.split()[0] for c in _CANDIDATE.split(", ")])
+
+        for x, y in lists(*cols):
+            held.append((x, y))
+            many += len(x)
+            if many > 2_000_000:
+                yield from flush()
+                held, many = [], 0
+        if held:
+            yield from flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, rows, held = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            short = np.zeros((batch.num_rows, PREFIX), np.uint32)
-            for i, x in enumerate(batch.column(4)):
-                x = np.frombuffer(x.as_py(), np.uint32)
-                short[i, : len(x)] = x
-            cols = [np.asarray(batch.column(i)) for i in range(4)] + [short] + ([np.asarray(batch.column(5))] if parts else [])
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
-            gram = cols[0]
-            cut = int(np.searchsorted(gram, gram[-1], "left"))
+            kept.append([np.asarray(c).astype(np.int64) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < 200_000:
+                continue
+            cols = [np.concatenate(c) for c in zip(*kept)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if cut:
-                yield from out([x[:cut] for x in cols])
-            kept = [x[cut:] for x in cols]
-        if kept is not None:
-            yield from out(kept)
+                yield from out([c[:cut] for c in cols])
+            kept, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
+        if kept:
+            yield from out([np.concatenate(c) for c in zip(*kept)])
 
     return run
 
@@ -231,185 +371,275 @@ def overlaps(group: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(n: int, least: float, pairs: bool):
-    """Exact pairs (or edges to each local component's least member) of groups sorted by (g, i, j)."""
+_FOUND = "kind int, a long, ra int, b long, rb int, n long"
+LINKS, EDGE, OPEN = 0, 1, 2
+
+
+def _found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), 100_000):
+        yield _batch({"kind": pa.int32(), "a": pa.int64(), "ra": pa.int32(), "b": pa.int64(), "rb": pa.int32(), "n": pa.int64()}, zip(*rows[lo : lo + 100_000]))
+
+
+def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least node of each of m nodes' components."""
+    root = np.arange(m)
+    while True:
+        was = root.copy()
+        np.minimum.at(root, j, was[i])
+        np.minimum.at(root, i, was[j])
+        root = root[root]
+        if (root == was).all():
+            return root
+
+
+def _answers(n: int, least: float):
+    """What follows from exact overlaps of references, in groups sorted by (g, i, j).
 
-    def answers(key, docs, homes, chunks, group):
+    LINKS: n links of each set of ring ra of a.  EDGE: some sets of a and b are linked.
+    OPEN: sets of ring ra of a and of ring rb of b must be compared.
+    """
+    ratio = _ratio(least)
+
+    def answers(key, held) -> list[tuple]:
         best: dict[int, tuple] = {}
-        for d, h, c, x in zip(docs, homes, chunks, group):
-            if len(x) and (d not in best or identity(x) < identity(best[d][2])):
-                best[d] = (h, c, x)
-        docs = np.array(sorted(best))
-        if len(docs) < 2:
-            return None
-        home, chunk = (np.array([best[d][k] for d in docs]) for k in (0, 1))
-        size = np.array([len(best[d][2]) for d in docs])
-        o = overlaps([best[d][2] for d in docs])
-        jac = o / (size[:, None] + size - o)
-        ok = (jac >= least) & home[None, :].astype(bool)
+        for v, *rest in held:
+            best.setdefault(v, rest)
+        leads = sorted(best)
+        m = len(leads)
+        if m < 2:
+            return []
+        home, chunk, rings, group = zip(*(best[v] for v in leads))
+        chunk, size = np.array(chunk), np.array([len(x) for x in group])
+        overlap = overlaps(group)
+        ok = np.triu(np.broadcast_to(np.array(home, bool), (m, m)), 1)
         if key[1] != key[2]:
             ok &= chunk[:, None] != chunk
-        i, j = np.nonzero(np.triu(ok, 1))
-        if not len(i):
-            return None
-        if pairs:
-            return docs[i], docs[j], np.round(jac[i, j], 6)
-        root = np.arange(len(docs))
-        while True:
-            was = root.copy()
-            np.minimum.at(root, j, was[i])
-            np.minimum.at(root, i, was[j])
-            root = root[root]
-            if (root == was).all():
-                break
-        k = np.flatnonzero(root != np.arange(len(docs)))
-        return docs[root[k]], docs[k], np.ones(len(k))
+        block = np.array([v < 0 for v in leads])
+        alone = ok & ~(block[:, None] | block)
+        linked = alone & (overlap / np.maximum(1, size[:, None] + size - overlap) >= least)
+        docs = np.array([0 if b else r[0]["docs"] for b, r in zip(block, rings)], np.int64)
+        links = linked @ docs + linked.T @ docs
+        out = [(LINKS, leads[k], 0, None, None, int(links[k])) for k in np.flatnonzero(links)]
+        # A block's sets: key = size - ratio * d bounds a link from below, size + ratio * d from above.
+        for i, j in zip(*np.nonzero(ok & ~alone)):
+            apart = ratio * float(size[i] + size[j] - 2 * overlap[i, j])
+            for x in rings[i]:
+                for y in rings[j]:
+                    if x["low"] + y["low"] - apart > 1e-6:
+                        linked[i, j] = True
+                        out.append((LINKS, leads[i], x["ring"], None, None, y["docs"]))
+                        out.append((LINKS, leads[j], y["ring"], None, None, x["docs"]))
+                    elif x["high"] + y["high"] - apart > -1e-6:
+                        out.append((OPEN, leads[i], x["ring"], leads[j], y["ring"], None))
+        root = _roots(m, *np.nonzero(linked))
+        out += [(EDGE, leads[root[k]], None, leads[k], None, None) for k in np.flatnonzero(root != np.arange(m))]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out, rows = None, ([], [], [], []), [], 0
+        now, held, out = None, [], []
+        for batch in batches:
+            for part in slices(batch):
+                g, i, j, v, home, chunk, rings = (part.column(k).to_pylist() for k in range(7))
+                grams = part.column(8)
+                for r, x in enumerate(sets(Words(part.column(7)), n)):
+                    if (key := (g[r], i[r], j[r])) != now:
+                        if held:
+                            out += answers(now, held)
+                        now, held = key, []
+                        if len(out) > 50_000:
+                            yield from _found(out)
+                            out = []
+                    held.append((v[r], home[r], chunk[r], rings[r], x if v[r] >= 0 else np.frombuffer(grams[r].as_buffer(), np.uint64)))
+        if held:
+            out += answers(now, held)
+        if out:
+            yield from _found(out)
+
+    return run
 
-        def flush():
-            nonlocal out, rows
-            a, b, s = (np.concatenate(x) for x in zip(*out))
-            out, rows = [], 0
-            for lo in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (a, b, s)], ["a", "b", "jaccard"])
 
+def _one_by_one(n: int, least: float):
+    """LINKS of single sets (as a, by k) and EDGEs, of sets sorted by (a, ra, b, rb, i, j)."""
+
+    def answers(key, held) -> list[tuple]:
+        sides: tuple[dict, dict] = ({}, {})
+        for second, k, docs, x in held:
+            sides[second].setdefault(k, (docs, x))
+        if not sides[0] or not sides[1]:
+            return []
+        ks = [list(s) for s in sides]
+        docs = [np.array([s[k][0] for k in s], np.int64) for s in sides]
+        group = [s[k][1] for s in sides for k in s]
+        m, size = len(ks[0]), np.array([len(x) for x in group])
+        overlap = overlaps(group)[:m, m:]
+        linked = overlap / (size[:m, None] + size[m:] - overlap) >= least
+        out = [(LINKS, k, None, None, None, int(x)) for k, x in zip(ks[0], linked @ docs[1]) if x]
+        out += [(LINKS, k, None, None, None, int(x)) for k, x in zip(ks[1], linked.T @ docs[0]) if x]
+        return out + ([(EDGE, key[0], None, key[2], None, None)] if linked.any() else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
         for batch in batches:
             for part in slices(batch):
-                g, i, j, v, home, chunk = (part.column(k).to_pylist() for k in range(6))
-                for r, x in enumerate(sets(Words(part.column(6)), n)):
-                    key = (g[r], i[r], j[r])
-                    if key != now:
-                        if now is not None and (found := answers(now, *held)) is not None:
-                            out.append(found)
-                            rows += len(found[0])
-                        now, held = key, ([], [], [], [])
-                        if rows > 100_000:
-                            yield from flush()
-                    for to, what in zip(held, (v[r], home[r], chunk[r], x)):
-                        to.append(what)
-        if now is not None and (found := answers(now, *held)) is not None:
-            out.append(found)
+                keys = list(zip(*(part.column(k).to_pylist() for k in range(6))))
+                second, k, docs = (part.column(c).to_pylist() for c in (6, 7, 8))
+                for r, x in enumerate(sets(Words(part.column(9)), n)):
+                    if keys[r] != now:
+                        if held:
+                            out += answers(now, held)
+                        now, held = keys[r], []
+                        if len(out) > 50_000:
+                            yield from _found(out)
+                            out = []
+                    held.append((second[r], k[r], docs[r], x))
+        if held:
+            out += answers(now, held)
         if out:
-            yield from flush()
+            yield from _found(out)
 
     return run
 
 
-def _prepared(spark: SparkSession, docs: DataFrame, n: int, least: float, pairs: bool) -> tuple[DataFrame, DataFrame, Store]:
-    """The map of documents to representatives, and the verified pairs of representatives."""
+def _blocks(store: Store, classes: DataFrame) -> DataFrame:
+    """k, lead, ref: the bucket of sets that set k is compared in, named by a set of it, and whether it is one of those that make its reference."""
+    keys = classes.select("k", F.explode(F.array(*(f"b{r}" for r in range(BUCKETS)))).alias("bucket"))
+    several = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    best = store.table(keys.join(several, "bucket").groupBy("k").agg(F.max(F.struct("many", "bucket")).alias("best")), "best")
+    # Sets of one origin may have different buckets as their largest: a bucket goes with the largest that any of its sets is in.
+    to = keys.join(best, "k").groupBy("bucket").agg(F.max("best").alias("to"))
+    of = best.join(to, F.col("best.bucket") == to["bucket"]).select("k", F.col("to.bucket").alias("bucket"))
+    lead = of.groupBy("bucket").agg(F.min("k").alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    of = store.table(of.join(lead, "bucket").select("k", "lead"), "assigned")
+    rank = F.row_number().over(Window.partitionBy("lead").orderBy(F.xxhash64("k"), "k"))
+    refs = of.withColumn("rank", rank).where(F.col("rank") <= REFS).select("k", F.lit(True).alias("ref"))
+    return of.join(refs, "k", "left").select("k", "lead", F.coalesce("ref", F.lit(False)).alias("ref"))
+
+
+def _candidates(spark: SparkSession, posts: DataFrame, least: float) -> DataFrame:
+    """Pairs of leads that may hold a link."""
+    order = Window.partitionBy("gram")
+    lists = posts.withColumn("many", F.count(F.lit(1)).over(order)).where("many > 1")
+    cols = ["gram", "lead", "low", "high", "first", "last"]
+    short = lists.where(F.col("many") <= LIST).select(*cols, F.lit(0).alias("own")).mapInArrow(_lists(least), _CANDIDATE)
+    # Chunks of a long list are ranges of size and position.  Only chunks whose sizes can meet are paired, each pair a list of its own.
+    long = lists.where(F.col("many") > LIST).withColumn("own", F.floor((F.row_number().over(order.orderBy("low", "first", "lead")) - 1) / LIST).cast("int"))
+    ranges = long.groupBy("gram", "own").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    a, b = (ranges.select("gram", F.col("own").alias(c), F.col("least").alias(f"{c}0"), F.col("most").alias(f"{c}1")) for c in "ij")
+    meet = a.join(b, "gram").where(f"i <= j AND i1 >= {least} * j0 - 1e-6 AND j1 >= {least} * i0 - 1e-6")
+    meet = meet.select("gram", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    key = F.xxhash64("gram", "i", "j")
+    long = long.join(meet, ["gram", "own"]).select(key.alias("gram"), *cols[1:], "own")
+    # Few bytes and much work: their partitions are given, lest they be put together by size.
+    long = long.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "own").mapInArrow(_lists(least), _CANDIDATE)
+    found = short.unionByName(long).groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.min(c).alias(c) for c in ("amin", "bmin")), *(F.max(c).alias(c) for c in ("amax", "bmax")))
+    rest = F.ceil(F.lit(least) * F.greatest("amax", "bmax") - 1e-9) - 1
+    return found.where(F.col("shared") + rest >= least / (1 + least) * (F.col("amin") + F.col("bmin")) - 1e-6).select("a", "b")
+
+
+def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame, Store]:
+    """members (doc_id, h, id1, id2, size), sets (k, id1, id2, size, doc, docs, lead, ring, own: links), edges between leads (u, v; v < u), and the store they are in."""
     store = Store(spark)
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = texts.mapInArrow(_sketch(n), "doc_id long, size int, id1 long, id2 long, first array<long>, short binary")
-    one = sketch.groupBy("doc_id").agg(F.min(F.struct("id1", "id2", "size", "first", "short")).alias("s")).select("doc_id", "s.*")
-    rep = F.min("doc_id").over(Window.partitionBy("id1", "id2", "size"))
-    mapped = store.table(one.withColumn("rep", rep), "mapped")
-    lone = mapped.where("doc_id = rep")
-    postings = lone.select(F.posexplode("first").alias("pos", "gram"), "rep", "size", "short")
-    several = F.count(F.lit(1)).over(Window.partitionBy("gram"))
-    lists = postings.withColumn("many", several).where("many > 1").select("gram", "rep", "size", "pos", "short", "many")
-    short = lists.where(F.col("many") <= LIST).drop("many").mapInArrow(_index(least), "a long, b long")
-    # The pairs of chunks of a long list are keyed by a hash of gram and chunks, a list of its own each.  They are
-    # few bytes and much work, so their partitions are given, lest they be put together by size.
-    long = lists.where(F.col("many") > LIST).withColumn("parts", F.ceil(F.col("many") / LIST).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
-    long = long.select(key.alias("gram"), "rep", "size", "pos", "short", "own").repartition(partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(_index(least, True), "a long, b long")
-    edges = store.table(short.unionByName(long), "edges")
-    lead = edges.groupBy("b").agg(F.min("a").alias("g"))
-    near = edges.join(lead, "b").select("g", "a", "b")
-    member = near.select("g", F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("home")), F.struct(F.col("b").alias("v"), F.lit(1).alias("home")))).alias("m"))
-    member = member.groupBy("g", "m.v").agg(F.max("m.home").alias("home"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("g"))
-    member = member.withColumn("parts", F.ceil(size / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = store.table(member.select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "home", "chunk"), "member")
-    store.drop("edges")
-    # Each text is moved once by its doc_id, then to its groups; only texts that have candidates go there.
-    # Members grow with the corpus, so they are never broadcast.
-    with_text = member.hint("merge").join(texts.withColumnRenamed("doc_id", "v"), "v").select("g", "i", "j", "v", "home", "chunk", "text")
-    with_text = with_text.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "v")
-    found = with_text.mapInArrow(_verify(n, least, pairs), "a long, b long, jaccard double")
-    return mapped.select("doc_id", "rep"), store.table(found, "found"), store
-
-
-def _nodes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """If doc_ids have several texts: docs with a __node for each doc_id and text (the doc_id itself, where it has one text), and __node, __doc of the others."""
-    store, rows, key = Store(spark), docs.select("doc_id", "text").where("doc_id IS NOT NULL"), F.xxhash64("text")
-    several = store.table(rows.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a != b").select(F.col("doc_id").alias("__several")), "several")
-    if not several.limit(1).count():
-        return None
-    for salt in range(60):  # until no node is a doc_id or another's node
-        node = F.xxhash64("doc_id", "text", F.lit(salt))
-        extra = rows.join(several, rows["doc_id"] == several["__several"], "left_semi").select(node.alias("__node"), F.col("doc_id").alias("__doc"), key.alias("__key")).distinct()
-        extra = store.table(extra, f"nodes-{salt}")
-        if extra.count() == extra.select("__node").distinct().count() and not rows.join(extra, rows["doc_id"] == extra["__node"], "left_semi").limit(1).count():
-            break
-    named = docs.join(several, docs["doc_id"] == several["__several"], "left")
-    return named.withColumn("__node", F.when(F.col("__several").isNotNull(), node).otherwise(F.col("doc_id"))).drop("__several"), extra.select("__node", "__doc")
-
-
-def near_pairs(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """doc_a, doc_b, jaccard for every pair of documents, doc_a < doc_b, of Jaccard index least or more."""
-    given = _nodes(spark, docs)
-    if given is None:
-        return _pairs(spark, docs, n, least)
-    found, extra = _pairs(spark, given[0].select(F.col("__node").alias("doc_id"), "text"), n, least), given[1]
-    for c in ("doc_a", "doc_b"):
-        found = found.join(extra, found[c] == extra["__node"], "left").withColumn(c, F.coalesce("__doc", c)).drop("__node", "__doc")
-    found = found.where("doc_a != doc_b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "jaccard")
-    return found.groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-
-
-def _pairs(spark: SparkSession, docs: DataFrame, n: int, least: float) -> DataFrame:
-    """near_pairs() of documents that have one text each."""
-    mapped, found, store = _prepared(spark, docs, n, least, True)
-    copies = mapped.where("doc_id != rep")
-    same = mapped.select(F.col("doc_id").alias("x"), "rep").join(copies.select(F.col("doc_id").alias("y"), "rep"), "rep").where("x < y")
-    has = store.table(copies.select("rep").distinct().join(mapped, "rep"), "copies")  # representatives with copies, and all these
-    a, b = has.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), has.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
-    other = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "jaccard")
-    both = other.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return both.unionByName(same.select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard")))
-
-
-def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """doc_id, group_id for each document that has a partner; a group's id is its least doc_id."""
-    given = _nodes(spark, docs)
-    if given is None:
-        return _groups(spark, docs, n, least)
-    of = _named_groups(spark, *given, n, least).groupBy("group").agg(F.collect_set("doc").alias("docs")).where("size(docs) > 1")
-    return of.select(F.explode("docs").alias("doc_id"), F.array_min("docs").alias("group_id"))
-
-
-def _groups(spark: SparkSession, docs: DataFrame, n: int, least: float) -> DataFrame:
-    """near_groups() of documents that have one text each."""
-    mapped, found, store = _prepared(spark, docs, n, least, False)
-    edges = found.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct()
-    comp = _components(store, edges)
-    root = mapped.join(comp.select(F.col("u").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("group_id"))
-    return root.withColumn("size", size).where("size > 1").drop("size")
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    scan = store.table(rows.mapInArrow(_scan(n), _SCAN), "scan")
+    heavy = spark.sparkContext.broadcast(_heavy(scan))
+    values = ["size", "id1", "id2", *(f"b{r}" for r in range(BUCKETS))]
+    members = store.table(scan.where("doc_id IS NOT NULL").groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in values)), "members")
+    store.drop("scan")
+    classes = members.groupBy("id1", "id2", "size").agg(F.min(F.struct("doc_id", "h")).alias("doc"), F.count(F.lit(1)).alias("docs"), *(F.first(c).alias(c) for c in values[3:]))
+    classes = store.table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
+    assigned = _blocks(store, classes)
+    # One text of each set; this moves all texts once, the last join but one moves them again.
+    one = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    named = classes.select("k", "doc.doc_id", "doc.h").join(assigned, "k", "left")
+    texts = store.table(one.join(named.hint("merge"), ["doc_id", "h"]).select("k", "lead", "ref", "text"), "texts")
+    for name in ("best", "assigned"):
+        store.drop(name)
+    in_bucket = texts.where("lead IS NOT NULL")
+    refs = in_bucket.where("ref").select("lead", "text").repartition("lead").sortWithinPartitions("lead").mapInArrow(_consensus(n), "lead long, grams binary")
+    refs = store.table(refs, "refs")
+    near = in_bucket.hint("merge").join(refs, "lead").select("k", "lead", "text", "grams").mapInArrow(_compare(n, least), "k long, lead long, d int")
+    # A block's lead is below zero; a set outside blocks leads itself.
+    near = store.table(near.select("k", (-1 - F.col("lead")).alias("lead"), "d"), "near")
+    r = _ratio(least)
+    ring = F.floor(F.col("d") * F.lit(RINGS * r) / F.col("size")).cast("int")
+    sets_ = classes.select("k", "id1", "id2", "size", F.col("doc.doc_id").alias("doc"), "docs").join(near, "k", "left")
+    sets_ = sets_.select("k", "id1", "id2", "size", "doc", "docs", F.coalesce("lead", "k").alias("lead"), F.coalesce("d", F.lit(0)).alias("d"))
+    sets_ = store.table(sets_.withColumn("ring", ring), "sets")
+    low, high = F.min(F.col("size") - r * F.col("d")), F.max(F.col("size") + r * F.col("d"))
+    rings = sets_.groupBy("lead", "ring").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sets"), low.alias("low"), high.alias("high"))
+    rings = store.table(rings, "rings")
+
+    kind = "gram long, lead long, size int, pos int"
+    alone = texts.where("lead IS NULL").select("k", "text").mapInArrow(_post(n, least, heavy), kind)
+    other = in_bucket.select("k", "text").join(near.select("k", F.col("lead").alias("block")), "k", "left").select(F.coalesce("block", "k").alias("k"), "text").mapInArrow(_post(n, least, heavy), kind)
+    low, high, first, last = F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last")
+    posts = alone.select("gram", "lead", F.col("size").alias("low"), F.col("size").alias("high"), F.col("pos").alias("first"), F.col("pos").alias("last"))
+    posts = posts.unionByName(other.groupBy("gram", "lead").agg(low, high, first, last))
+    pairs = store.table(_candidates(spark, posts, least), "pairs")
+
+    lead = pairs.groupBy("b").agg(F.min("a").alias("g"))
+    meet = pairs.join(lead, "b").select("g", F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("home")), F.struct(F.col("b").alias("v"), F.lit(1).alias("home")))).alias("m"))
+    meet = meet.groupBy("g", "m.v").agg(F.max("m.home").alias("home"))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("g")) / CHUNK).cast("int")
+    meet = meet.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = store.table(meet.select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "home", "chunk"), "meet")
+    store.drop("pairs")
+    shape = meet.select("v").distinct().join(rings, F.col("v") == rings["lead"]).groupBy("v").agg(F.collect_list(F.struct("ring", "docs", "low", "high")).alias("rings"))
+    what = texts.select(F.col("k").alias("v"), "text", F.lit(None).cast("binary").alias("grams")).unionByName(refs.select((-1 - F.col("lead")).alias("v"), F.lit(None).cast("string").alias("text"), "grams"))
+    meet = meet.join(shape, "v").join(what, "v").select("g", "i", "j", "v", "home", "chunk", "rings", "text", "grams")
+    found = meet.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_answers(n, least), _FOUND)
+    found = store.table(found, "found")
+    store.drop("meet")
+
+    open_ = found.where(F.col("kind") == OPEN).select("a", "ra", "b", "rb")
+    many = lambda c: rings.select(F.col("lead").alias(c), F.col("ring").alias(f"r{c}"), F.ceil(F.col("sets") / CHUNK).cast("int").alias(f"p{c}"))
+    open_ = store.table(open_.join(many("a"), ["a", "ra"]).join(many("b"), ["b", "rb"]), "open")
+    sides = []
+    for c, own, other in (("a", "i", "j"), ("b", "j", "i")):
+        side = open_.join(sets_.select("k", "docs", F.col("lead").alias(c), F.col("ring").alias(f"r{c}")), [c, f"r{c}"])
+        side = side.withColumn(own, F.pmod(F.xxhash64("k"), F.col(f"p{c}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("pb" if c == "a" else "pa") - 1)))
+        sides.append(side.select("a", "ra", "b", "rb", "i", "j", F.lit(int(c == "b")).alias("second"), "k", "docs"))
+    each = sides[0].unionByName(sides[1]).join(texts.select("k", "text"), "k").select("a", "ra", "b", "rb", "i", "j", "second", "k", "docs", "text")
+    key = ["a", "ra", "b", "rb", "i", "j"]
+    single = each.repartition(*key).sortWithinPartitions(*key).mapInArrow(_one_by_one(n, least), _FOUND)
+    single = store.table(single, "single")
+
+    of_ring = found.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("lead"), F.col("ra").alias("ring")).agg(F.sum("n").alias("ring_links"))
+    of_set = single.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("set_links"))
+    inside = rings.groupBy("lead").agg(F.sum("docs").alias("inside"))
+    own = F.col("inside") - 1 + F.coalesce("ring_links", F.lit(0)) + F.coalesce("set_links", F.lit(0))
+    sets_ = sets_.join(inside, "lead").join(of_ring, ["lead", "ring"], "left").join(of_set, "k", "left").select("k", "id1", "id2", "size", "doc", "lead", own.alias("links"))
+    edges = found.unionByName(single).where(F.col("kind") == EDGE).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    for name in ("classes", "near", "refs", "texts", "open"):
+        store.drop(name)
+    return members, sets_, edges, store
 
 
-def _named_groups(spark: SparkSession, docs: DataFrame, extra: DataFrame, n: int, least: float) -> DataFrame:
-    """node, group and doc of each node that has a partner."""
-    found = _groups(spark, docs.select(F.col("__node").alias("doc_id"), "text"), n, least).select(F.col("doc_id").alias("node"), F.col("group_id").alias("group"))
-    return found.join(extra, found["node"] == extra["__node"], "left").select("node", "group", F.coalesce("__doc", "node").alias("doc"))
+def near_links(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
+    """doc_id, class_id, links for each document that has a link; a class is a connected group, its id its least doc_id."""
+    return _classes(*_links(spark, docs, n, least)).select("doc_id", "class_id", "links")
+
+
+def _classes(members: DataFrame, sets_: DataFrame, edges: DataFrame, store: Store) -> DataFrame:
+    """doc_id, h, class_id, links of each document that has a link, and whether it is the first of its class."""
+    comp = _components(store, edges)
+    named = sets_.where("links > 0").join(comp.select(F.col("u").alias("lead"), "root"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
+    # (doc_id, h) of a class's first document: the least over its sets' first ones, not over all its documents at once.
+    of = members.join(named.select("id1", "id2", "size", "root", "links"), ["id1", "id2", "size"])
+    first = of.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    return of.join(first, "root").select("doc_id", "h", F.col("head.doc_id").alias("class_id"), "links", (F.struct("doc_id", "h") == F.col("head")).alias("first"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """docs without all but one text, of the least doc_id, of each group, and without repeated rows of a doc_id and text; rows of null doc_id stay."""
-    given = _nodes(spark, docs)
-    if given is None:
-        named, gone = docs.withColumn("__node", F.col("doc_id")), _groups(spark, docs, n, least).where("doc_id != group_id").select(F.col("doc_id").alias("__gone"))
-    else:
-        named, first = given[0], F.min(F.struct("doc", "node")).over(Window.partitionBy("group"))
-        gone = _named_groups(spark, *given, n, least).withColumn("first", first).where("node != first.node").select(F.col("node").alias("__gone"))
-    kept = named.join(gone, named["__node"] == F.col("__gone"), "left_anti")
-    again = F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__again", again).where("__again = 1 OR doc_id IS NULL").select(*docs.columns)
+    """docs without all but one document, of the least doc_id, of each class, and without repeated rows of a document; rows of null doc_id stay."""
+    members, sets_, edges, store = _links(spark, docs, n, least)
+    gone = store.table(_classes(members, sets_, edges, store).where("NOT first").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")), "gone")
+    # Ordered by every column that has an order, so the row that stays doesn't depend on the run; a text moves once.
+    order = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    again = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(*order))
+    one = docs.where("doc_id IS NOT NULL").withColumn("__hash", F.xxhash64("text")).withColumn("__again", again).where("__again = 1")
+    kept = one.join(gone, (one["doc_id"] == gone["__doc"]) & (one["__hash"] == gone["__h"]), "left_anti")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def _components(store: Store, edges: DataFrame) -> DataFrame:
@@ -426,5 +656,5 @@ def _components(store: Store, edges: DataFrame) -> DataFrame:
         store.drop(name)
         edges, name = after, f"star-{turn}"
         if not changed:
-            break
-    return edges.select("u", F.col("v").alias("root"))
+            return edges.select("u", F.col("v").alias("root"))
+    raise RuntimeError("the components of the links didn't come to rest")

@@ -28,7 +28,7 @@ def op4_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_pairs(spark, _read(spark, sf_dir, "documents"))
+    return ngram_join.near_links(spark, _read(spark, sf_dir, "documents"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_sharding": sharding.SQL.format(docs="documents"),
-    "op5_ngram_jaccard_join": ngram_join.PAIRS_SQL.format(docs="documents"),
+    "op5_ngram_jaccard_join": ngram_join.LINKS_SQL.format(docs="documents"),
     "op6_suffix_array_dedup": suffix_array.SQL.format(docs="documents"),
     "op7_mixing": mixing.SQL.format(docs="documents"),
     "op9_decontamination": decontaminate.SQL.format(docs="documents", benchmark="benchmark"),

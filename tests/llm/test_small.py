@@ -147,53 +147,136 @@ def test_wu_manber_against_find(strings, text):
 
 # 5. N-gram Jaccard join
 
-def test_near_pairs_equal_sql(spark, table, duck, rows, docs):
-    ids = [d for k, d in enumerate(docs) if d not in docs[:k]]
-    want = duck(ngram_join.PAIRS_SQL.format(docs="documents"), documents=ids)
-    assert rows(ngram_join.near_pairs(spark, table(docs))) == want and len(want) >= 6
+def brute_links(docs, least=0.6):
+    """Sorted (doc_id, class_id, links), and the (doc_id, text) that stay, by comparing all sets with all."""
+    units = sorted({(d[0], d[1]) for d in docs if d[0] is not None and d[1] is not None})
+    grams = {}
+    for u in units:
+        w = re.findall("[^ \t\n\r\f]+", u[1])
+        if w:
+            grams[u] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+    near = {a: [b for b in grams if b != a and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= least] for a in grams}
+    head = {}
+    for a in units:  # in order, so the first that is reached is the class's least
+        stack = [a] if a in grams and a not in head else []
+        while stack:
+            x = stack.pop()
+            if x not in head:
+                head[x] = a
+                stack += near[x]
+    return sorted((a[0], head[a][0], len(near[a])) for a in grams if near[a]), sorted(u for u in units if head.get(u, u) == u)
+
+
+def check_links(spark, t, docs):
+    want, stay = brute_links(docs)
+    assert sorted(tuple(x) for x in ngram_join.near_links(spark, t).collect()) == want
+    kept = ngram_join.keep_one(spark, t)
+    nulls = [("None", str(d[1])) for d in docs if d[0] is None]
+    lost = {(str(d[0]), str(d[1])) for d in docs if d[0] is not None and d[1] is None}
+    assert kept.columns == t.columns and sorted((str(x.doc_id), str(x.text)) for x in kept.collect()) == sorted([(str(a), b) for a, b in stay] + nulls + list(lost))
+    return want
+
 
+def test_near_links_equal_sql(spark, table, duck, rows, docs):
+    want = duck(ngram_join.LINKS_SQL.format(docs="documents"), documents=docs)
+    assert rows(ngram_join.near_links(spark, table(docs))) == want and len(want) >= 5
 
-def test_near_groups_and_kept(spark, table, docs):
+
+def test_near_links_and_kept(spark, table, docs):
     r = random.Random(5)
     chain = [prose(r, 200).split()]
     for k in range(6):  # each like the next, the ends unlike
         chain.append(chain[-1][:170 - 20 * k] + prose(r, 20).split() + chain[-1][190 - 20 * k:])
     many = docs + [(100 + k, " ".join(c)) for k, c in enumerate(chain)] + [(200 + k, prose(r, 3) + " " + docs[2][1]) for k in range(40)]
-    t = table(many)
-    sets = {d: {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for d, x in {d[0]: d[1] for d in many if d[0] is not None and d[1] and d[1].split()}.items() for w in [x.split()]}
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    want = {d: find(d) for d in sets}
-    grouped = {d: g for d, g in want.items() if list(want.values()).count(g) > 1}
-    assert {x.doc_id: x.group_id for x in ngram_join.near_groups(spark, t).collect()} == grouped
-    kept = ngram_join.keep_one(spark, t)
-    gone = {d for d, g in grouped.items() if d != g}
-    assert kept.columns == t.columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(d) for d in {d[0] for d in many} - gone)
+    assert len(check_links(spark, table(many), many)) > 45
+
+
+def blocks(seed, n):
+    """Copies of two bases that are like each other, changed little or much, so that blocks, rings and single sets meet at every distance."""
+    r = random.Random(seed)
+    one = prose(r, 150).split()
+    two = one[:118] + prose(r, 32).split()
+    out = []
+    for k in range(n):
+        w = list(r.choice([one, one, two]))
+        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 12])):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append((k, " ".join(w[: r.choice([150, 150, 140, 100])])))
+    return out
+
+
+@pytest.mark.parametrize(("most", "seed"), [(None, 21), (7, 22)])
+def test_near_links_of_blocks(spark, table, most, seed):
+    """All answers of large groups of near copies, taken whole and in chunks of lists, references and rings."""
+    docs, old = blocks(seed, 90), (ngram_join.CHUNK, ngram_join.LIST, ngram_join.BLOCK)
+    try:
+        if most:
+            ngram_join.CHUNK, ngram_join.LIST, ngram_join.BLOCK = most, most, 3
+        want = check_links(spark, table(docs), docs)
+    finally:
+        ngram_join.CHUNK, ngram_join.LIST, ngram_join.BLOCK = old
+    assert len(want) > 80 and len({x[2] for x in want}) > 5
+
+
+def test_lists_in_blocks_lose_no_pair():
+    """Every pair of a long list whose sizes and positions allow a link comes once, whole or from pairs of chunks."""
+    r = np.random.default_rng(8)
+    m = 300
+    low = r.integers(1, 60, m)
+    high, first = low + r.integers(0, 5, m), r.integers(0, 10, m) % low
+    last = np.minimum(first + r.integers(0, 3, m), high - 1)
+    want = set()
+    for a in range(m):
+        for b in range(a + 1, m):
+            near = high[a] >= 0.6 * low[b] - 1e-6 and high[b] >= 0.6 * low[a] - 1e-6
+            if near and min(last[a], last[b]) + min(high[a] - first[a], high[b] - first[b]) >= 0.375 * (low[a] + low[b]) - 1e-6:
+                want.add((a, b))
+
+    def pairs(gram, own, at):
+        cols = [np.full(len(at), gram), at, low[at], high[at], first[at], last[at], own]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*"abcdefg"])
+
+    old = ngram_join.BLOCK
+    try:
+        ngram_join.BLOCK = 32
+        whole = list(ngram_join._lists(0.6)(iter([pairs(5, np.zeros(m, int), np.arange(m))])))
+        half = np.arange(m) % 2
+        parts = [pairs(g, half[at], at) for g, at in ((1, np.flatnonzero(half == 0)), (2, np.r_[np.flatnonzero(half == 0), np.flatnonzero(half == 1)]), (3, np.flatnonzero(half == 1)))]
+        chunked = list(ngram_join._lists(0.6)(iter(parts)))
+    finally:
+        ngram_join.BLOCK = old
+    for got in (whole, chunked):
+        found = [(x["a"], x["b"]) for b in got for x in b.to_pylist()]
+        assert len(found) == len(set(found)) and set(found) == want and all(x["shared"] == 1 for b in got for x in b.to_pylist())
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(9)
+    gram = np.unique(r.integers(0, 2**63, 30).astype(np.uint64))
+    heavy = (gram, r.integers(0, 4, len(gram)))
+    base = np.concatenate([gram[:20], r.integers(0, 2**63, 40).astype(np.uint64)])
+    some = [np.unique(np.concatenate([r.permutation(base)[: r.integers(2, 60)], r.integers(0, 2**63, r.integers(0, 12)).astype(np.uint64)])) for _ in range(200)]
+    first = [set(ngram_join.prefix(x, heavy, 0.6).tolist()) for x in some]
+    for i in range(200):
+        for j in range(i):
+            o = len(np.intersect1d(some[i], some[j]))
+            if o / (len(some[i]) + len(some[j]) - o) >= 0.6:
+                assert first[i] & first[j]
 
 
 def test_join_defined(spark, table):
-    assert ngram_join.near_pairs(spark, table([])).count() == 0 and ngram_join.keep_one(spark, table([])).count() == 0
-    assert ngram_join.near_pairs(spark, table([(1, None), (2, None), (3, ""), (4, "")])).count() == 0
+    assert ngram_join.near_links(spark, table([])).count() == 0 and ngram_join.keep_one(spark, table([])).count() == 0
+    assert ngram_join.near_links(spark, table([(1, None), (2, None), (3, ""), (4, "")])).count() == 0
 
 
 def test_several_texts_of_a_doc_id(spark, table):
-    """Each is searched, and none is lost that isn't a copy."""
+    """Each is searched, and none is lost that isn't a copy; the text that stays is the one that was compared."""
     r = random.Random(14)
     a, b, c, d = (prose(r, 80) for _ in range(4))
-    t = table([(3, a), (3, b), (9, a), (8, b + " more"), (8, c), (8, c), (4, d), (5, None), (5, d), (None, a), (None, a)])
-    assert {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.near_pairs(spark, t).collect()} == {(3, 9): 1.0, (3, 8): pytest.approx(78 / 79, abs=1e-6), (4, 5): 1.0}
-    kept = ngram_join.keep_one(spark, t)
-    assert kept.columns == t.columns and sorted((str(x.doc_id), x.text or "") for x in kept.collect()) == sorted([("3", a), ("3", b), ("8", c), ("4", d), ("5", ""), ("None", a), ("None", a)])
+    docs = [(3, a), (3, b), (9, a), (8, b + " more"), (8, c), (8, c), (4, d), (5, None), (5, d), (None, a), (None, a)]
+    docs += [(20 + k, t) for k in range(6) for t in [prose(r, 60)] for _ in range(2)]
+    docs += [x for k in range(6) for t in [prose(r, 60)] for x in [(40 + 3 * k, t), (41 + 3 * k, t), (41 + 3 * k, t + f" tail{k}")]]  # (1, A), (2, A), (2, B)
+    check_links(spark, table(docs), docs)
 
 
 def test_overlaps_from_the_leader():
@@ -205,18 +288,6 @@ def test_overlaps_from_the_leader():
     assert (ngram_join.overlaps(group)[pairs] == want[pairs]).all()
 
 
-def test_large_groups_are_split(spark, table):
-    r = random.Random(6)
-    base = prose(r, 90)
-    docs = [(k, base + f" tail{k}") for k in range(30)]
-    old = ngram_join.CHUNK, ngram_join.LIST
-    try:
-        ngram_join.CHUNK = ngram_join.LIST = 8
-        assert ngram_join.near_pairs(spark, table(docs)).count() == 30 * 29 // 2
-    finally:
-        ngram_join.CHUNK, ngram_join.LIST = old
-
-
 # 6 and 10. Repeated substrings
 
 def test_repeats_equal_sql(spark, table, duck, rows, docs):
