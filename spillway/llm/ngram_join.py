@@ -515,20 +515,21 @@ def _blocks(store: Store, classes: DataFrame) -> DataFrame:
     return of.join(refs, "k", "left").select("k", "lead", F.coalesce("ref", F.lit(False)).alias("ref"))
 
 
-def _candidates(spark: SparkSession, posts: DataFrame, least: float) -> DataFrame:
+def _candidates(spark: SparkSession, store: Store, posts: DataFrame, least: float) -> DataFrame:
     """Pairs of leads that may hold a link."""
     order = Window.partitionBy("gram")
-    lists = posts.withColumn("many", F.count(F.lit(1)).over(order)).where("many > 1")
-    cols = ["gram", "lead", "low", "high", "first", "last"]
-    short = lists.where(F.col("many") <= LIST).select(*cols, F.lit(0).alias("own")).mapInArrow(_lists(least), _CANDIDATE)
+    # Most grams are of one set; their rows end here, and the others, a few, are moved again.
+    lists = store.table(posts.withColumn("many", F.count(F.lit(1)).over(order)).where("many > 1"), "lists")
+    cols = ["gram", "lead", *((F.shiftrightunsigned(c, 32) if k == 0 else F.col(c).bitwiseAND(0xFFFFFFFF)).cast("int").alias(name) for c, names in (("sizes", ("low", "high")), ("places", ("first", "last"))) for k, name in enumerate(names))]
+    short = lists.where(F.col("many") <= LIST).select(*cols, F.lit(0).alias("own")).repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists(least), _CANDIDATE)
     # Chunks of a long list are ranges of size and position.  Only chunks whose sizes can meet are paired, each pair a list of its own.
-    long = lists.where(F.col("many") > LIST).withColumn("own", F.floor((F.row_number().over(order.orderBy("low", "first", "lead")) - 1) / LIST).cast("int"))
+    long = lists.where(F.col("many") > LIST).select(*cols).withColumn("own", F.floor((F.row_number().over(order.orderBy("low", "first", "lead")) - 1) / LIST).cast("int"))
     ranges = long.groupBy("gram", "own").agg(F.min("low").alias("least"), F.max("high").alias("most"))
     a, b = (ranges.select("gram", F.col("own").alias(c), F.col("least").alias(f"{c}0"), F.col("most").alias(f"{c}1")) for c in "ij")
     meet = a.join(b, "gram").where(f"i <= j AND i1 >= {least} * j0 - 1e-6 AND j1 >= {least} * i0 - 1e-6")
     meet = meet.select("gram", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
     key = F.xxhash64("gram", "i", "j")
-    long = long.join(meet, ["gram", "own"]).select(key.alias("gram"), *cols[1:], "own")
+    long = long.join(meet, ["gram", "own"]).select(key.alias("gram"), "lead", "low", "high", "first", "last", "own")
     # Few bytes and much work: their partitions are given, lest they be put together by size.
     long = long.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "own").mapInArrow(_lists(least), _CANDIDATE)
     found = short.unionByName(long).groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.min(c).alias(c) for c in ("amin", "bmin")), *(F.max(c).alias(c) for c in ("amax", "bmax")))
@@ -572,10 +573,12 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     kind = "gram long, lead long, size int, pos int"
     alone = texts.where("lead IS NULL").select("k", "text").mapInArrow(_post(n, least, heavy), kind)
     other = in_bucket.select("k", "text").join(near.select("k", F.col("lead").alias("block")), "k", "left").select(F.coalesce("block", "k").alias("k"), "text").mapInArrow(_post(n, least, heavy), kind)
-    low, high, first, last = F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last")
-    posts = alone.select("gram", "lead", F.col("size").alias("low"), F.col("size").alias("high"), F.col("pos").alias("first"), F.col("pos").alias("last"))
-    posts = posts.unionByName(other.groupBy("gram", "lead").agg(low, high, first, last))
-    pairs = store.table(_candidates(spark, posts, least), "pairs")
+    both = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    posts = alone.select("gram", "lead", both(F.col("size"), F.col("size")).alias("sizes"), both(F.col("pos"), F.col("pos")).alias("places"))
+    block = other.groupBy("gram", "lead").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    posts = posts.unionByName(block.select("gram", "lead", both(F.col("low"), F.col("high")).alias("sizes"), both(F.col("first"), F.col("last")).alias("places")))
+    pairs = store.table(_candidates(spark, store, posts, least), "pairs")
+    store.drop("lists")
 
     lead = pairs.groupBy("b").agg(F.min("a").alias("g"))
     meet = pairs.join(lead, "b").select("g", F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("home")), F.struct(F.col("b").alias("v"), F.lit(1).alias("home")))).alias("m"))
