@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,30 +12,43 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
+    """The session's spark.checkpoint.dir; where that is unset, a folder of our own in local mode, as in tests, and an error elsewhere."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spillway-"))
     return at.rstrip("/")
 
 
 class Store:
-    """Written tables of one run of an operator.  A written table outlives lost executors, and cuts lineage."""
+    """Written tables of one run of an operator.  A written table outlives lost executors, and cuts lineage.
+
+    Tables that the result still reads are deleted when the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/spillway-{uuid.uuid4().hex}"
+        self.marked = False
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.marked:
+            whole, files = self._path("")
+            self.marked = files.deleteOnExit(whole)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later plan reads."""
+        for name in names:
+            path, files = self._path(name)
+            files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
