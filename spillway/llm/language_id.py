@@ -6,15 +6,17 @@ position's probabilities of the languages and of `und`, which is no language.  A
 of all texts are labelled, and a document's probabilities are the means over its positions.
 
 The network is trained here, in numpy, by backpropagation through time, on stretches at
-hashed places of at most TRAIN_DOCS labelled documents a language (those of least hashed
-doc_id) and on made strings of digits, signs and hex for `und`.  A shorter text is repeated to
-the length of a stretch.  Training takes the same time whatever the corpus's size; from 49
+hashed places of at most TRAIN_DOCS different labelled rows a language (those of least hash of
+doc_id and text; a row that is repeated counts once) and on made strings of digits, signs and
+hex for `und`.  A shorter text is repeated to the length of a stretch.  Training takes the same time whatever the corpus's size; from 49
 labels on it grows with their number, as a step has LEAST_EACH stretches of each at least.
 
 A document is kept if its most probable label is a language of probability MIN_PROBABILITY.  Defined cases: a null or empty
 text has no positions, so null language and probability, and isn't kept; documents of null
 language don't train; without any labelled document nothing is known, and all texts are
-`und`; repeated rows are labelled alike; an empty table gives no rows.  Other columns are
+`und`; repeated rows are labelled alike, and a corpus of few texts, each many times, trains on
+all of them; a very long text is read whole, stretch by stretch; labels of equal probability
+go to the first by name, `und` last; an empty table gives no rows.  Other columns are
 neither read nor returned by label(); accepted() keeps them.
 """
 
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spillway.llm.store import Store
 from spillway.llm.tokens import raw, slices
 
 HIDDEN, STRETCH = 8, 128
 TRAIN_DOCS, TRAIN_PLACES, TRAIN_STRETCH, STEPS, BATCH = 600, 4, 48, 220, 192
 LEAST_EACH = 4  # stretches of each label in a step, however many labels there are
-SPARE, LANGS = 8, 1000
+SPARE = 8
 UND, MIN_PROBABILITY = "und", 0.4
 SCHEMA = "doc_id long, lang string, probability double, keep boolean, positions array<struct<label:string,n:long>>, runs array<struct<label:string,start:long,stop:long>>"
 
@@ -210,20 +213,17 @@ def predict(q: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def model(spark: SparkSession, docs: DataFrame) -> dict:
-    """Trained on the labelled documents of least hashed doc_id, a bounded number for each language."""
-    labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("hash"))
-    # The least hashes of a language are sought below a bound that SPARE times as many should pass, so no task sorts a language.
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Trained on the labelled rows of least hash, at most TRAIN_DOCS different ones for each language."""
+    labelled = docs.where("lang IS NOT NULL AND text != ''").select("lang", "text", F.xxhash64("doc_id", "text", F.lit(11)).alias("hash"))
+    # The least hashes of a language are sought below a bound that SPARE times as many different rows should pass, so no task sorts a language.
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
+    counts = Store(spark).table(counts, "languages")  # a written table: small ones are sent to the texts, which stay where they are
     bound = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(SPARE * TRAIN_DOCS)) / F.col("n")) * F.lit(2.0**64)
-    small = counts.limit(LANGS + 1).count() <= LANGS
-    near = labelled.join(F.broadcast(counts) if small else counts, "lang").where(F.col("hash") <= bound)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    picks = near.withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS).select("doc_id").distinct()
-    # At most TRAIN_DOCS a language: sent to the texts, which stay where they are.
-    picks = F.broadcast(picks) if small else picks
-    places = F.expr(f"transform(sequence(0, {TRAIN_PLACES - 1}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), greatest(1, length(text) - {TRAIN_STRETCH})) as int), {TRAIN_STRETCH}))")
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(picks, "doc_id", "left_semi").select("doc_id", "lang", F.explode(places).alias("s")).where("s != ''")
-    rows = sorted(tuple(r) for r in rows.collect())
+    near = labelled.join(counts, "lang").where(F.col("hash") <= bound)
+    places = F.expr(f"transform(sequence(0, {TRAIN_PLACES - 1}), i -> substring(text, 1 + cast(pmod(xxhash64(hash, i), greatest(1, length(text) - {TRAIN_STRETCH})) as int), {TRAIN_STRETCH}))")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    picks = near.groupBy("lang", "hash").agg(F.min(places).alias("places")).withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS)
+    rows = sorted(tuple(r) for r in picks.select("hash", "lang", F.explode("places").alias("s")).where("s != ''").collect())
     return train([s.encode() for _, _, s in rows], [y for _, y, _ in rows])
 
 
