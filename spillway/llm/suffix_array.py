@@ -49,17 +49,25 @@ def suffix_array(s: list[int] | np.ndarray) -> list[int]:
     n = len(s)
     if n < 2:
         return list(range(n))
-    sa = np.argsort(np.asarray(s), kind="stable").tolist()
+    low = int(min(s))
+    count = [0] * (int(max(s)) - low + 2)  # counting sort by first symbol: symbols are names in a dense range
+    for c in s:
+        count[c - low + 1] += 1
+    for c in range(1, len(count)):
+        count[c] += count[c - 1]
+    first = count[:]  # by symbol, the first place of its group
+    sa = [0] * n
     place = [0] * n  # where a suffix stands in sa
     group = [0] * n  # first place of its group
     size = [0] * n  # by first place
-    first = 0
-    for k, i in enumerate(sa):
-        if s[i] != s[sa[first]]:
-            first = k
-        place[i] = k
-        group[i] = first
-        size[first] += 1
+    for i, c in enumerate(s):
+        c -= low
+        p = count[c]
+        count[c] = p + 1
+        sa[p] = i
+        place[i] = p
+        group[i] = first[c]
+        size[first[c]] += 1
     prev = [-1] * n
     end = n
     while end:
@@ -86,18 +94,28 @@ def suffix_array(s: list[int] | np.ndarray) -> list[int]:
                     group[j] = last
                     size[last] = 1
         else:
-            votes: dict[int, int] = {}
-            for i in sorted(sa[start:end]):
+            members = sa[start:end]
+            for i in members:  # to the last suffix before it that is in this group or a lower one
                 j = i - 1
-                while j >= 0 and group[j] >= start:
+                while j >= 0 and group[j] > start:
                     j = prev[j]
                 prev[i] = j
+            votes: dict[int, int] = {}
+            for i in members:  # then out of this group, each pointer of a chain once
+                chain = []
+                j = i
+                while j >= 0 and group[j] == start:
+                    chain.append(j)
+                    j = prev[j]
+                for k in chain:
+                    prev[k] = j
                 if j >= 0:
                     votes[j] = votes.get(j, 0) + 1
-            levels: dict[int, list[int]] = {}
+            most = max(votes.values(), default=0)
+            levels: list[list[int]] = [[] for _ in range(most + 1)]  # their sum is the group's size at most
             for j, v in votes.items():
-                levels.setdefault(v, []).append(j)
-            for v in sorted(levels, reverse=True):
+                levels[v].append(j)
+            for v in range(most, 0, -1):
                 moved: dict[int, int] = {}
                 for j in levels[v]:  # to the ends of their groups
                     g = group[j]
