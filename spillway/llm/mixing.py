@@ -11,9 +11,13 @@ Targets: a marginal's target is its share of tokens to the power `alpha`, normal
 get weight 0 there.  The cell table has a row for each combination that occurs, whatever the
 number of documents, and is raked in one task.
 
-Defined cases: a null source or language is a value of its own; a null or empty text has no
-tokens and, if its whole cell has none, probability `share`; repeated rows are drawn alike; a
-null doc_id draws as the text "null"; an empty table gives no rows.  Other columns are
+The topic of a document is what `topics`, a Column over its row, says.  Without one it is a
+coarse one from the text's form: markup, legal notes, contacts, numbers or prose.
+
+Defined cases: a null source, language or topic is a value of its own; a null or empty text has no
+tokens and, if its whole cell has none, probability `share`; repeated rows are drawn alike,
+different rows of a doc_id each by its own cell; a null doc_id draws as the text "null"; a very
+long text counts whole; an empty table gives no rows.  Other columns are
 neither read nor returned by mix(); sample() keeps them.
 """
 
@@ -104,26 +108,33 @@ def probabilities(tokens: np.ndarray, w: np.ndarray, share: float = SHARE) -> tu
     return factor, np.where(tokens > 0, p, share)
 
 
-def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, seed: str = SEED, topics: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled for every row of docs."""
-    return _mixed(spark, docs, targets, share, alpha, seed).drop("p")
+    cell, narrow, solved = _solved(spark, docs, targets, share, alpha, topics)
+    return narrow.join(solved, list(AXES)).select(
+        "doc_id", *AXES, "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("probability"), (_draw(seed) < F.col("p")).alias("sampled")
+    )
+
 
+def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, seed: str = SEED, topics: Column | None = None) -> DataFrame:
+    """The sampled rows of docs, with all their columns; each row is drawn by the cell it lies in, where it is."""
+    cell, _, solved = _solved(spark, docs, targets, share, alpha, topics)
+    solved = solved.select(F.struct(*AXES).alias("__of"), F.col("p").alias("__p"))  # few rows, sent to the texts while the written table is small
+    return docs.withColumn("__cell", F.struct(*cell)).join(solved, F.col("__cell") == F.col("__of")).where(_draw(seed) < F.col("__p")).select(*docs.columns)
 
-def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
-    """The sampled rows of docs, with all their columns."""
-    drawn = _mixed(spark, docs.select("doc_id", "text", "lang", "source"), targets, share, alpha, seed).where("sampled")
-    return docs.join(drawn.select(F.col("doc_id").alias("__drawn")).distinct(), F.col("doc_id").eqNullSafe(F.col("__drawn")), "left_semi")
 
+def _draw(seed: str) -> Column:
+    """A number from 0 to 1 that depends on doc_id alone."""
+    name = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.conv(F.substring(name, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
-def _mixed(spark, docs, targets, share, alpha, seed):
+
+def _solved(spark, docs, targets, share, alpha, topics):
+    """Columns that name a row's cell, the rows without their texts, and the cells with weight and probability."""
     store = Store(spark)
-    narrow = store.table(
-        docs.select(
-            "doc_id", F.coalesce("source", F.lit(NULL)).alias("source"), F.coalesce("lang", F.lit(NULL)).alias("lang"), topic(F.col("text")).alias("topic"),
-            F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f]+")), F.lit(0)).cast("long").alias("tokens"),
-        ),
-        "narrow",
-    )
+    cell = [F.coalesce("source", F.lit(NULL)).alias("source"), F.coalesce("lang", F.lit(NULL)).alias("lang"), F.coalesce(topic(F.col("text")) if topics is None else topics, F.lit(NULL)).alias("topic")]
+    tokens = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f]+")), F.lit(0)).cast("long").alias("tokens")
+    narrow = store.table(docs.select("doc_id", *cell, tokens), "narrow")
 
     def solve(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values(list(AXES), ignore_index=True)
@@ -132,8 +143,4 @@ def _mixed(spark, docs, targets, share, alpha, seed):
         return cells[list(AXES)].assign(weight=factor, p=p)
 
     cells = narrow.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"))
-    solved = store.table(cells.groupBy().applyInPandas(solve, "source string, lang string, topic string, weight double, p double"), "cells")
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    return narrow.join(solved, list(AXES)).select(
-        "doc_id", *AXES, "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("probability"), (u < F.col("p")).alias("sampled"), "p"
-    )
+    return cell, narrow, store.table(cells.groupBy().applyInPandas(solve, "source string, lang string, topic string, weight double, p double"), "cells")
