@@ -10,12 +10,16 @@ trained stretch begins and -1 after it ends.  Control strings in a text, such as
 are escaped by a backslash (<\\|user|>), one more if there are some already, so the decoded
 text of a turn can be told from control and unescape() gives the original back.
 
-The tokenizer file is a parameter; nothing is trained.  Turns move once, by conversation.
+The tokenizer file is a parameter; nothing is trained.  The reserved ids are those after its
+vocabulary.  Turns are encoded where they are, and their ids move once, by conversation.
 
-Defined cases: turns are ordered by turn (null first), then role and text, so ties and
+Defined cases: turns are ordered by turn (null first), then role, then ids, so ties and
 repeated rows keep a place each; a null or unknown role gets the id of `other`; a null text
-is an empty one, of no ids; rows of null conv_id are one conversation, of null conv_id; an
-empty table gives no rows.  Other columns are neither read nor returned.
+is an empty one, of no ids; a very long text is encoded whole; what conversation a row of null
+conv_id is of isn't known, so each is one of its own; a conversation of more than TURNS turns
+has a row for each TURNS of them, numbered by part, of which the first begins with the
+conversation's id, so no task holds more than these; an empty table gives no rows.  Other
+columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -24,19 +28,21 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spillway.llm.tokens import slices
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-FIRST_ID = 50257  # the first that the vocabulary leaves free
+TURNS = 4096
 CONTROL = ("conversation", "system", "user", "assistant", "other", "end")
-IDS = {name: FIRST_ID + k for k, name in enumerate(CONTROL)}
 _WORDS = "|".join([*CONTROL, "endoftext"])
 _ESCAPE, _UNESCAPE = re.compile(rf"<(\\*)\|({_WORDS})\|>"), re.compile(rf"<\\(\\*)\|({_WORDS})\|>")
-SCHEMA = "conv_id long, tokens array<int>, mask array<int>, n_turns int, n_trained int"
+SCHEMA = "conv_id long, part int, tokens array<int>, mask array<int>, n_turns int, n_trained int"
 
 
 def escape(text: str) -> str:
@@ -57,62 +63,93 @@ def tokenizer(path: str):
     return t
 
 
-def assemble(conv: np.ndarray, roles: list[str | None], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens and mask of all conversations end to end, and the offset of each; conv gives the first turn of each."""
-    n = np.array([len(x) for x in ids], dtype=np.int64)
-    head = np.zeros(len(ids), np.int64)
-    head[conv] = 1
+@lru_cache(1)
+def ids(path: str) -> dict[str, int]:
+    """The reserved ids: the first that the vocabulary leaves free."""
+    t = tokenizer(path)
+    first = max(t.get_vocab(True).values(), default=-1) + 1
+    return {name: first + k for k, name in enumerate(CONTROL)}
+
+
+def assemble(whole: np.ndarray, head: np.ndarray, roles: list[str | None], n: np.ndarray, flat: np.ndarray, named: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and mask of all rows end to end, and the offset of each.
+
+    whole: the first turn of each row; head: whether a turn begins a conversation; n: each
+    turn's number of ids, which flat holds end to end.
+    """
+    head = head.astype(np.int64)
     size = n + 2 + head
     stop = np.cumsum(size)
     start = stop - size
     tokens = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
-    tokens[start[conv]] = IDS["conversation"]
-    tokens[start + head] = [IDS.get(r, IDS["other"]) if r in ("system", "user", "assistant") else IDS["other"] for r in roles]
-    tokens[stop - 1] = IDS["end"]
-    if n.sum():
-        place = np.repeat(start + head + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        tokens[place] = np.concatenate([np.asarray(x, np.int32) for x in ids])
+    tokens[start[head > 0]] = named["conversation"]
+    tokens[start + head] = [named[r] if r in ("system", "user", "assistant") else named["other"] for r in roles]
+    tokens[stop - 1] = named["end"]
+    place = np.repeat(start + head + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    tokens[place] = flat
     trained = np.array([r == "assistant" for r in roles], bool)
     edge = np.zeros(len(tokens) + 1, np.int32)
     np.add.at(edge, (start + head + 1)[trained], 1)
     np.add.at(edge, stop[trained], -1)
-    return tokens, np.cumsum(edge[:-1], dtype=np.int32), np.r_[start[conv], len(tokens)]
+    return tokens, np.cumsum(edge[:-1], dtype=np.int32), np.r_[start[whole], len(tokens)]
 
 
-def _format(path: str):
+def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        held: tuple[list, list, list] = ([], [], [])  # turns of conversations that aren't out yet
-
-        def out(upto: int) -> pa.RecordBatch:
-            ids, roles, conv = (x[:upto] for x in held)
-            for x in held:
-                del x[:upto]
-            first = np.array([k for k in range(len(conv)) if not k or conv[k] != conv[k - 1]])
-            tokens, mask, off = assemble(first, roles, ids)
+        encode = getattr(t, "encode_batch_fast", t.encode_batch)  # without offsets, where there is such a one
+        for batch in batches:
+            for part in slices(batch):
+                for lo in range(0, part.num_rows, 500):
+                    some = part.slice(lo, 500)
+                    got = [e.ids for e in encode([escape(x or "") for x in some.column(3).to_pylist()], add_special_tokens=False)]
+                    off = np.zeros(len(got) + 1, np.int32)
+                    np.cumsum([len(x) for x in got], out=off[1:])
+                    flat = np.fromiter(chain.from_iterable(got), np.int32, off[-1])
+                    yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["conv_id", "turn", "role", "ids"])
+
+    return run
+
+
+def _format(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, held = ids(path), None  # turns of the row that isn't out yet
+
+        def out(turns: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+            turns = turns.combine_chunks()
+            conv, part, role, listed = (c.chunk(0) for c in turns.select(["conv_id", "part", "role", "ids"]).columns)
+            head = np.zeros(len(role), bool)
+            head[first] = np.asarray(part)[first] == 0
+            n = np.diff(np.asarray(listed.offsets)).astype(np.int64)
+            tokens, mask, off = assemble(first, head, role.to_pylist(), n, np.asarray(listed.flatten()), named)
             lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x)) for x in (tokens, mask)]
-            turns = np.diff(np.r_[first, len(conv)]).astype(np.int32)
-            trained = np.diff(np.r_[0, np.cumsum(mask)][off]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([conv[k] for k in first], pa.int64()), *lists, pa.array(turns), pa.array(trained)], ["conv_id", "tokens", "mask", "n_turns", "n_trained"])
+            count = np.diff(np.r_[first, len(role)]).astype(np.int32)
+            trained = np.diff(np.r_[0, np.cumsum(mask, dtype=np.int64)][off]).astype(np.int32)
+            at = pa.array(first)
+            return pa.RecordBatch.from_arrays([conv.take(at), part.take(at), *lists, pa.array(count), pa.array(trained)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                held[0].extend(e.ids for e in t.encode_batch([escape(x or "") for x in part.column(2).to_pylist()], add_special_tokens=False))
-                held[1].extend(part.column(1).to_pylist())
-                held[2].extend(part.column(0).to_pylist())
-                last = held[2][-1]
-                whole = next((k + 1 for k in range(len(held[2]) - 1, -1, -1) if held[2][k] != last), 0)
-                if whole:
-                    yield out(whole)
-        if held[2]:
-            yield out(len(held[2]))
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            if not now.num_rows:
+                continue
+            key, part = np.asarray(now.column("key")), np.asarray(now.column("part"))
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            if len(first) > 1:
+                yield out(now.slice(0, int(first[-1])), first[:-1])
+            held = now.slice(int(first[-1]))
+        if held is not None and held.num_rows:
+            yield out(held, np.zeros(1, np.int64))
 
     return run
 
 
 def format_chats(spark: SparkSession, conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """conv_id, tokens, mask, n_turns, n_trained of each conversation."""
-    turns = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id")
-    turns = turns.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
-    return turns.select("conv_id", "role", "text").mapInArrow(_format(path), SCHEMA)
+    """conv_id, part, tokens, mask, n_turns, n_trained of each conversation."""
+    turns = conversations.select("conv_id", "turn", "role", "text")
+    known, unknown = (turns.where(f"conv_id IS {x} NULL").mapInArrow(_encode(path), "conv_id long, turn long, role string, ids array<int>") for x in ("NOT", ""))
+    known = known.withColumn("key", F.col("conv_id"))
+    order = Window.partitionBy("key").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "ids")
+    known = known.withColumn("part", F.floor((F.row_number().over(order) - 1) / TURNS).cast("int")).select("key", "part", "conv_id", "role", "ids")
+    unknown = unknown.select(F.monotonically_increasing_id().alias("key"), F.lit(0).alias("part"), "conv_id", "role", "ids")
+    return known.mapInArrow(_format(path), SCHEMA).unionByName(unknown.mapInArrow(_format(path), SCHEMA))
