@@ -2,7 +2,9 @@
 
 Texts and test items are reduced to lower-case words of letters and digits, one space apart
 and at both ends.  Test strings are all runs of WORDS words of an item, or the whole item if
-it has fewer (but MIN_WORDS at least: a shorter item can't tell a leak from common speech).
+it has fewer.  leaks() reports items of any length, with their number of words; without_leaks()
+removes documents for items of MIN_WORDS words and more, as a shorter one (a parameter) can't
+tell a leak from common speech.
 
 Test strings are searched in classes of length.  In a class whose shortest string has m
 bytes, the shift table gives, for the hash of the last `block` bytes of a window of m bytes,
@@ -10,12 +12,16 @@ how far the window can move without passing an occurrence.  Where that is 0, the
 the bucket of test strings whose first m bytes end so, and each is compared with the text.
 Windows of many stretches of a batch move in lockstep, so no Python loop runs over bytes.
 
-The tables hold the benchmark alone, never the corpus.  At most STRINGS test strings are in
-memory at once; a larger benchmark is searched in several passes.
+The tables hold the benchmark alone, never the corpus.  About STRINGS test strings are in
+memory at once, on the driver too; a larger benchmark is searched in several passes, each with
+the strings of one value of a hash.
 
-Defined cases: null and empty texts, and null items, hold nothing and are found nowhere;
-repeated rows of a doc_id count once; a null doc_id is reported as null; an empty corpus or
-benchmark gives no rows.  Other columns are neither read nor returned.
+Defined cases: null and empty texts, and items without words, hold nothing and are found
+nowhere; a row that repeats a doc_id and text counts once, of several texts of a doc_id leaks()
+gives the most strings that one of them holds; a null doc_id is reported as null; very long
+texts are searched whole; items of equal text each get a row; an empty corpus or benchmark gives
+no rows.  Other columns are neither read nor returned by leaks(), and kept by without_leaks(),
+which decides each row by its own text.
 """
 
 from __future__ import annotations
@@ -38,9 +44,11 @@ _TABLE = 1 << 20
 SQL = f"""
 WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{{{L}}}}\\p{{{{N}}}}]+') AS w FROM {{benchmark}}),
 p AS (SELECT DISTINCT item_id, ' ' || unnest(CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' ')) END) || ' ' AS s FROM b WHERE len(w) >= {MIN_WORDS}),
-d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g')) || ' ' AS t FROM {{docs}} WHERE text IS NOT NULL)
-SELECT doc_id, item_id, CAST(COUNT(DISTINCT s) AS BIGINT) AS strings FROM d JOIN p ON contains(t, s) GROUP BY 1, 2
+  ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' ')) END) || ' ' AS s FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, MAX(len(w)) AS item_words FROM b GROUP BY 1),
+d AS (SELECT doc_id, text, ' ' || trim(regexp_replace(lower(text), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g')) || ' ' AS t FROM {{docs}} WHERE text IS NOT NULL),
+f AS (SELECT doc_id, item_id, COUNT(DISTINCT s) AS strings FROM d JOIN p ON contains(t, s) GROUP BY doc_id, text, item_id)
+SELECT doc_id, f.item_id, CAST(MAX(item_words) AS INT) AS item_words, CAST(MAX(strings) AS BIGINT) AS strings FROM f JOIN n ON f.item_id IS NOT DISTINCT FROM n.item_id GROUP BY 1, 2
 """
 
 
@@ -97,53 +105,83 @@ def searches(strings: list[bytes]) -> list[tuple[Search, list[int]]]:
     return [(Search([strings[i] for i in of]), of) for of in by.values()]
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, and how many different test strings of the item the document holds."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, its words, and their number."""
     w = F.split(F.trim(words(F.col("text"))), " ")
-    run = F.expr(f"transform(sequence(0, size(w) - {WORDS}), i -> array_join(slice(w, i + 1, {WORDS}), ' '))")
-    strings = (
-        benchmark.where("text IS NOT NULL").select("item_id", w.alias("w")).where(f"size(w) >= {MIN_WORDS}")
-        .select("item_id", F.explode(F.when(F.size("w") < WORDS, F.array(F.array_join("w", " "))).otherwise(run)).alias("s")).distinct()
-    )
-    owners = defaultdict(list)
-    for item, s in strings.toLocalIterator():
-        owners[f" {s} ".encode()].append(item)
-    names = sorted(owners)
-    texts = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("text"))
+    return benchmark.where("text IS NOT NULL").select("item_id", w.alias("w")).where("w[0] != ''").withColumn("n", F.size("w"))
+
+
+def _tables(spark: SparkSession, items: DataFrame) -> Iterator:
+    """Broadcast searches and owners (numbers of item_ids) of about STRINGS test strings at a time."""
+    run = F.expr(f"transform(sequence(0, n - {WORDS}), i -> array_join(slice(w, i + 1, {WORDS}), ' '))")
+    strings = items.select("item_id", F.explode(F.when(F.col("n") < WORDS, F.array(F.array_join("w", " "))).otherwise(run)).alias("s")).distinct()
+    turns = max(1, -(-strings.count() // STRINGS))
+    for turn in range(turns):
+        owners = defaultdict(list)
+        for item, s in strings.where(F.pmod(F.xxhash64("s"), F.lit(turns)) == turn).toLocalIterator():
+            owners[f" {s} ".encode()].append(item)
+        names = sorted(owners)
+        yield spark.sparkContext.broadcast((searches(names), [owners[s] for s in names]))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, the item's words, and how many different test strings of it the document holds."""
+    items = _items(benchmark)
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("text"))
     found = None
-    for lo in range(0, max(1, len(names)), STRINGS):
-        part = names[lo : lo + STRINGS]
-        tables = spark.sparkContext.broadcast((searches(part), [owners[s] for s in part]))
-        now = texts.mapInArrow(_scan(tables), "doc_id long, item_id long, strings long").withColumn("turn", F.lit(lo))
+    for turn, tables in enumerate(_tables(spark, items)):
+        now = texts.mapInArrow(_scan(tables), "doc_id long, h long, item_id long, strings long").withColumn("turn", F.lit(turn))
         found = now if found is None else found.unionByName(now)
     # Rows that repeat agree within a pass; the strings of an item may lie in several passes.
-    return found.groupBy("doc_id", "item_id", "turn").agg(F.max("strings").alias("strings")).groupBy("doc_id", "item_id").agg(F.sum("strings").alias("strings"))
+    found = found.groupBy("doc_id", "h", "item_id", "turn").agg(F.max("strings").alias("strings")).groupBy("doc_id", "h", "item_id").agg(F.sum("strings").alias("strings"))
+    found = found.groupBy("doc_id", "item_id").agg(F.max("strings").alias("strings"))
+    length = items.groupBy(F.col("item_id").alias("of")).agg(F.max("n").alias("item_words"))
+    return found.join(length, found["item_id"].eqNullSafe(length["of"])).select("doc_id", "item_id", "item_words", "strings")
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs without the rows whose text holds a test string of an item of min_words words or more; no row is moved."""
+    for tables in _tables(spark, _items(benchmark).where(F.col("n") >= min_words)):
+        docs = docs.where(~_holds(tables)(words(F.coalesce("text", F.lit("")))))
+    return docs
+
+
+def _hits(tables, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, list, int]]:
+    """Text, items and number of each test string that occurs, as often as it does."""
+    found, owners = tables
+    for search, of in found:
+        for start, i in search.find(data):
+            doc = int(np.searchsorted(off, start, "right")) - 1
+            if start + len(search.strings[i]) <= off[doc + 1]:
+                yield doc, owners[of[i]], of[i]
+
+
+def _holds(tables):
+    @F.arrow_udf("boolean")
+    def run(text: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+            data, off = raw(part.column(0))
+            has = np.zeros(part.num_rows, bool)
+            has[[doc for doc, *_ in _hits(tables.value, data, off)]] = True
+            out.append(has)
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
-
-def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test string; all rows of null doc_id go if one of them holds one."""
-    bad = leaks(spark, docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")
+    return run
 
 
 def _scan(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, owners = tables.value
         for batch in batches:
             for part in slices(batch):
-                data, off = raw(part.column(1))
-                hits: dict[tuple[int, int], set] = defaultdict(set)
-                for search, of in found:
-                    for start, i in search.find(data):
-                        doc = int(np.searchsorted(off, start, "right")) - 1
-                        if start + len(search.strings[i]) <= off[doc + 1]:
-                            for item in owners[of[i]]:
-                                hits[doc, item].add(of[i])
+                data, off = raw(part.column(2))
+                hits: dict[tuple[int, int | None], set] = defaultdict(set)
+                for doc, items, string in _hits(tables.value, data, off):
+                    for item in items:
+                        hits[doc, item].add(string)
                 if hits:
-                    ids = part.column(0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[d].as_py() for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64()), pa.array([len(x) for x in hits.values()], pa.int64())],
-                        ["doc_id", "item_id", "strings"],
-                    )
+                    at = pa.array([d for d, _ in hits])
+                    counts = [pa.array([i for _, i in hits], pa.int64()), pa.array([len(x) for x in hits.values()], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *counts], ["doc_id", "h", "item_id", "strings"])
 
     return run
