@@ -93,18 +93,23 @@ def test_mixing_defined(spark, table):
     assert mixing.mix(spark, table([])).count() == 0 and mixing.sample(spark, table([])).count() == 0
     t = table(mixed_corpus())
     kept = mixing.sample(spark, t)
-    want = {x.doc_id for x in mixing.mix(spark, t).collect() if x.sampled}
-    assert kept.columns == t.columns and {x.doc_id for x in kept.collect()} == want
+    drawn = [(x.doc_id, x.source, x.lang, x.tokens) for x in mixing.mix(spark, t).collect() if x.sampled]
+    name = lambda s: mixing.NULL if s is None else s
+    assert kept.columns == t.columns and sorted(map(str, drawn)) == sorted(str((x.doc_id, name(x.source), name(x.lang), len((x.text or "").split()))) for x in kept.collect())
+    long = t.unionByName(table([(7000, "word " * 200_000, "en", "a")]))
+    assert {x.doc_id: x.tokens for x in mixing.mix(spark, long).collect()}[7000] == 200_000
+    by = {x.topic for x in mixing.mix(spark, t, topics=F.substring("text", 1, 1)).collect()}
+    assert mixing.NULL in by and "w" in by and mixing.sample(spark, t, share=1.0, alpha=1.0, topics=F.lit("one")).count() == t.count()
 
 
 # 9. Decontamination
 
 def leaky():
     r = random.Random(4)
-    bench = [(1, prose(r, 30)), (2, prose(r, 7)), (3, "Too short"), (4, None), (5, ""), (6, prose(r, 13) + "!"), (6, prose(r, 13)), (7, "Ünï " + prose(r, 15))]
+    bench = [(1, prose(r, 30)), (2, prose(r, 7)), (3, "Too short"), (4, None), (5, ""), (6, prose(r, 13) + "!"), (6, prose(r, 13)), (7, "Ünï " + prose(r, 15)), (8, "Quux!"), (None, "a null item of five words")]
     docs = [(k, prose(r, 50)) for k in range(20)] + [
         (20, prose(r, 20) + " " + bench[0][1].upper() + " " + prose(r, 5)), (21, " ".join(bench[0][1].split()[5:20])), (22, bench[1][1]), (23, bench[1][1].replace(" ", ", ")), (24, " ".join(bench[0][1].split()[:12])), (25, "a" + bench[5][1]),
-        (26, bench[7][1]), (27, None), (28, ""), (None, bench[0][1]), (20, "other"), (29, prose(r, 30_000) + " " + bench[6][1]), (22, bench[1][1]),
+        (26, bench[7][1]), (27, None), (28, ""), (None, bench[0][1]), (20, "other"), (29, prose(r, 30_000) + " " + bench[6][1]), (22, bench[1][1]), (30, "it is too short, quux"), (31, "quuxes are tooshort"), (20, bench[0][1]), (32, "A null item of five words"),
     ]
     return docs, bench
 
@@ -124,8 +129,12 @@ def test_decontamination_equals_sql(spark, table, duck, rows):
     finally:
         decontaminate.STRINGS = old
     kept = decontaminate.without_leaks(spark, table(docs), bench_table(spark, bench))
-    bad = {dict(w)["doc_id"] for w in want}
-    assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in bad)
+    assert {dict(w)["item_id"]: dict(w)["item_words"] for w in want}.items() >= {2: 7, 3: 2, 8: 1}.items()
+    plain = lambda s: " " + " ".join(re.findall(r"[^\W_]+", (s or "").lower())) + " "
+    words_ = [plain(b[1]).split() for b in bench]
+    strings = {f" {' '.join(w[i : i + 13])} " for w in words_ if len(w) >= 5 for i in range(max(1, len(w) - 12))}
+    stay = [(d[0], d[1]) for d in docs if not any(s in plain(d[1]) for s in strings)]
+    assert sorted((str(x.doc_id), str(x.text)) for x in kept.collect()) == sorted((str(a), str(b)) for a, b in stay) and len(stay) < len(docs) - 5
 
 
 def test_decontamination_defined(spark, table):
@@ -352,32 +361,56 @@ def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' AS tokens", "'clash' AS mask").repartition(3)
 
 
-def test_chats_round_trip(spark):
+def plain_chats(talk, most):
+    """Every conversation by an encoding of its own, turn by turn."""
+    t, named = chat.tokenizer(chat.TOKENIZER), chat.ids(chat.TOKENIZER)
+    out, by = [], {}
+    for k, (conv, turn, role, text) in enumerate(talk):
+        ids = t.encode(chat.escape(text or ""), add_special_tokens=False).ids
+        by.setdefault(("alone", k) if conv is None else conv, []).append((turn is not None, turn or 0, role is not None, role or "", ids))
+    for conv, rows in by.items():
+        rows.sort()
+        for part in range(0, len(rows), most):
+            tokens, mask = ([named["conversation"]], [0]) if part == 0 else ([], [])
+            some = rows[part : part + most]
+            for *_, role, ids in some:
+                tokens += [named[role if role in ("system", "user", "assistant") else "other"], *ids, named["end"]]
+                mask += [0] + [int(role == "assistant")] * (len(ids) + 1)
+            out.append((None if isinstance(conv, tuple) else conv, part // most, tokens, mask, len(some), sum(mask)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_chats_equal_plain_encoding(spark, most):
     control = "say <|user|> and <\\|end|> <|endoftext|> ok"
-    talk = [(1, 0, "system", "Be brief."), (1, 1, "user", control), (1, 2, "assistant", "Fine — ünï 日本 " * 50), (2, 0, "user", None), (2, 0, "user", None), (2, 1, "assistant", ""), (3, None, None, "x"), (None, 1, "tool", "y"), (None, 0, "assistant", "z")]
-    t = chat.tokenizer(chat.TOKENIZER)
-    out = {x.conv_id: x for x in chat.format_chats(spark, turns(spark, talk)).collect()}
-    names = {v: k for k, v in chat.IDS.items()}
-    assert set(out) == {1, 2, 3, None}
-    for conv, x in out.items():
-        assert x.tokens[0] == chat.IDS["conversation"] and len(x.mask) == len(x.tokens)
-        got, now, mask, trained = [], None, [0], False
-        for i in x.tokens[1:]:
-            if i in names and names[i] != "end":
-                now, trained = (names[i], []), names[i] == "assistant"
-                mask.append(0)
-            elif i in names:
-                got.append((now[0], chat.unescape(t.decode(now[1], skip_special_tokens=False))))
-                mask.append(int(trained))
-            else:
-                now[1].append(i)
-                mask.append(int(trained))
-        assert x.mask == mask and x.n_trained == sum(mask) and x.n_turns == len(got)
-        want = sorted([(-1 if a is None else a, r or "", s or "") for c, a, r, s in talk if c == conv])
-        assert got == [(r if r in ("system", "user", "assistant") else "other", s) for _, r, s in want]
+    talk = [(1, 0, "system", "Be brief."), (1, 1, "user", control), (1, 2, "assistant", "Fine — ünï 日本 " * 50), (2, 0, "user", None), (2, 0, "user", None), (2, 1, "assistant", ""), (3, None, None, "x"), (None, 1, "tool", "y"), (None, 0, "assistant", "z"), (4, 7, "assistant", "word " * 60_000)]
+    talk += [(5, k % 4, "assistant" if k % 2 else "user", f"turn {k % 5}") for k in range(11)] + [(None, 0, "assistant", "z")]
+    old = chat.TURNS
+    try:
+        chat.TURNS = most
+        out = [tuple(x) for x in chat.format_chats(spark, turns(spark, talk)).collect()]
+    finally:
+        chat.TURNS = old
+    assert sorted(out, key=repr) == plain_chats(talk, most)
     assert chat.format_chats(spark, turns(spark, [])).count() == 0
 
 
+def test_chats_round_trip(spark):
+    """The texts come back from the ids alone."""
+    texts = ["say <|user|> and <\\|end|> <|endoftext|> ok", "Fine — ünï 日本", "", "\n\t <|assistant|>"]
+    (x,) = chat.format_chats(spark, turns(spark, [(1, k, "user", s) for k, s in enumerate(texts)])).collect()
+    t, names = chat.tokenizer(chat.TOKENIZER), {v: k for k, v in chat.ids(chat.TOKENIZER).items()}
+    got, now = [], []
+    for i in x.tokens[1:]:
+        if i in names:
+            if names[i] == "end":
+                got.append(chat.unescape(t.decode(now, skip_special_tokens=False)))
+            now = []
+        else:
+            now.append(i)
+    assert got == texts and min(names) == 50257
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<", "|", ">", "\\", "user", "<|user|>", "<\\|end|>", "<\\\\|system|>", " "]), max_size=12).map("".join))
 def test_escape_is_undone(s):
@@ -446,6 +479,42 @@ def test_pii_phones_of_several_countries(pii_model):
         assert pii_model.spans([text]) == [[]], text
 
 
+def plain_spans(model, text):
+    """Candidates, trees and greedy choice, one span at a time."""
+    scored = []
+    for start, end, kind in pii.candidates(text):
+        x, odds = pii.features(text, start, end, kind), model.trees.base
+        for feature, cut, value in zip(model.trees.feature, model.trees.cut, model.trees.value):
+            node = 0
+            for level in range(model.trees.depth):
+                at = 2**level - 1 + node
+                node = 2 * node + (x[feature[at]] > cut[at])
+            odds += value[node]
+        p = 1 / (1 + np.exp(-(model.a * odds + model.b)))
+        if p >= model.threshold[pii.KINDS.index(kind)]:
+            scored.append((-round(p, 2), start - end, start, pii.KINDS.index(kind), p, end))
+    taken = []
+    for _, _, start, kind, p, end in sorted(scored):
+        if not any(start < b and a < end for a, b, *_ in taken):
+            taken.append((start, end, pii.KINDS[kind], pytest.approx(p, abs=2e-6)))
+    return sorted(taken, key=lambda t: t[0])
+
+
+def test_pii_equals_brute_force(spark, table, pii_model):
+    r = random.Random(17)
+    made = [e[0] for e in pii.examples(600, seed=44)]
+    docs = [(k, " ".join(r.choice(made) for _ in range(r.choice([1, 1, 2, 5, 40])))) for k in range(60)]
+    docs += [(100, None), (101, ""), (102, "no number"), (103, "call +٤٤ ٢٠٧ ٩٤٦ ٠٠٠٠ now"), (104, "iban de89370400440532013000 please"), (105, "x@y.de " * 3000)]
+    out = {x.doc_id: x for x in pii.redact(spark, table(docs)).collect()}
+    some = 0
+    for k, text in docs:
+        want = plain_spans(pii_model, text) if text else []
+        assert [(s.start, s.stop, s.kind, s.probability) for s in out[k].spans] == want
+        assert out[k].text == (pii.replaced(text, [tuple(s) for s in out[k].spans]) if text else text)
+        some += len(want)
+    assert some > 200 and [s.kind for s in out[103].spans] == ["phone"] and [s.kind for s in out[104].spans] == ["iban"] and len(out[105].spans) == 3000
+
+
 def test_pii_defined(spark, table):
     long = "word " * 30_000 + "jane.doe7@mail.example.com"
     out = {x.doc_id: x for x in pii.redact(spark, table([(1, None), (2, ""), (3, long), (4, "é jane.doe7@mail.example.com"), (4, "é jane.doe7@mail.example.com")])).collect()}
@@ -461,20 +530,72 @@ def test_statistics_of_simple_texts():
 
 
 def test_concentration_finds_the_core():
-    """A bin taken whole at a time, a step gives the estimate of the nearest values."""
+    """A step gives the estimate of the nearest values, with a part of the last bin; all cores weigh the same."""
     r = np.random.default_rng(3)
     x = r.normal(0, 1, (400, quality.P))
-    d = (x**2).sum(1)
-    bins = np.floor(8 * np.log2(d)).astype(int)
-    full = np.concatenate([x, np.stack([x[:, i] * x[:, j] for i, j in quality._PAIRS], 1)], 1)
+    full = quality._values(x)
+    bins = np.floor(quality.OCTAVE * np.log2((x**2).sum(1))).astype(int)
     names = np.unique(bins)
     counts = np.array([(bins == b).sum() for b in names])
     sums = np.array([full[bins == b].sum(0) for b in names])
     mean, precision, det = quality.concentrate(names, counts, sums)
-    upto = names[np.searchsorted(np.cumsum(counts), np.ceil(quality.CORE * 400))]
-    core = x[bins <= upto]
-    np.testing.assert_allclose(mean, core.mean(0))
-    np.testing.assert_allclose(np.linalg.inv(precision), np.cov(core.T, bias=True) + np.diag(np.square(quality.FLOOR)))
+    weight, left = np.zeros(400), quality.CORE * 400
+    for b in names:
+        weight[bins == b] = min(1, left / (bins == b).sum())
+        left = max(0, left - (bins == b).sum())
+    assert weight.sum() == pytest.approx(300)
+    want = np.cov(x.T, aweights=weight, bias=True) + np.diag(np.square(quality.RIDGE))
+    np.testing.assert_allclose(mean, np.average(x, 0, weight))
+    np.testing.assert_allclose(np.linalg.inv(precision), want)
+    assert det == pytest.approx(np.linalg.slogdet(want)[1])
+
+
+def test_consistency_factors():
+    """Of normal data the core's covariance is too small by what CONSISTENT puts right; likewise REWEIGHTED, CUT and WEIGHT."""
+    z = np.random.default_rng(6).normal(0, 1, (400_000, quality.P))
+    d = (z**2).sum(1)
+    core = z[d <= np.quantile(d, quality.CORE)]
+    assert core.var() * quality.CONSISTENT == pytest.approx(1, rel=0.01)
+    assert (d > quality.WEIGHT).mean() == pytest.approx(0.025, rel=0.05) and z[d <= quality.WEIGHT].var() * quality.REWEIGHTED == pytest.approx(1, rel=0.01)
+
+
+def plain_distances(x):
+    """Fast minimum covariance determinant in plain numpy, by sorting, from many random starts."""
+    rng, core, ridge = np.random.default_rng(0), int(np.ceil(quality.CORE * len(x))), np.diag(np.square(quality.RIDGE))
+    far = lambda m, c: np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for _ in range(60):
+        of = x[rng.choice(len(x), quality.P + 1, replace=False)]
+        m, c, last = of.mean(0), np.cov(of.T, bias=True) + ridge, np.inf
+        for _ in range(100):
+            of = x[np.argsort(far(m, c))[:core]]
+            m, c = of.mean(0), np.cov(of.T, bias=True) + ridge
+            now = np.linalg.slogdet(c)[1]
+            if now > last - 1e-9:
+                break
+            last = now
+        if best is None or now < best[0]:
+            best = now, m, c
+    of = x[far(best[1], best[2]) <= quality.WEIGHT * quality.CONSISTENT]
+    return far(of.mean(0), np.cov(of.T, bias=True) * quality.REWEIGHTED + ridge)
+
+
+def test_outliers_equal_plain_numpy(spark, table):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdeilmnorstu") for _ in range(r.randint(1, 9)))
+    shout = lambda s: s.upper() if r.random() < 0.5 else re.sub("[aeiou]", "4", s)
+    docs = []
+    for k in range(900):
+        s = " ".join(word() + r.choice(["", "", "", ".", ","]) for _ in range(r.randint(20, 150)))
+        docs.append((k, shout(s) if r.random() < 0.15 else s.capitalize(), "en" if k % 3 else "de", "a" if k % 2 else "b"))
+    got = {x.doc_id: x for x in quality.outliers(spark, table(docs)).collect()}
+    x, _ = quality.statistics(pa.array([d[1] for d in docs]))
+    for group in {d[2:] for d in docs}:
+        of = [d[0] for d in docs if d[2:] == group]
+        want = plain_distances(x[of])
+        mine = np.array([got[k].distance for k in of])
+        assert np.median(np.abs(mine / want - 1)) < 0.06 and sum((w <= quality.CUT) != got[k].keep for k, w in zip(of, want)) <= 2
+        assert 0 < sum(not got[k].keep for k in of) < len(of) / 3
 
 
 def test_outliers(spark, table):
@@ -556,6 +677,59 @@ def test_many_languages():
     assert prob.argmax(1).tolist() == [299] and (label == 299).all()
 
 
+def test_few_texts_many_times(spark, table, monkeypatch):
+    """Rows that repeat a few doc_ids or texts train their language, and their number doesn't bound or unbound the sample."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(language_id, "SPARE", 2)
+    r = random.Random(18)
+    say = lambda parts, n: " ".join(r.choice(parts) + r.choice(parts) for _ in range(n))
+    texts = [say("the and ing ion her tha".split(), 40) for _ in range(8)]
+    docs = [(k % 8, texts[k % 8], "en") for k in range(4000)] + [(k, say("der und sch ein ich ung".split(), 40), "de") for k in range(100, 300)]
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda s, y, f=language_id.train: seen.append(y) or f(s, y))
+    assert language_id.accepted(spark, table(docs)).count() >= 4190
+    assert {la: seen[0].count(la) for la in ("en", "de")} == {"en": 5 * language_id.TRAIN_PLACES, "de": 5 * language_id.TRAIN_PLACES}
+
+
+def test_runs_equal_brute_force(spark, table):
+    """label() against a plain network, unit by unit, over every stretch."""
+    r = random.Random(19)
+    say = lambda parts, n: " ".join(r.choice(parts) + r.choice(parts) for _ in range(n))
+    en, de = "the and ing ion her tha".split(), "der und sch öin ich ung".split()
+    docs = [(k, say(en if k % 2 else de, 30), "en" if k % 2 else "de") for k in range(60)] + [(100, say(en, 40) + say(de, 40) + " 0123 456 " * 20, None), (101, "", None), (102, None, "en"), (103, "é", None)]
+    t = table(docs)
+    q = language_id.model(spark, t)
+    sig, hid = lambda v: np.tanh(v) / 2 + 0.5, language_id.HIDDEN
+
+    def states(data, d):
+        h, out = np.zeros(hid), []
+        for c in data:
+            a, g = q["E"][d][c].astype(float), h @ q["U"][d].astype(float)
+            z, u = sig(a[:hid] + g[:hid]), sig(a[hid : 2 * hid] + g[hid : 2 * hid])
+            h = z * h + (1 - z) * np.tanh(a[2 * hid :] + u * g[2 * hid :])
+            out.append(h)
+        return np.array(out)
+
+    for x in language_id.label(spark, t).where("doc_id >= 90 OR doc_id < 6").collect():
+        data = (dict((d[0], d[1]) for d in docs)[x.doc_id] or "").encode()
+        logit = [np.zeros((0, len(q["names"])))]
+        for lo in range(0, len(data), language_id.STRETCH):
+            part = data[lo : lo + language_id.STRETCH]
+            logit.append(np.concatenate([states(part, 0), states(part[::-1], 1)[::-1]], 1) @ q["W"] + q["b"])
+        logit = np.concatenate(logit)
+        if not len(data):
+            assert (x.lang, x.probability, x.keep, x.positions, x.runs) == (None, None, False, [], [])
+            continue
+        soft = np.exp(logit - logit.max(1, keepdims=True))
+        mean = (soft / soft.sum(1, keepdims=True)).mean(0)
+        names = [q["names"][k] for k in logit.argmax(1)]
+        cut = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        want = [(names[a], a, b) for a, b in zip(cut, cut[1:])]
+        assert x.lang == q["names"][mean.argmax()] and x.probability == pytest.approx(mean.max(), abs=1e-4)
+        assert x.keep == (x.lang != "und" and mean.max() >= language_id.MIN_PROBABILITY)
+        assert [tuple(y) for y in x.runs] == want and {y.label: y.n for y in x.positions} == {k: names.count(k) for k in set(names)}
+
+
 def test_language_of_short_texts(spark, table):
     r = random.Random(16)
     say = lambda parts, n: " ".join(r.choice(parts) + r.choice(parts) for _ in range(n))
