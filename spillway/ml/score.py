@@ -89,4 +89,4 @@ def gated(hits: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """Rows of scan.raw() that are exempt or score the threshold, with their score."""
     value = F.make_valid_utf8(F.substring(F.encode("value", "UTF-8"), 1, 512).cast("string"))
     rows = scored(hits, model, value, F.col("name"), F.col("text"), F.col("path"), F.col("source"))
-    return rows.where(exempt(F.col("type"), F.col("stage")) | (F.col("score") >= threshold) | (F.col("type") == "results_truncated"))
+    return rows.where(exempt(F.col("type"), F.col("stage")) | (F.col("score") >= threshold) | F.col("type").isin("results_truncated", "scan_failed"))

@@ -15,11 +15,11 @@ def key(df: DataFrame) -> Column:
 
 
 def filtered(findings: DataFrame, min_confidence: float = 0.0, min_severity: str | None = None, disabled=()) -> DataFrame:
-    """Findings of enough confidence and severity, and of no disabled type.  Markers of cut results always stay."""
+    """Findings of enough confidence and severity, and of no disabled type.  Markers of cut results and failed items always stay."""
     keep = (F.col("confidence") >= min_confidence) & ~F.col("type").isin(*disabled) if disabled else F.col("confidence") >= min_confidence
     if min_severity:
         keep = keep & (sev_rank(F.col("severity")) >= RANK[min_severity])
-    return findings.where(keep | (F.col("type") == "results_truncated"))
+    return findings.where(keep | F.col("type").isin("results_truncated", "scan_failed"))
 
 
 def verified_only(findings: DataFrame, has_verifier: Column) -> DataFrame:
@@ -62,10 +62,21 @@ def ignore(findings: DataFrame, entries: DataFrame) -> DataFrame:
     """Findings that no entry names: neither as path:type:line, nor by line and a path that is the other's tail."""
     exact = entries.select(F.col("exact").alias("__exact")).distinct()
     kept = findings.join(exact, F.concat_ws(":", "path", "type", F.col("line").cast("string")) == F.col("__exact"), "left_anti")
+    # Equal, or a whole tail either way: both are equality of line and of one path with a tail of the other, so
+    # both are hash joins, and an entry's or a finding's tails are as many as its path has segments.
     relaxed = entries.where("line IS NOT NULL").select(F.col("line").alias("__line"), F.col("file").alias("__file")).distinct()
     path = F.translate(F.coalesce("path", F.lit("")), "\\", "/")
-    same = (path == F.col("__file")) | F.endswith(path, F.concat(F.lit("/"), F.col("__file"))) | F.endswith(F.col("__file"), F.concat(F.lit("/"), path))
-    return kept.join(relaxed, (F.col("line") == F.col("__line")) & same, "left_anti")
+    named = kept.where("line IS NOT NULL").select(F.col("line").alias("__l"), path.alias("__p")).distinct()
+    by_finding = named.withColumn("__t", F.explode(tails(F.col("__p")))).join(relaxed, (F.col("__l") == F.col("__line")) & (F.col("__t") == F.col("__file"))).select("__l", "__p")
+    by_entry = relaxed.withColumn("__t", F.explode(tails(F.col("__file")))).join(named, (F.col("__l") == F.col("__line")) & (F.col("__t") == F.col("__p"))).select("__l", "__p")
+    gone = by_finding.unionByName(by_entry).distinct()
+    return kept.join(gone, (F.col("line") == F.col("__l")) & (path == F.col("__p")), "left_anti")
+
+
+def tails(path: Column) -> Column:
+    """A path and all that follows one of its slashes."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
 def restore_live(kept: DataFrame, all_: DataFrame) -> DataFrame:
@@ -109,13 +120,13 @@ def truncated(findings: DataFrame) -> DataFrame:
 
 
 def compare(raw: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a second scan lacks of a first: one row of totals, and the types of what is gone, the most frequent first."""
-    known = kept.select(key(kept).alias("__known")).distinct()
-    gone = raw.join(known, key(raw) == F.col("__known"), "left_anti")
-    types = gone.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
-    total = raw.agg(F.count("*").alias("raw")).crossJoin(gone.agg(F.count("*").alias("suppressed")))
+    """What a second scan lacks of a first: one row of totals, and the types of what is gone, the most frequent first; both from one count by type."""
+    known = kept.select(key(kept).alias("__known")).where("__known IS NOT NULL").distinct()
+    gone = raw.join(known, key(raw) == F.col("__known"), "left").select("type", F.col("__known").isNull().alias("gone"))
+    by = gone.groupBy("type").agg(F.count("*").alias("raw"), F.count_if("gone").alias("n"))
+    total = by.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("n"), F.lit(0)).alias("suppressed"))
     share = F.when(F.col("raw") > 0, F.round(100 * F.col("suppressed") / F.col("raw"), 1)).otherwise(0.0)
-    return total.select("raw", (F.col("raw") - F.col("suppressed")).alias("kept"), "suppressed", share.alias("percent")), types
+    return total.select("raw", (F.col("raw") - F.col("suppressed")).alias("kept"), "suppressed", share.alias("percent")), by.where("n > 0").select("type", "n").orderBy(F.desc("n"), "type")
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spillway.detect import table
-from spillway.detect.kernel import Allow, Scanner
+from spillway.detect.kernel import Allow, Finding, Scanner
 from spillway.functions import text as T
 from spillway.schema import RAW
 
@@ -24,6 +25,10 @@ _ARROW = pa.struct([
 ])
 
 
+#: The type of the row that stands for an item whose scan failed; its rationale says why.
+FAILED = "scan_failed"
+
+
 @lru_cache(16)
 def _scanner(detectors, templates, allow, cap) -> Scanner:
     """One for each process and set of rules, so patterns are compiled once."""
@@ -31,7 +36,7 @@ def _scanner(detectors, templates, allow, cap) -> Scanner:
 
 
 def found(text: Column, path: Column, source: Column, detectors=table.BUILTIN, templates=(), allow: Allow = Allow(), cap: int | None = None) -> Column:
-    """Findings of a text as an array of structs; null for a null text."""
+    """Findings of a text as an array of structs; null for a null text.  An item whose scan fails has one row, of type FAILED."""
     key = (tuple(detectors), tuple(templates), allow, cap or Scanner().cap)
 
     @F.arrow_udf(f"array<{RAW}>")
@@ -40,12 +45,17 @@ def found(text: Column, path: Column, source: Column, detectors=table.BUILTIN, t
         out = []
         for t, p, s in zip(text, path.to_pylist(), source.to_pylist()):
             t = t.as_py()
-            out.append(None if t is None else [
-                {"detector": "scan" if f.stage == "intake" else f.type, "type": f.type, "category": f.category, "confidence": f.confidence, "severity": f.severity, "line": f.line, "col": f.col,
-                 "start": f.start, "stop": f.stop, "value": f.value, "stage": f.stage, "name": f.name, "text": f.text, "rationale": f.rationale}
-                for f in scanner.scan(t, p, s)
-            ])
-        return pa.array(out, pa.list_(_ARROW))
+            try:
+                hits = None if t is None else scanner.scan(t, p, s)
+            except Exception as e:  # one bad item is a finding of its own, and takes no other with it
+                hits = [Finding(FAILED, "", 0.0, "info", 0, 0, 0, 0, "", "intake", rationale=f"{type(e).__name__}: {e}"[:200])]
+            out.append(hits)
+        flat = [f for hits in out if hits for f in hits]
+        names = [n for n in _ARROW.names if n != "detector"]
+        fields = [pa.array(["scan" if f.stage == "intake" else f.type for f in flat], pa.string()), *(pa.array([getattr(f, n) for f in flat], _ARROW.field(n).type) for n in names)]
+        size = np.array([len(hits) if hits else 0 for hits in out], np.int32)
+        off = pa.array(np.r_[np.int32(0), np.cumsum(size, dtype=np.int32)], mask=np.r_[[hits is None for hits in out], False] if out else None)
+        return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(fields, _ARROW.names))
 
     return run(text, path, source)
 

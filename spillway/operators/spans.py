@@ -1,31 +1,62 @@
 """Spans of patterns in native expressions: rules are rows, and Catalyst plans the search (JN-01, JN-02, DET-03, DET-06).
 
-The anchor join is a broadcast nested loop of a substring test.  It is meant for a few rules
-and wherever a plan must be explained; operators/scan.py does the same by an automaton.
+The anchor join reads each text once, by an automaton of all anchors.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spillway.detect.dialect import translate
 
 OPEN, CLOSE = "\ue000", "\ue001"
-#: Most rules that are broadcast; a larger table is joined by its own plan.
-RULES = 20_000
+#: Most anchors that are made into one automaton; a larger table is joined by its own plan.
+ANCHORS = 200_000
+
+
+def _present(words: tuple[str, ...]):
+    """Numbers of the words that occur in a text, found in one reading of it."""
+
+    @F.arrow_udf("array<int>")
+    def run(low: pa.Array) -> pa.Array:
+        automaton = _automaton(words)
+        return pa.array([None if t is None else sorted({k for _, k in automaton.iter(t)}) for t in low.to_pylist()], pa.list_(pa.int32()))
+
+    return run
+
+
+@lru_cache(4)
+def _automaton(words: tuple[str, ...]):
+    a = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        a.add_word(w, k)
+    a.make_automaton()
+    return a
 
 
 def anchored(items: DataFrame, rules: DataFrame) -> DataFrame:
     """item_id and id of each rule of which an anchor occurs in the item, and of each rule without anchors.
 
-    rules: id and anchors.  Lower case is taken once for each item, before the join.
+    rules: id and anchors.  Each text is read once, by an automaton of all anchors, so the time
+    doesn't grow with their number; texts aren't moved.
     """
     low = items.select("item_id", F.lower("text").alias("low")).where("low IS NOT NULL")
-    words = rules.select("id", F.explode("anchors").alias("anchor")).select("id", F.lower("anchor").alias("anchor"))
-    if words.limit(RULES + 1).count() <= RULES:
-        words = F.broadcast(words)
-    hit = low.join(words, F.contains("low", "anchor")).select("item_id", "id").distinct()
+    named = rules.select("id", F.explode("anchors").alias("anchor")).select("id", F.lower("anchor").alias("anchor"))
+    words = [r.anchor for r in named.where("anchor != ''").select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    if len(words) > ANCHORS:
+        hit = low.join(named, F.contains("low", "anchor")).select("item_id", "id").distinct()
+    elif words:
+        words.sort()
+        at = rules.sparkSession.createDataFrame(list(enumerate(words)), "k int, anchor string")
+        of = F.broadcast(at.join(named, "anchor").groupBy("k").agg(F.collect_set("id").alias("ids")))  # as many rows as words
+        hit = low.select("item_id", F.explode(_present(tuple(words))("low")).alias("k")).join(of, "k").select("item_id", F.explode("ids").alias("id")).distinct()
+    else:
+        hit = low.select("item_id", F.lit(None).cast(rules.schema["id"].dataType).alias("id")).limit(0)
     return hit.unionByName(low.select("item_id").crossJoin(rules.where(F.size("anchors") == 0).select("id")))
 
 

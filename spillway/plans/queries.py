@@ -150,7 +150,7 @@ WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM {docs} WHERE
 t AS (SELECT *, n / SUM(n) OVER (PARTITION BY doc_id) AS p FROM g) SELECT doc_id AS item_id, ROUND(-SUM(p * log2(p)), 6) AS entropy FROM t GROUP BY 1
 """)
 def scl01_shannon_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).where("text != ''").select("item_id", F.round(E.shannon_char(F.col("text")), 6).alias("entropy"))
+    return _items(spark, sf_dir).where("text != ''").select("item_id", F.round(E.text_entropy(F.col("text")), 6).alias("entropy"))
 
 
 @_query("""
@@ -158,7 +158,7 @@ WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM {docs} WHERE text <> ''),
 t AS (SELECT *, n / SUM(n) OVER (PARTITION BY doc_id) AS p FROM g) SELECT doc_id AS item_id, ROUND(-SUM(p * log2(p)), 6) AS entropy FROM t GROUP BY 1
 """)
 def scl02_shannon_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).where("text != ''").select("item_id", F.round(E.shannon_byte(F.col("text")), 6).alias("entropy"))
+    return _items(spark, sf_dir).where("text != ''").select("item_id", F.round(E.byte_entropy(F.col("text")), 6).alias("entropy"))
 
 
 def _entropy_sql(chars: str) -> str:
@@ -348,21 +348,32 @@ def win04_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.dedupe(_found(spark, sf_dir)).select("path", "type", F.col("line").cast("long"), F.col("col").cast("long"), "fingerprint")
 
 
-@_query(seeds.FINDINGS_SQL + "SELECT path, type, line FROM findings WHERE NOT (type = 'gitlab_pat' OR fingerprint < '4')")
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """type, path, line and fingerprint of what the seeds plant in every document, without a scan."""
+    docs = _docs(spark, sf_dir).withColumn("m", F.md5(F.col("doc_id").cast("string")))
+    docs = docs.select(F.concat_ws("/", F.coalesce("source", F.lit("file")), F.col("doc_id").cast("string")).alias("path"), "m", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("above"))
+    rows, above = [], 1
+    for kind, _, _, _, _, _, value, _ in seeds.LINES:
+        rows.append(F.struct(F.lit(kind).alias("type"), (F.col("above") + above).alias("line"), F.expr(value).alias("value")))
+        above += 3 if kind == "private_key_pem" else 1
+    rows = docs.select("path", F.explode(F.array(*rows)).alias("x")).select("path", "x.*")
+    return rows.select("type", "path", "line", T.fingerprint(F.col("type"), F.col("path"), F.col("value")).alias("fingerprint"))
+
+
+@_query(seeds.FINDINGS_SQL + "SELECT path, type, line FROM findings WHERE type = 'generic_api_key' OR NOT (type = 'gitlab_pat' OR fingerprint < '4')")
 def jn05_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that an accepted set lacks: all of a type, and those of low fingerprints."""
-    found = _found(spark, sf_dir)
-    accepted = post.baseline(found.where("type = 'gitlab_pat' OR fingerprint < '4'"))
-    return post.suppress(found, accepted).select("path", "type", F.col("line").cast("long"))
+    """Findings that an accepted set lacks: of those planted, one type whole, and all of low fingerprints."""
+    accepted = _planted(spark, sf_dir).where("type = 'gitlab_pat' OR fingerprint < '4'").select("fingerprint")
+    return post.suppress(_found(spark, sf_dir), accepted).select("path", "type", F.col("line").cast("long"))
 
 
 @_query(seeds.FINDINGS_SQL + "SELECT path, type, line FROM findings WHERE type <> 'gitlab_pat' AND type <> 'aws_access_key_id'")
 def jn06_07_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ignore file that names one type exactly and one by an absolute path and line."""
-    found = _found(spark, sf_dir)
-    exact = found.where("type = 'gitlab_pat'").select(F.concat_ws(":", "path", "type", "line").alias("value"))
-    relaxed = found.where("type = 'aws_access_key_id'").select(F.concat(F.lit("0123abc:/home/me/"), "path", F.lit(":some-rule:"), F.col("line").cast("string")).alias("value"))
-    return post.ignore(found, post.parse_ignore(exact.unionByName(relaxed))).select("path", "type", F.col("line").cast("long"))
+    planted = _planted(spark, sf_dir)
+    exact = planted.where("type = 'gitlab_pat'").select(F.concat_ws(":", "path", "type", "line").alias("value"))
+    relaxed = planted.where("type = 'aws_access_key_id'").select(F.concat(F.lit("0123abc:/home/me/"), "path", F.lit(":some-rule:"), F.col("line").cast("string")).alias("value"))
+    return post.ignore(_found(spark, sf_dir), post.parse_ignore(exact.unionByName(relaxed))).select("path", "type", F.col("line").cast("long"))
 
 
 @_query(seeds.FINDINGS_SQL + ", t AS (SELECT type, COUNT(*) AS n FROM findings WHERE type IN ('generic_password', 'stripe_secret_key') GROUP BY 1), a AS (SELECT COUNT(*) AS raw FROM findings) SELECT type, n, raw, ROUND(100 * (SELECT SUM(n) FROM t) / raw, 1) AS percent FROM t, a")

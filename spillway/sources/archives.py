@@ -8,6 +8,7 @@ import json
 import lzma
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,15 +32,18 @@ def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, layer, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
             rows: list[tuple] = []
             held = 0
-            with tarfile.open(fileobj=io.BytesIO(_open(content or b"")), mode="r:", ignore_zeros=True) as tar:
-                for seq, e in enumerate(tar):
-                    kind = "dir" if e.isdir() else "file" if e.isfile() else "link"
-                    data = tar.extractfile(e).read() if e.isfile() and e.size <= ENTRY_BYTES else None
-                    rows.append((label, layer, seq, e.name.removeprefix("./").strip("/"), kind, e.size, data))
-                    held += len(data or b"")
-                    if held > 32 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
+            try:
+                with tarfile.open(fileobj=io.BytesIO(_open(content or b"")), mode="r:", ignore_zeros=True) as tar:
+                    for seq, e in enumerate(tar):
+                        kind = "dir" if e.isdir() else "file" if e.isfile() else "link"
+                        data = tar.extractfile(e).read() if e.isfile() and e.size <= ENTRY_BYTES else None
+                        rows.append((label, layer, seq, e.name.removeprefix("./").strip("/"), kind, e.size, data))
+                        held += len(data or b"")
+                        if held > 32 << 20:
+                            yield _batch(rows)
+                            rows, held = [], 0
+            except (tarfile.TarError, EOFError, OSError, lzma.LZMAError, zlib.error) as e:  # the entries before the damage stay
+                rows.append((label, layer, -1, f"{type(e).__name__}: {e}"[:200], "error", 0, None))
             if rows:
                 yield _batch(rows)
 
@@ -53,7 +57,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def layer_entries(layers: DataFrame) -> DataFrame:
-    """Tar entries of layers: label, layer, content (tar, gzip or xz)."""
+    """Tar entries of layers: label, layer, content (tar, gzip or xz).  A damaged layer ends in an entry of kind error that says why."""
     return layers.select("label", "layer", "content").mapInArrow(_layers, _LAYER)
 
 
