@@ -256,14 +256,6 @@ _flags(
 )
 
 
-@_query()
-def scl13_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DuckDB has no CRC32."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 30).alias("body"))
-    good = docs.select("doc_id", F.concat(F.lit("ghp_"), "body", X.base62_crc32(F.col("body"))).alias("token"))
-    return good.select("doc_id", "token", X.github_checksum_ok(F.col("token")).alias("ok"), X.github_checksum_ok(F.concat(F.lit("gho_"), F.reverse(F.substring("token", 5, 36)))).alias("other_ok"))
-
-
 @_query(f"""
 WITH p AS ({seeds.PATHS_SQL}), q AS (SELECT *, CASE WHEN regexp_matches(path, '[|](layer|image:)') THEN regexp_replace(path, '^.*?[|](layer[^:]*|image):', '') ELSE path END AS name FROM p), c AS (SELECT unnest(['pki', 'vcs', 'generic', 'other']) AS category, unnest([0.6, 0.9, 0.6, 0.9]) AS confidence),
 e AS (SELECT *, lower(name) AS low, string_split(lower(name), '/') AS parts FROM q),
@@ -406,16 +398,6 @@ def prj09_severity_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("item_id", "type", F.col("line").cast("long"), report.sarif_level(s).alias("level"), report.dojo_severity(s).alias("dojo"), report.lsp_severity(s).alias("lsp"))
 
 
-@_query()
-def snk03_defectdojo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.defectdojo(_found(spark, sf_dir))
-
-
-@_query()
-def snk04_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.pretty(_found(spark, sf_dir))
-
-
 @_query(seeds.FINDINGS_SQL + "SELECT quality, toxic, COUNT(*) AS labelled, CAST(COUNT(n) AS BIGINT) AS with_findings, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS findings FROM '{labels}' l LEFT JOIN (SELECT item_id, COUNT(*) AS n FROM findings WHERE type = 'generic_api_key' GROUP BY 1) f ON f.item_id = l.doc_id GROUP BY 1, 2".replace("'{labels}'", "labels"))
 def label_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings against the labels of documents."""
