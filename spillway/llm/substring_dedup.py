@@ -14,10 +14,14 @@ run of LENGTH words that contains it is hashed whole, and is a repeat if that ha
 bits, is found at another place.  Nothing is compared pair by pair, so a passage in a
 million documents costs a million rows.
 
+Windows are counted with partial sums before they are shuffled.  Those of more than one in
+SHARES of all are hot, so there are SHARES of them at most; a run that begins with one is hot,
+and the places of a hot run are ordered in parts (hot.py), so no task has them all.
+
 Defined cases: null texts and texts of fewer than LENGTH words have no repeats; rows of null
 doc_id are left out; rows that repeat a doc_id are places of the one document, and so repeat
-each other; overlapping places of a periodic text count as different places; an empty table
-gives no rows.  Other columns are neither read nor returned.
+each other; overlapping places of a periodic text count as different places; a very long text
+is read whole; an empty table gives no rows.  Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spillway.llm.hot import among, bits, lookup, places
 from spillway.llm.store import Store
 from spillway.llm.tokens import Words, signed, slices
 
 LENGTH = 50
+SHARES, LEAST_HOT = 50_000, 1000
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
 SQL = f"""
@@ -46,7 +52,8 @@ SELECT doc_id, later, CAST(MIN(i) AS INT) AS start_word, CAST(MAX(i) + {LENGTH}
 """
 
 
-def _anchors(length: int, period: int, cover: tuple[int, ...]):
+def _anchors(length: int, period: int, cover: tuple[int, ...], seen=None):
+    """h of each window at a cover position; with `seen`, h, doc_id and place of those that may be among the seen."""
     size = length - period + 1
     inside = np.zeros(period, bool)
     inside[list(cover)] = True
@@ -60,16 +67,23 @@ def _anchors(length: int, period: int, cover: tuple[int, ...]):
                 doc = words.doc()
                 place = np.arange(len(doc)) - words.at[doc]
                 ok = np.flatnonzero(inside[place % period] & (place + size <= words.counts()[doc]) & (words.counts()[doc] >= length))
+                h = signed(words.windows(size))[ok]
+                if seen is None:
+                    if len(ok):
+                        yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+                    continue
+                again = lookup(seen.value, h)
+                h, ok = h[again], ok[again]
                 if len(ok):
-                    h = signed(words.windows(size))[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(doc[ok])), pa.array(place[ok].astype(np.int32))], ["h", "doc_id", "place"])
 
     return run
 
 
-def _extend(length: int, period: int):
-    """All runs of `length` words around the anchors of each document."""
-    back = length - (length - period + 1)
+def _extend(length: int, period: int, hot):
+    """All runs of `length` words around the anchors of each document, and whether they begin with a hot window."""
+    size = length - period + 1
+    back = length - size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +103,10 @@ def _extend(length: int, period: int):
                 place = np.arange(n) - words.at[doc]
                 ok = np.flatnonzero((np.cumsum(delta[:n]) > 0) & (place + length <= words.counts()[doc]))
                 h = signed(words.windows(length))[ok]
+                many = among(hot.value, signed(words.windows(size))[ok])
                 ids, place = part.column(0).take(pa.array(doc[ok])), place[ok].astype(np.int32)
                 for lo in range(0, len(ok), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + 100_000]), ids.slice(lo, 100_000), pa.array(place[lo : lo + 100_000])], ["h", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + 100_000]), ids.slice(lo, 100_000), pa.array(place[lo : lo + 100_000]), pa.array(many[lo : lo + 100_000])], ["h", "doc_id", "place", "hot"])
 
     return run
 
@@ -123,13 +138,16 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, period:
     """doc_id, later, start_word, end_word (past the last) of all repeated spans."""
     store = Store(spark)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = texts.mapInArrow(_anchors(length, period, cover), "h long, doc_id long, place int")
-    twice = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
-    twice = store.table(twice.select("doc_id", "place"), "anchors")
-    by_doc = twice.groupBy("doc_id").agg(F.collect_set("place").alias("anchors"))
-    cand = texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_extend(length, period), "h long, doc_id long, place int")
-    same = Window.partitionBy("h")
-    found = cand.select("*", F.count(F.lit(1)).over(same).alias("n"), F.row_number().over(same.orderBy("doc_id", "place")).alias("k")).where("n > 1")
-    found = store.table(found.select("doc_id", (F.col("k") > 1).alias("later"), "place"), "found")
+    counts = texts.mapInArrow(_anchors(length, period, cover), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = store.table(counts, "windows")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = np.sort(counts.where(F.col("n") > max(LEAST_HOT, total // SHARES)).select("h").toArrow().column("h").to_numpy())
+    hot, seen = (spark.sparkContext.broadcast(x) for x in (hot, bits(counts, "h")))
+    anchors = texts.mapInArrow(_anchors(length, period, cover, seen), "h long, doc_id long, place int").join(counts, "h", "left_semi")
+    anchors = store.table(anchors.select("doc_id", "place"), "anchors")
+    by_doc = anchors.groupBy("doc_id").agg(F.collect_set("place").alias("anchors"))
+    cand = texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_extend(length, period, hot), "h long, doc_id long, place int, hot boolean")
+    found = places(store, cand)
+    store.drop("windows", "anchors")
     found = found.repartition("doc_id").sortWithinPartitions("doc_id", "later", "place")
     return spans(found.mapInArrow(_runs, "doc_id long, later boolean, lo int, hi int"), length)
