@@ -17,12 +17,17 @@ repeats() finds the runs of LENGTH words that occur at two places, in two steps
    and are dropped.
 2. Sorting.  Equal pieces of a hash are counted once.  The suffix array of the different
    pieces, joined by separators, brings equal runs side by side, and neighbours are compared
-   word by word.  What the pieces of a hash hold is small even where the corpus is not.
+   word by word.
+
+Pieces are counted by hash with partial sums before anything else is shuffled.  A hash of more
+than GROUP pieces would be too much for one task's suffix array: its pieces are cut into their
+runs, which are counted and ordered by hash of the run in parts (hot.py).  All places of a run
+have one hash, so both ways give every repeat.
 
 Defined cases: as in substring_dedup, whose rows these are: null texts and texts of fewer
 than LENGTH words have no repeats; rows of null doc_id are left out; rows that repeat a
-doc_id repeat each other; overlapping places count; an empty table gives no rows.  Other
-columns are neither read nor returned.
+doc_id repeat each other; overlapping places count; a very long text is read whole; an empty
+table gives no rows.  Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -31,16 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spillway.llm.hot import bits, lookup, places
 from spillway.llm.store import Store
-from spillway.llm.substring_dedup import LENGTH, SQL, spans
+from spillway.llm.substring_dedup import LENGTH, SQL, _runs, spans
 from spillway.llm.tokens import Words, signed, slices
 
 __all__ = ["LENGTH", "SQL", "repeats", "suffix_array"]
 
-GRAM = 20
+GRAM, GROUP = 20, 20_000
 _BLANK = bytes.maketrans(b"\t\n\r\f", b"    ")
 
 
@@ -174,7 +180,8 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:n], h[width - have : width - have + n])
 
 
-def _pieces(length: int, gram: int):
+def _pieces(length: int, gram: int, seen=None):
+    """h of each piece; with `seen`, the pieces whose h may be among the seen, or that may repeat themselves."""
     width = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,32 +207,49 @@ def _pieces(length: int, gram: int):
                 runs = np.diff(np.r_[new, len(start)])
                 first = start[new]
                 multi = (runs > width) | (again[np.minimum(first + runs, len(h))] > again[first])
+                h = signed(low[new])
+                if seen is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+                    continue
+                keep = lookup(seen.value, h) | multi
+                h, first, runs, multi = h[keep], first[keep], runs[keep], multi[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(low[new])), part.column(0).take(pa.array(doc[first])), pa.array(place[first].astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(multi)],
+                    [pa.array(h), part.column(0).take(pa.array(doc[first])), pa.array(place[first].astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(multi)],
                     ["h", "doc_id", "place", "runs", "multi"],
                 )
 
     return run
 
 
-def _cut(length: int):
-    """The words of each piece of each document, one space apart."""
+def _cut(length: int, hot: bool):
+    """The words of each piece of each document, one space apart; of hot pieces, each run's hash."""
+
+    def pieces(part, words) -> Iterator[pa.RecordBatch]:
+        data = words.data.tobytes().translate(_BLANK)
+        rows = []
+        for r, (doc, found) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+            for x in found:
+                a, b = words.at[r] + x["place"], words.at[r] + x["place"] + x["runs"] + length - 2
+                if not x["hot"] and b < words.at[r + 1]:  # rows may share a doc_id
+                    rows.append((x["h"], doc, x["place"], x["runs"], x["multi"], b" ".join(filter(None, data[words.start[a] : words.end[b]].split(b" ")))))
+        for lo in range(0, len(rows), 5000):
+            cols = list(zip(*rows[lo : lo + 5000]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "doc_id", "place", "runs", "multi", "piece"])
+
+    def runs(part, words) -> Iterator[pa.RecordBatch]:
+        h = signed(words.windows(length))
+        for r, (doc, found) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+            # Pieces of a text don't share a run; a repeated doc_id's may, and its rows have the same.
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(x["place"], x["place"] + x["runs"]) for x in found if x["hot"])]))
+            at = at[at + length <= words.at[r + 1] - words.at[r]]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(h[words.at[r] + at]), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["h", "doc_id", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = Words(part.column(1))
-                data = words.data.tobytes().translate(_BLANK)
-                rows = []
-                for r, (doc, pieces) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                    for x in pieces:
-                        a, b = words.at[r] + x["place"], words.at[r] + x["place"] + x["runs"] + length - 2
-                        if b < words.at[r + 1]:  # rows may share a doc_id
-                            rows.append((x["h"], doc, x["place"], x["runs"], x["multi"], b" ".join(filter(None, data[words.start[a] : words.end[b]].split(b" ")))))
-                for lo in range(0, len(rows), 5000):
-                    cols = list(zip(*rows[lo : lo + 5000]))
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "doc_id", "place", "runs", "multi", "piece"])
+                yield from (runs if hot else pieces)(part, Words(part.column(1)))
 
     return run
 
@@ -317,11 +341,19 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: in
     """doc_id, later, start_word, end_word (past the last) of all repeated spans."""
     store = Store(spark)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    pieces = texts.mapInArrow(_pieces(length, gram), "h long, doc_id long, place int, runs int, multi boolean")
-    several = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    pieces = store.table(pieces.withColumn("n", several).where("n > 1 OR multi").drop("n"), "pieces")
-    by_doc = pieces.groupBy("doc_id").agg(F.collect_set(F.struct("h", "place", "runs", "multi")).alias("pieces"))
-    cut = texts.join(by_doc, "doc_id").select("doc_id", "text", "pieces")
-    cut = cut.mapInArrow(_cut(length), "h long, doc_id long, place int, runs int, multi boolean, piece binary")
+    counts = texts.mapInArrow(_pieces(length, gram), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = store.table(counts, "counts")
+    seen = spark.sparkContext.broadcast(bits(counts, "h"))
+    pieces = texts.mapInArrow(_pieces(length, gram, seen), "h long, doc_id long, place int, runs int, multi boolean")
+    pieces = pieces.join(counts, "h", "left").where("n IS NOT NULL OR multi").select("h", "doc_id", "place", "runs", "multi", F.coalesce(F.col("n") > GROUP, F.lit(False)).alias("hot"))
+    pieces = store.table(pieces, "pieces")
+    with_pieces = lambda rows: texts.join(rows.groupBy("doc_id").agg(F.collect_set(F.struct("h", "place", "runs", "multi", "hot")).alias("pieces")), "doc_id").select("doc_id", "text", "pieces")
+    cut = with_pieces(pieces.where("NOT hot")).mapInArrow(_cut(length, False), "h long, doc_id long, place int, runs int, multi boolean, piece binary")
     found = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_sort(length), "doc_id long, later boolean, lo int, hi int")
-    return spans(store.table(found, "found"), length)
+    if pieces.where("hot").limit(1).count():
+        runs = with_pieces(pieces.where("hot")).mapInArrow(_cut(length, True), "h long, doc_id long, place int").withColumn("hot", F.lit(True))
+        runs = places(store, runs).repartition("doc_id").sortWithinPartitions("doc_id", "later", "place").mapInArrow(_runs, "doc_id long, later boolean, lo int, hi int")
+        found = found.unionByName(runs)
+    found = store.table(found, "found")
+    store.drop("counts", "pieces")
+    return spans(found, length)
