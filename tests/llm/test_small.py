@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spillway.llm import chat, decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, substring_dedup, suffix_array, tokens
+from spillway.llm import chat, decontaminate, hot, language_id, mixing, ngram_join, pii, quality, sharding, substring_dedup, suffix_array, tokens
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -305,6 +305,18 @@ def test_repeats_equal_sql(spark, table, duck, rows, docs):
     assert rows(suffix_array.repeats(spark, table(docs))) == want
 
 
+@pytest.mark.parametrize("salts", [256, 2])
+def test_repeats_of_hot_keys(spark, table, duck, rows, docs, monkeypatch, salts):
+    """Every repeated window and every group of pieces taken as a hot one, spread over parts."""
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", 1)
+    monkeypatch.setattr(substring_dedup, "SHARES", 10**9)
+    monkeypatch.setattr(suffix_array, "GROUP", 1)
+    monkeypatch.setattr(hot, "SALTS", salts)
+    want = duck(substring_dedup.SQL.format(docs="documents"), documents=docs)
+    assert rows(substring_dedup.repeats(spark, table(docs))) == want and len(want) > 10
+    assert rows(suffix_array.repeats(spark, table(docs))) == want
+
+
 def test_repeats_on_chance_texts(spark, table, duck, rows):
     r = random.Random(7)
     docs = [(k, prose(r, r.randint(0, 300), ["a", "b"] if k % 3 else WORDS[:3])) for k in range(25)]
