@@ -90,3 +90,39 @@ def gated(hits: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     value = F.make_valid_utf8(F.substring(F.encode("value", "UTF-8"), 1, 512).cast("string"))
     rows = scored(hits, model, value, F.col("name"), F.col("text"), F.col("path"), F.col("source"))
     return rows.where(exempt(F.col("type"), F.col("stage")) | (F.col("score") >= threshold) | F.col("type").isin("results_truncated", "scan_failed"))
+
+
+MOST_REMOTE = 200  # an item with more findings than that isn't sent
+
+
+def gated_by(hits: DataFrame, ask, threshold: float = THRESHOLD, most: int = MOST_REMOTE) -> DataFrame:
+    """Rows of scan.raw() that are exempt or score the threshold by a scorer of the caller's.
+
+    ask(rows) takes a batch's rows (value, name, line, path, source) and gives their scores.
+    What can't be scored stays, with a null score: a batch whose scorer fails, and the findings
+    of an item that has more than `most`.
+    """
+    from pyspark.sql import Window
+
+    many = F.count(F.lit(1)).over(Window.partitionBy("item_id")) > most
+    sent = ~many & ~exempt(F.col("type"), F.col("stage")) & ~F.col("type").isin("results_truncated", "scan_failed")
+    rows = hits.withColumn("__send", sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(np.asarray(batch.column(batch.schema.names.index("__send"))))
+            score = np.full(batch.num_rows, np.nan)
+            if len(at):
+                some = batch.take(pa.array(at))
+                told = [{k: some.column(some.schema.names.index(c))[i].as_py() for k, c in (("value", "value"), ("name", "name"), ("line", "text"), ("path", "path"), ("source", "source"))} for i in range(len(at))]
+                try:
+                    got = np.asarray(ask(told), float)
+                    if got.shape == (len(at),):
+                        score[at] = got
+                except Exception:  # open: a scorer that is away drops nothing
+                    pass
+            kept = [k for k, n in enumerate(batch.schema.names) if n != "__send"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(score, pa.float64(), from_pandas=True)], [*(batch.schema.names[k] for k in kept), "score"])
+
+    scored_ = rows.mapInArrow(run, StructType([*hits.schema.fields, StructField("score", DoubleType())]))
+    return scored_.where(F.col("score").isNull() | (F.col("score") >= threshold))

@@ -1,14 +1,17 @@
 """Verification without contact: routing, response matching, verdicts, lints (JN-10, JN-18, VER-01 to VER-03).
 
-Requests are only made by a caller who asks for it; what is here decides which verifier a
-finding goes to, and what recorded responses say of it.
+What is here decides which verifier a finding goes to and what responses say of it.
+Requests are only made by probed(), through a function that the caller hands over.
 """
 
 from __future__ import annotations
 
 import re
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,3 +209,40 @@ def may_contact(hosts: DataFrame) -> DataFrame:
     inner = F.regexp_extract("host", r"(?i)^\[?(?:::ffff:|64:ff9b::)([0-9.]+)", 1)
     internal = F.col("host").rlike(v4) | inner.rlike(v4) | F.col("host").rlike(v6) | F.lower("host").rlike(r"^localhost\.?$|\.(?:internal|local|localhost)\.?$")
     return hosts.where(~F.coalesce(internal, F.lit(True)))
+
+
+CONCURRENT, AGAIN = 8, (429, 503)
+
+
+def probed(requests: DataFrame, fetch, key: str = "finding_id", concurrent: int = CONCURRENT, pause: float = 1.0) -> DataFrame:
+    """Responses, as verdicts() takes them.  requests: key, verifier, capability, method, url, headers (a map) and body.
+
+    fetch(method, url, headers, body) gives (status, headers, body).  Equal requests are made
+    once, whatever the number of findings; in a partition so many are under way at a time, and
+    one that is told to wait is made once more.  A failure is a row with its error.
+    """
+    what = ["verifier", "capability", "method", "url", "headers", "body"]
+    rows = requests.withColumn("__q", F.sha2(F.to_json(F.struct("method", "url", F.array_sort(F.map_entries("headers")), "body")), 256))
+    once = rows.groupBy("__q").agg(*(F.first(c, ignorenulls=False).alias(c) for c in what))
+
+    def one(r) -> tuple:
+        q, method, url, headers, body = r
+        for turn in (0, 1):
+            try:
+                status, head, text = fetch(method, url, dict(headers or ()), body)
+            except Exception as e:
+                return q, None, f"{type(e).__name__}: {e}"[:200], None, None
+            if status not in AGAIN or turn:
+                return q, status, None, text, dict(head)
+            time.sleep(pause)
+
+    def run(batches):
+        with ThreadPoolExecutor(concurrent) as pool:
+            for batch in batches:
+                got = list(pool.map(one, zip(*(batch.column(k).to_pylist() for k in range(5)))))
+                if got:
+                    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], k) for c, k in zip(zip(*got), kinds)], ["__q", "status", "error", "body", "headers"])
+
+    answers = once.select("__q", "method", "url", "headers", "body").mapInArrow(run, "__q string, status int, error string, body string, headers map<string,string>")
+    return rows.select(key, "verifier", "capability", "__q").join(answers, "__q").select(key, "verifier", "status", "error", "body", "headers", "capability")

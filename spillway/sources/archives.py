@@ -6,13 +6,14 @@ import gzip
 import io
 import json
 import lzma
+import os
 import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spillway.sources.content import normalized, strings
@@ -100,6 +101,67 @@ def image_parts(archive: bytes) -> tuple[dict, list[bytes]]:
         return json.load(tar.extractfile(manifest["Config"])), [tar.extractfile(x).read() for x in manifest["Layers"]]
 
 
+def oci_images(folder: str, platform: str | None = None) -> list[tuple[str, str, list[str]]]:
+    """(label, config file, layer files, lowest first) of each image of an OCI folder; indexes within the index are opened."""
+    blob = lambda digest: os.path.join(folder, "blobs", *digest.split(":", 1))
+    out, todo, seen = [], [(e, "") for e in json.load(open(os.path.join(folder, "index.json")))["manifests"]], set()
+    while todo:
+        entry, name = todo.pop(0)
+        if entry["digest"] in seen:
+            continue
+        seen.add(entry["digest"])
+        doc = json.load(open(blob(entry["digest"])))
+        on = entry.get("platform") or {}
+        of = "/".join(filter(None, (on.get("os"), on.get("architecture"), on.get("variant"))))
+        name = entry.get("annotations", {}).get("org.opencontainers.image.ref.name", name)
+        if "manifests" in doc:
+            todo += [(e, name) for e in doc["manifests"]]
+        elif on.get("os") != "unknown" and (platform is None or not of or of == platform):  # attestations have no system
+            out.append((f"{name or entry['digest'][7:19]}{'@' + of if of else ''}", blob(doc["config"]["digest"]), [blob(x["digest"]) for x in doc["layers"]]))
+    return out
+
+
+def oci_layers(spark: SparkSession, folder: str, platform: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Configs (label, config) and layers (label, layer, content) of an OCI folder; layers are read by the executors."""
+    found = oci_images(folder, platform)
+    configs = spark.createDataFrame([(label, open(config).read()) for label, config, _ in found], "label string, config string")
+    places = spark.createDataFrame([(label, k, path, 0, -1) for label, _, layers in found for k, path in enumerate(layers)], _PLACE)
+    return configs, read_layers(places)
+
+
+def saved_layers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same of images saved as a tar: only its headers and configs are read here, the executors read each layer from where it lies."""
+    configs, places = [], []
+    with tarfile.open(path, "r:") as tar:
+        at = {m.name: m for m in tar}
+        for k, image in enumerate(json.load(tar.extractfile("manifest.json"))):
+            label = (image.get("RepoTags") or [f"image{k}"])[0]
+            configs.append((label, tar.extractfile(image["Config"]).read().decode()))
+            for n, layer in enumerate(image["Layers"]):
+                m = at[layer]
+                while m.issym() or m.islnk():
+                    m = at[os.path.normpath(os.path.join(os.path.dirname(m.name), m.linkname)) if m.issym() else m.linkname]
+                places.append((label, n, path, m.offset_data, m.size))
+    return spark.createDataFrame(configs, "label string, config string"), read_layers(spark.createDataFrame(places, _PLACE))
+
+
+_PLACE = "label string, layer int, path string, start long, size long"
+
+
+def read_layers(places: DataFrame) -> DataFrame:
+    """label, layer, content of layers that lie in files all executors see, a layer at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, layer, path, start, size in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                with open(path, "rb") as f:
+                    f.seek(start)
+                    data = f.read(size) if size >= 0 else f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((label, pa.string()), (layer, pa.int32()), (data, pa.binary()))], ["label", "layer", "content"])
+
+    return places.repartition("label", "layer").mapInArrow(run, "label string, layer int, content binary")
+
+
 def classify(name: Column) -> Column:
     """How an entry of a package is read: text, strings or skip."""
     ext = F.when(F.contains(F.substring_index(name, "/", -1), F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillway.detect.dialect import path_regex
@@ -46,12 +48,33 @@ def items(files: DataFrame, exclude=(), most_bytes: int = MOST_BYTES, root: str
     return fit.select(F.xxhash64("path").alias("item_id"), text.alias("text"), source_of(path).alias("source"), path.alias("path"), F.lit(None).cast("map<string,string>").alias("meta")).where("text IS NOT NULL")
 
 
+def resolved(root: str) -> str:
+    """A local root that is itself a link leads to what it names; links below a root are never followed."""
+    path = root.removeprefix("file://")
+    return os.path.realpath(path) if os.path.islink(path.rstrip("/")) else root
+
+
+def without_links(files: DataFrame, root: str) -> DataFrame:
+    """Files of a local root without those that are links, or below a folder that is one."""
+    links = [os.path.join(at, n) for at, folders, names in os.walk(root) for n in (*folders, *names) if os.path.islink(os.path.join(at, n))]
+    if not links:
+        return files
+    path = _named(F.col("path"))
+    gone = F.lit(False)
+    for link in links:
+        gone = gone | (path == link) | F.startswith(path, F.lit(link + "/"))
+    return files.where(~gone)
+
+
 def folder(spark: SparkSession, root: str, exclude=(), most_bytes: int = MOST_BYTES) -> DataFrame:
-    return items(binary_files(spark, root), exclude, most_bytes, root.rstrip("/"))
+    root = resolved(root).rstrip("/")
+    found = binary_files(spark, root)
+    return items(without_links(found, root) if os.path.isdir(root) else found, exclude, most_bytes, root)
 
 
 def file_list(spark: SparkSession, paths, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Items of the files named, whatever their extension."""
+    """Items of the files named, whatever their extension; a link that is named is followed."""
+    paths = [resolved(p) for p in paths]
     files = binary_files(spark, *paths, recursive=False).where(F.col("length").between(1, most_bytes))
     path = _named(F.col("path"))
     return files.select(F.xxhash64("path").alias("item_id"), normalized(F.col("content")).alias("text"), source_of(path).alias("source"), path.alias("path"), F.lit(None).cast("map<string,string>").alias("meta")).where("text IS NOT NULL")
@@ -68,12 +91,47 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def total_bytes(files: DataFrame, budget: int) -> DataFrame:
-    """Files in order of path as far as their sizes fit the budget, by the sum over the table."""
-    from pyspark.sql import Window
+    """Files in order of path as far as their sizes fit the budget, by the sum over the table.
 
-    # One row for each file name, not its content: sizes alone are ordered.
-    sizes = files.select("path", "length").withColumn("__sum", F.sum("length").over(Window.orderBy("path")))
-    return files.join(sizes.where(F.col("__sum") <= budget).select("path"), "path", "left_semi")
+    Names are cut into ranges; each range's total gives the sum before it, so no task has all
+    names.  Ranges are told by their first names, which come from the names themselves.
+    """
+    sizes = files.select("path", "length")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = sorted({r[0] for r in sizes.where(F.pmod(F.xxhash64("path"), F.lit(CUT_EVERY)) == 0).select("path").orderBy(F.xxhash64("path", F.lit(1))).limit(parts - 1).collect()})
+    part = F.aggregate(F.array(*map(F.lit, first)), F.lit(0), lambda n, x: n + F.when(x <= F.col("path"), 1).otherwise(0)) if first else F.lit(0)
+    rows = sizes.withColumn("__part", part)
+    totals = rows.groupBy("__part").agg(F.sum("length").alias("__bytes"))
+    before = {r["__part"]: r["__bytes"] for r in totals.collect()}
+    start, at = {}, 0
+    for k in range(len(first) + 1):
+        start[k] = at
+        at += before.get(k, 0)
+    base = F.element_at(F.array(*(F.lit(start[k]).cast("long") for k in range(len(first) + 1))), F.col("__part") + 1)
+    inside = F.sum("length").over(Window.partitionBy("__part").orderBy("path"))
+    fit = rows.withColumn("__sum", base + inside).where(F.col("__sum") <= budget).select("path")
+    return files.join(fit, "path", "left_semi")
+
+
+CUT_EVERY = 97  # a name in so many may be a cut
+
+def download(url: str, to: str, read, most_bytes: int = 512 << 20) -> str:
+    """A file of an https URL, of so many bytes at most, by the caller's read(url), which gives blocks of bytes."""
+    if not url.lower().startswith("https://"):
+        raise ValueError(f"not an https URL: {url!r}")
+    n = 0
+    try:
+        with open(to, "wb") as f:
+            for block in read(url):
+                n += len(block)
+                if n > most_bytes:
+                    raise ValueError(f"more than {most_bytes} bytes")
+                f.write(block)
+    except BaseException:
+        if os.path.exists(to):
+            os.remove(to)
+        raise
+    return to
 
 
 CORPUS = "value string, text string, source string, origin string, label_binary byte, label_type string, context struct<line:string,name:string,path:string,source:string>, span array<long>, extra string"

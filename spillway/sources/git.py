@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spillway.detect.dialect import path_matches
+from spillway.services.resilience import retry
 from spillway.sources.content import normalized, source_of
 from spillway.sources.files import BINARY, MOST_BYTES
 
@@ -40,10 +41,17 @@ def clone(url: str, to: str, depth: int | None = 1) -> str:
     if _URL.fullmatch(url) is None:
         raise ValueError(f"not a repository URL: {url!r}")
     args = ["git", "-c", "protocol.ext.allow=never", "clone", "--quiet", *([f"--depth={depth}"] if depth else []), "--", url, to]
-    subprocess.run(args, check=True, capture_output=True, env={"GIT_TERMINAL_PROMPT": "0", "PATH": "/usr/bin:/bin"})
+    retry(lambda: subprocess.run(args, check=True, capture_output=True, env={"GIT_TERMINAL_PROMPT": "0", "PATH": "/usr/bin:/bin"}), on=(subprocess.CalledProcessError,))
     return to
 
 
+def labelled(items: DataFrame, url: str) -> DataFrame:
+    """Items of a clone, their paths below owner/name of its URL."""
+    bare = url.removesuffix(".git")
+    name = (bare.split("://", 1)[1].partition("/")[2] or bare.split("://", 1)[1]) if "://" in bare else bare.rpartition(":")[2]
+    return items.withColumn("path", F.concat(F.lit((name or url) + "/"), F.ltrim("path", F.lit("/"))))
+
+
 class _Range(InputPartition):
     def __init__(self, blobs: list[tuple[str, str]]):
         super().__init__(0)

@@ -97,3 +97,14 @@ def confluence_items(pages: DataFrame, most: int = MOST_VERSIONS) -> DataFrame:
     path = F.concat_ws("/", "space", F.concat("title", F.lit(" ("), F.col("page_id").cast("string"), F.lit(")")))
     meta = F.create_map(F.lit("version"), F.col("version").cast("string"), F.lit("page_id"), F.col("page_id").cast("string"))
     return _item(rows.select(decode_xml(F.col("storage")).alias("text"), path.alias("path"), meta.alias("meta")), "confluence")
+
+
+def deployment(infos: DataFrame) -> DataFrame:
+    """base, kind (cloud, server or datacenter) and version of sites.  infos: base, info (the JSON that a server tells of itself).
+
+    Where a proxy has taken the kind away, the host's name tells a cloud.
+    """
+    kind, at = F.lower(F.get_json_object("info", "$.deploymentType")), F.coalesce(F.get_json_object("info", "$.baseUrl"), F.lit(""))
+    cloud = lambda url: F.lower(url).rlike(r"^https?://[^/]*\.(?:atlassian\.net|jira\.com)(?:[:/]|$)")
+    guess = F.when(cloud(at) | cloud(F.col("base")), "cloud").otherwise("server")
+    return infos.select("base", F.when(kind.isin("cloud", "server", "datacenter"), kind).otherwise(guess).alias("kind"), F.get_json_object("info", "$.version").alias("version"))
