@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BASE64, HEX = "A-Za-z0-9+/=_-", "0-9A-Fa-f"
 
@@ -29,34 +30,82 @@ def _spread(units: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.bincount(of, -p * np.log2(p), len(size)) + 0.0  # no minus zero
 
 
-def _entropies(s: pa.Array, unit: str) -> pa.Array:
-    """Entropy of code points or bytes of each string, a few million units at a time."""
-    out, lo = np.zeros(len(s)), 0
-    size = np.asarray(pc.fill_null(pc.binary_length(s), 0), np.int64)
-    upto = np.cumsum(size)
+def _units(s: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points or bytes of all strings end to end, and each string's offsets in them; a null is empty."""
+    col = pc.fill_null(s.cast(pa.large_string()), "")
+    _, off, data = col.buffers()
+    off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
+    units = np.frombuffer(data, np.uint8)[off[0] : off[-1]].astype(np.int64) if data is not None else np.zeros(0, np.int64)
+    off = off - off[0]
+    if unit == "char":
+        starts = (units & 0xC0) != 0x80
+        off = np.r_[0, np.cumsum(starts)][off]
+        if not starts.all():
+            lead = np.flatnonzero(starts)
+            long = np.diff(np.r_[lead, len(units)])
+            point = np.where(long == 1, units[lead], units[lead] & (0x7F >> long))
+            for k in range(1, int(long.max())):
+                more = long > k
+                point[more] = point[more] << 6 | units[lead[more] + k] & 0x3F
+            units = point
+    return units, off
+
+
+def _parts(s: pa.Array, most: int) -> Iterator[slice]:
+    """Runs of strings of about `most` bytes; a longer one is alone."""
+    upto, lo = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(s), 0), np.int64)), 0
     while lo < len(s):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 22), "right")))
-        col = pc.fill_null(s.slice(lo, hi - lo).cast(pa.large_string()), "")
-        _, off, data = col.buffers()
-        off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
-        units = np.frombuffer(data, np.uint8)[off[0] : off[-1]].astype(np.int64) if data is not None else np.zeros(0, np.int64)
-        off = off - off[0]
-        if unit == "char":
-            starts = (units & 0xC0) != 0x80
-            off = np.r_[0, np.cumsum(starts)][off]
-            if not starts.all():
-                lead = np.flatnonzero(starts)
-                long = np.diff(np.r_[lead, len(units)])
-                point = np.where(long == 1, units[lead], units[lead] & (0x7F >> long))
-                for k in range(1, int(long.max())):
-                    more = long > k
-                    point[more] = point[more] << 6 | units[lead[more] + k] & 0x3F
-                units = point
-        out[lo:hi] = _spread(units, off)
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield slice(lo, hi)
         lo = hi
+
+
+def _entropies(s: pa.Array, unit: str) -> pa.Array:
+    """Entropy of code points or bytes of each string, a few million units at a time."""
+    out = np.zeros(len(s))
+    for part in _parts(s, 1 << 22):
+        out[part] = _spread(*_units(s[part], unit))
     return pa.array(out, pa.float64(), mask=np.asarray(pc.is_null(s)))
 
 
+PROFILE = ("shannon", "normalized", "base64", "hex", "bigram", "diversity")
+
+
+def profiles(s: pa.Array) -> np.ndarray:
+    """All of PROFILE of each string, a column each, in one pass over its code points; zeros for an empty or null string."""
+    out = np.zeros((len(s), len(PROFILE)))
+    for part in _parts(s, 1 << 20):
+        units, off = _units(s[part], "char")
+        size = np.diff(off)
+        row = np.repeat(np.arange(len(size)), size)
+        key = np.unique(row << 21 | units)
+        different = np.bincount(key >> 21, minlength=len(size))
+        whole = _spread(units, off)
+        low = np.minimum(units, 127)
+        some = {}
+        for name, kind in (("base64", _IN_BASE64), ("hex", _IN_HEX)):
+            ok = kind[low] & (units < 128)
+            some[name] = _spread(units[ok], np.r_[0, np.cumsum(ok)][off])
+        inner = np.ones(len(units), bool)
+        inner[off[1:][size > 0] - 1] = False  # a symbol with another after it
+        n = np.maximum(size - 1, 0)
+        at = np.flatnonzero(inner)
+        ends = np.r_[0, np.cumsum(n)]
+        _, pair = np.unique(units[at] << 21 | units[np.minimum(at + 1, len(units) - 1)], return_inverse=True)
+        following = np.where(size < 3, 0.0, np.maximum(_spread(pair, ends) - _spread(units[at], ends), 0.0))
+        normal = np.divide(whole, np.log2(np.maximum(different, 2)), out=np.zeros(len(size)), where=different >= 2)
+        out[part] = np.stack([whole, normal, some["base64"], some["hex"], following, different / np.maximum(size, 1)], 1)
+    return out
+
+
+_IN_BASE64, _IN_HEX = (np.array([chr(c) in kind for c in range(128)]) for kind in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", "0123456789ABCDEFabcdef"))
+
+
+@F.arrow_udf(StructType([StructField(n, DoubleType()) for n in PROFILE]))
+def profile(s: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c.copy()) for c in profiles(s).T], list(PROFILE))
+
+
 @F.arrow_udf(DoubleType())
 def text_entropy(s: pa.Array) -> pa.Array:
     """shannon_char() of texts of any length, in time that doesn't grow with the number of different symbols."""
@@ -75,10 +124,15 @@ def shannon_char(s: Column) -> Column:
     A symbol is counted by what its removal takes away, one pass of native code for each
     different symbol, so no array of the whole string is kept.
     """
-    n = F.char_length(s).cast("double")
-    p = lambda c: (n - F.char_length(F.replace(s, c, F.lit("")))) / n
-    total = F.aggregate(symbols(s), F.lit(0.0), lambda h, c: F.when(c == "", h).otherwise(h - p(c) * F.log2(p(c))))
-    return F.when(s.isNotNull(), F.when(n == 0, F.lit(0.0)).otherwise(total))
+
+    def of(s: Column) -> Column:
+        n = F.char_length(s).cast("double")
+        p = lambda c: (n - F.char_length(F.replace(s, c, F.lit("")))) / n
+        total = F.aggregate(symbols(s), F.lit(0.0), lambda h, c: F.when(c == "", h).otherwise(h - p(c) * F.log2(p(c))))
+        return F.when(n == 0, F.lit(0.0)).otherwise(total)
+
+    # A lambda's variable is worked out once; an expression in it would be for each symbol.
+    return F.when(s.isNotNull(), F.get(F.transform(F.array(s), of), 0))
 
 
 def latin1(s: Column) -> Column:
@@ -104,16 +158,7 @@ def restricted(s: Column, alphabet: str) -> Column:
 
 def bigram(s: Column) -> Column:
     """Entropy of a symbol given the one before it; 0 below three symbols."""
-    n = F.char_length(s)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, 2))
-    total = (n - 1).cast("double")
-
-    def spread(items: Column) -> Column:
-        count = lambda x: F.size(F.filter(items, lambda y: y == x)).cast("double") / total
-        return F.aggregate(F.array_distinct(items), F.lit(0.0), lambda h, x: h - count(x) * F.log2(count(x)))
-
-    firsts = F.transform(pairs, lambda x: F.substring(x, 1, 1))
-    return F.when(s.isNotNull(), F.when(n < 3, F.lit(0.0)).otherwise(spread(pairs) - spread(firsts)))
+    return F.when(s.isNotNull(), profile(s)["bigram"])
 
 
 def diversity(s: Column) -> Column:

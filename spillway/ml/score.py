@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from spillway.functions.entropy import profiles
 from spillway.functions.text import has_any
-from spillway.ml.features import NAMES, RATIO, vector
+from spillway.ml.features import ENTROPIES, NAMES, RATIO, vector
 
 THRESHOLD = 0.3
 
@@ -67,6 +68,7 @@ def _batches(model: Model):
             flat = np.array(batch.column(at).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(NAMES))
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(names.index("__v")).to_pylist()]
             flat[:, RATIO] = [len(zlib.compress(b, 6)) / len(b) if b else 0.0 for b in raw]
+            flat[:, ENTROPIES] = profiles(batch.column(names.index("__v")))
             kept = [k for k, n in enumerate(names) if n not in ("__x", "__v")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(model.predict(flat), pa.float64())], [*(names[k] for k in kept), "score"])
 

@@ -15,7 +15,7 @@ from spillway.detect import words as W
 from spillway.functions import entropy as E
 from spillway.functions import filters as X
 from spillway.functions import text as T
-from spillway.ml.features import features
+from spillway.ml.features import MARKERS, NAMES, PREFIXES, SSH, features
 from spillway.operators import images, post, resolve, scan, spans, verify
 from spillway.plans import seeds
 from spillway.rules import catalogue, install
@@ -92,7 +92,7 @@ def scan_summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH n AS ({seeds.NATURAL_SQL}) SELECT item_id, line, col, value, sha256(concat(type, chr(0), concat(source, '/', CAST(item_id AS VARCHAR)), chr(0), value)) AS fingerprint FROM n JOIN {{docs}} d ON d.doc_id = n.item_id")
 def det02_api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = scan.raw(_items(spark, sf_dir))
-    return raw.where("type = 'generic_api_key'").select("item_id", F.col("line").cast("long"), F.col("col").cast("long"), "value", T.fingerprint(F.col("type"), F.col("path"), F.col("value")).alias("fingerprint"))
+    return raw.select("item_id", F.col("line").cast("long"), F.col("col").cast("long"), "value", T.fingerprint(F.col("type"), F.col("path"), F.col("value")).alias("fingerprint"))
 
 
 @_query(r"""
@@ -128,16 +128,15 @@ def jn01_anchor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id AS item_id, CAST(generate_subscripts(x, 1) AS INTEGER) AS line, strlen(unnest(x)) AS n_bytes FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {docs})")
 def pos02_line_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _items(spark, sf_dir).select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "x"))
-    return rows.select("item_id", (F.col("k") + 1).alias("line"), F.octet_length("x").cast("long").alias("n_bytes"))
+    return spans.lines(_items(spark, sf_dir)).select("item_id", "line", F.octet_length("line_text").cast("long").alias("n_bytes"))
 
 
 @_query("""
-SELECT doc_id AS item_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, CAST(strlen(string_split(text, chr(10))[-1]) + 1 AS INTEGER) AS col, CAST(length(string_split(text, chr(10))[-1]) AS INTEGER) AS utf16_col,
-  lower(string_split(text, chr(10))[-1]) AS before FROM {docs} WHERE text IS NOT NULL AND strlen(string_split(text, chr(10))[-1]) <= 2048
+SELECT doc_id AS item_id, CAST(len(p) AS INTEGER) AS line, CAST(strlen(p[-1]) + 1 AS INTEGER) AS col, CAST(length(p[-1]) AS INTEGER) AS utf16_col,
+  lower(CASE WHEN strlen(p[-1]) <= 2048 THEN p[-1] ELSE right(p[-1], list_max(list_filter(range(1, 2049), lambda i: strlen(right(p[-1], i)) <= 2048))) END) AS before FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {docs} WHERE text IS NOT NULL)
 """)
 def pos01_end_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line, byte column, UTF-16 column and line prefix of the end of each text.  The prefix of a last line longer than the window is cut; the SQL leaves these texts out."""
+    """Line, byte column, UTF-16 column and line prefix of the end of each text; the prefix is what is whole of the window's bytes."""
     rows = _items(spark, sf_dir).where("text IS NOT NULL").withColumn("at", F.octet_length("text"))
     t, at = F.col("text"), F.col("at")
     return rows.select("item_id", T.line_of(t, at).alias("line"), T.column_of(t, at).alias("col"), T.column_utf16(t, at).alias("utf16_col"), T.before(t, at).alias("before"))
@@ -162,7 +161,7 @@ def scl02_shannon_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entropy_sql(chars: str) -> str:
-    return f"COALESCE(-list_sum(list_transform(list_distinct({chars}), lambda c: len(list_filter({chars}, lambda x: x = c)) / len({chars}) * log2(len(list_filter({chars}, lambda x: x = c)) / len({chars})))), 0)"
+    return f"COALESCE(0 - list_sum(list_transform(list_distinct({chars}), lambda c: len(list_filter({chars}, lambda x: x = c)) / len({chars}) * log2(len(list_filter({chars}, lambda x: x = c)) / len({chars})))), 0)"
 
 
 _PAIRS = "list_transform(range(1, length(v)), lambda i: substr(v, i, 2))"
@@ -172,7 +171,7 @@ _FIRSTS = "list_transform(range(1, length(v)), lambda i: substr(v, i, 1))"
 @_query(f"""
 WITH v AS (SELECT *, list_filter(string_split(v, ''), lambda c: c <> '') AS chars, regexp_extract_all(v, '[A-Za-z0-9+/=_-]') AS b64, regexp_extract_all(v, '[0-9A-Fa-f]') AS hexa FROM ({seeds.VALUES_SQL}))
 SELECT doc_id, k, ROUND({_entropy_sql('chars')}, 6) AS shannon, ROUND(CASE WHEN len(list_distinct(chars)) < 2 THEN 0 ELSE {_entropy_sql('chars')} / log2(len(list_distinct(chars))) END, 6) AS normalized,
-  ROUND({_entropy_sql('b64')}, 6) AS base64, ROUND({_entropy_sql('hexa')}, 6) AS hex, ROUND(CASE WHEN length(v) < 3 THEN 0 ELSE {_entropy_sql(_PAIRS)} - {_entropy_sql(_FIRSTS)} END, 6) AS bigram,
+  ROUND({_entropy_sql('b64')}, 6) AS base64, ROUND({_entropy_sql('hexa')}, 6) AS hex, ROUND(CASE WHEN length(v) < 3 THEN 0 ELSE {_entropy_sql(_PAIRS)} - {_entropy_sql(_FIRSTS)} END, 6) + 0.0 AS bigram,
   ROUND(CASE WHEN v = '' THEN 0 ELSE len(list_distinct(chars)) / length(v) END, 6) AS diversity FROM v
 """)
 def scl03_05_07_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,12 +181,6 @@ def scl03_05_07_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "k", r(E.shannon_char(v), "shannon"), r(E.normalized(v), "normalized"), r(E.restricted(v, "A-Za-z0-9+/=_\\-"), "base64"), r(E.restricted(v, "0-9A-Fa-f"), "hex"), r(E.bigram(v), "bigram"), r(E.diversity(v), "diversity"))
 
 
-@_query()
-def scl06_compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL has no zlib."""
-    return seeds.values(spark, _docs(spark, sf_dir)).select("doc_id", "k", F.round(E.compression_ratio(F.col("v")), 6).alias("ratio"))
-
-
 def _re(rx: str) -> str:
     return rx.replace("'", "''")
 
@@ -398,22 +391,20 @@ def prj09_severity_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("item_id", "type", F.col("line").cast("long"), report.sarif_level(s).alias("level"), report.dojo_severity(s).alias("dojo"), report.lsp_severity(s).alias("lsp"))
 
 
-@_query(seeds.FINDINGS_SQL + "SELECT quality, toxic, COUNT(*) AS labelled, CAST(COUNT(n) AS BIGINT) AS with_findings, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS findings FROM '{labels}' l LEFT JOIN (SELECT item_id, COUNT(*) AS n FROM findings WHERE type = 'generic_api_key' GROUP BY 1) f ON f.item_id = l.doc_id GROUP BY 1, 2".replace("'{labels}'", "labels"))
+@_query(seeds.FINDINGS_SQL + "SELECT quality, toxic, COUNT(*) AS labelled, CAST(COUNT(n) AS BIGINT) AS with_findings, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS findings FROM '{labels}' l LEFT JOIN (SELECT item_id, COUNT(*) AS n FROM n GROUP BY 1) f ON f.item_id = l.doc_id GROUP BY 1, 2".replace("'{labels}'", "labels"))
 def label_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings against the labels of documents."""
-    n = scan.findings(_items(spark, sf_dir)).where("type = 'generic_api_key'").groupBy("item_id").agg(F.count("*").alias("n"))
+    n = scan.findings(_items(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("n"))
     rows = _table(spark, sf_dir, "labels").join(n, F.col("doc_id") == F.col("item_id"), "left")
     return rows.groupBy("quality", "toxic").agg(F.count("*").alias("labelled"), F.count("n").alias("with_findings"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
 
 
-_ROUTED = {"gitlab_pat": "gitlab", "stripe_secret_key": "stripe", "aws_access_key_id": "aws"}
-
-
-@_query(seeds.FINDINGS_SQL + "SELECT item_id, type, line, CASE type WHEN 'gitlab_pat' THEN 'gitlab' WHEN 'stripe_secret_key' THEN 'stripe' WHEN 'aws_access_key_id' THEN 'aws' END AS verifier FROM findings WHERE type IN ('gitlab_pat', 'stripe_secret_key', 'aws_access_key_id')")
+@_query(seeds.FINDINGS_SQL + "SELECT item_id, type, line, CASE type WHEN 'gitlab_pat' THEN 'gitlab' WHEN 'stripe_secret_key' THEN 'stripe' WHEN 'aws_access_key_id' THEN 'aws' ELSE CASE WHEN contains(lower(value), 'eaaa') THEN 'square' END END AS verifier FROM findings")
 def jn10_verifier_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = scan.raw(_seeded(spark, sf_dir)).where(F.col("type").isin(*_ROUTED)).withColumn("finding_id", F.concat_ws(":", "item_id", "type", "line"))
+    """The verifier of each finding, null for those that none can test: by type, or by an anchor that its digits happen to hold."""
+    raw = scan.raw(_seeded(spark, sf_dir)).withColumn("finding_id", F.concat_ws(":", "item_id", "type", "line", "col"))
     to = verify.route(raw.select("finding_id", "type", "value"), verify.anchors(spark))
-    return raw.join(to, "finding_id").select("item_id", "type", F.col("line").cast("long"), "verifier")
+    return raw.join(to, "finding_id", "left").select("item_id", "type", F.col("line").cast("long"), "verifier")
 
 
 @_query("""WITH r AS (SELECT doc_id, CAST(n_chars % 5 AS INTEGER) AS k, length(text) % 2 = 0 AS says FROM {docs}), s AS (SELECT doc_id, [200, 401, 429, 503, 200][k + 1] AS status, says FROM r)
@@ -467,7 +458,7 @@ def det06_07_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.col("doc_id").cast("string"), 256)
     line = F.concat_ws(" ; ", *(F.concat(F.lit(p), F.left(sha, F.lit(n))) for p, n in _TOKENS.values()))
     docs = _docs(spark, sf_dir).withColumn("text", F.concat_ws("\n", F.coalesce("text", F.lit("")), line))
-    return scan.raw(scan.items(docs), detectors=(), templates=catalogue.templates()).where(F.col("type").isin(*_TOKENS)).select("item_id", "type", "value", "severity")
+    return scan.raw(scan.items(docs), detectors=(), templates=catalogue.templates()).select("item_id", "type", "value", "severity")
 
 
 _CHARS = "list_filter(string_split(value, ''), lambda c: c <> '')"
@@ -512,7 +503,7 @@ def agg12_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH p AS (SELECT url, md5(CAST(page_id AS VARCHAR)) AS m FROM pages)
-SELECT url || '#__INITIAL_STATE__' AS path, '{"key":"a/' || m || '","n":1}' AS text FROM p UNION ALL SELECT url || '#json-island', '{"api":"' || m || '"}' FROM p UNION ALL SELECT url || '#meta', m || '&x' FROM p""")
+SELECT url || '#__INITIAL_STATE__' AS path, '{"key":"a/' || m || '","n":1}' AS text FROM p UNION ALL SELECT url || '#inline-script', 'window.__INITIAL_STATE__ = {"key":"a/' || m || '","n":1};' FROM p UNION ALL SELECT url || '#json-island', '{"api":"' || m || '"}' FROM p UNION ALL SELECT url || '#meta', m || '&x' FROM p""")
 def html01_state_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs of pages, each seeded with a state, an island and a meta value."""
     m = F.md5(F.col("page_id").cast("string"))
@@ -520,7 +511,7 @@ def html01_state_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<script>window.__INITIAL_STATE__ = {"key":"a\\/'), m, F.lit('","n":1};</script><script type="application/json">{"api":"'), m, F.lit('"}</script><meta name="x" content="'), m, F.lit('&amp;x"><script type="application/json">{"api":"'), m, F.lit('"}</script>'),
     )
     pages = _table(spark, sf_dir, "pages").select("url", F.concat("html", extra).alias("html"))
-    return web.state_blobs(pages).where("NOT endswith(path, '#inline-script')").select("path", "text")
+    return web.state_blobs(pages).select("path", "text")
 
 
 @_query("""WITH p AS (SELECT url, regexp_extract(url, '^(https?://[^/]+)', 1) AS root, md5(CAST(page_id AS VARCHAR)) AS m FROM pages)
@@ -561,23 +552,56 @@ def scl25_26_27_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.values(spark, _docs(spark, sf_dir)).select("doc_id", "k", F.element_at(T.word_list(F.concat(v, F.lit(", A b ,,X"))), -1).alias("last"), T.sanitize(v).alias("sanitized"), F.levenshtein(v, F.lit("sk_live_")).cast("long").alias("distance"))
 
 
-@_query(f"""SELECT doc_id, k, length(v) AS length, ROUND(ln(1 + length(v)), 6) AS log_length, ROUND(len(regexp_extract_all(v, '[a-z]')) / greatest(length(v), 1), 6) AS frac_lower, ROUND(len(regexp_extract_all(v, '[0-9]')) / greatest(length(v), 1), 6) AS frac_digit,
-  ROUND(len(regexp_extract_all(v, '[^A-Za-z0-9]')) / greatest(length(v), 1), 6) AS frac_special, ROUND(len(regexp_extract_all(v, '[aeiouAEIOU]')) / greatest(length(v), 1), 6) AS frac_vowel, COALESCE(list_max(list_transform(regexp_extract_all(v, '[0-9]+'), lambda x: length(x))), 0) AS longest_digit_run,
-  COALESCE(list_max(list_transform(regexp_extract_all(v, '[A-Za-z]+'), lambda x: length(x))), 0) AS longest_alpha_run, CAST({_HEXRUN} AS INTEGER) AS is_hex, CAST(regexp_matches(v, '^(?i)[a-z][a-z0-9+.-]*://') AS INTEGER) AS is_dsn,
-  CAST(starts_with(v, 'arn:') AS INTEGER) AS is_arn, CAST({_HEXRUN} AND length(v) = 24 AS INTEGER) AS is_object_id FROM ({seeds.VALUES_SQL})""")
+_VC = "list_filter(string_split(v, ''), lambda c: c <> '')"
+_B64C, _HEXC = "regexp_extract_all(v, '[A-Za-z0-9+/=_-]')", "regexp_extract_all(v, '[0-9A-Fa-f]')"
+
+
+def _share(kind: str) -> str:
+    return f"ROUND(len(regexp_extract_all(v, '{kind}')) / greatest(length(v), 1), 6)"
+
+
+def _most(kind: str) -> str:
+    return f"CAST(COALESCE(list_max(list_transform(regexp_extract_all(v, '{kind}+'), lambda x: length(x))), 0) AS DOUBLE)"
+
+
+def _is(test: str) -> str:
+    return f"CAST(CAST({test} AS INTEGER) AS DOUBLE)"
+
+
+_MARKED = " + ".join(f"CAST(contains(lower(v), '{m}') AS INTEGER)" for m in MARKERS)
+_URLHOST = "lower(string_split(string_split(string_split(substr(v, instr(v, '://') + 3), '/')[1], '@')[-1], ':')[1])"
+_FEATURES = {
+    "length": "CAST(length(v) AS DOUBLE)", "log_length": "ROUND(ln(1 + length(v)), 6)", "shannon_entropy": f"ROUND({_entropy_sql(_VC)}, 6)",
+    "normalized_entropy": f"ROUND(CASE WHEN len(list_distinct({_VC})) < 2 THEN 0 ELSE {_entropy_sql(_VC)} / log2(len(list_distinct({_VC}))) END, 6)", "base64_entropy": f"ROUND({_entropy_sql(_B64C)}, 6)", "hex_entropy": f"ROUND({_entropy_sql(_HEXC)}, 6)",
+    "bigram_entropy": f"ROUND(CASE WHEN length(v) < 3 THEN 0 ELSE {_entropy_sql(_PAIRS)} - {_entropy_sql(_FIRSTS)} END, 6) + 0.0", "char_diversity": f"ROUND(CASE WHEN v = '' THEN 0 ELSE len(list_distinct({_VC})) / length(v) END, 6)",
+    "frac_lower": _share("[a-z]"), "frac_upper": _share("[A-Z]"), "frac_digit": _share("[0-9]"), "frac_special": _share("[^A-Za-z0-9]"), "frac_hex": _share("[0-9a-fA-F]"), "frac_vowel": _share("[aeiouAEIOU]"),
+    "case_transitions_norm": "ROUND(len(list_filter(range(1, length(v)), lambda i: (regexp_matches(v[i], '[a-z]') AND regexp_matches(v[i + 1], '[A-Z]')) OR (regexp_matches(v[i], '[A-Z]') AND regexp_matches(v[i + 1], '[a-z]')))) / greatest(length(v), 1), 6)",
+    "longest_digit_run": _most("[0-9]"), "longest_alpha_run": _most("[A-Za-z]"), "is_uuid": _is("regexp_matches(v, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')"), "is_hex": _is(_HEXRUN), "is_base64_charset": _is("regexp_matches(v, '^[A-Za-z0-9+/=_-]+$')"),
+    "is_base32_charset": _is("regexp_matches(v, '^[A-Z2-7=]+$')"), "is_numeric": _is("regexp_matches(v, '^[0-9]+$')"), "is_jwt": _is("starts_with(v, 'eyJ') AND regexp_matches(v, '^[0-9A-Za-z_-]{4,}[.][0-9A-Za-z_-]+[.][0-9A-Za-z_-]*$')"),
+    "is_pem_private_key": _is("regexp_matches(v, '-----BEGIN [ 0-9A-Z]*PRIVATE KEY-----')"), "is_dsn": _is("regexp_matches(v, '^(?i)[a-z][a-z0-9+.-]*://')"), "has_known_prefix": _is(" OR ".join(f"starts_with(v, '{x}')" for x in PREFIXES)),
+    "is_hashlike_len": _is(f"{_HEXRUN} AND length(v) IN (32, 40, 56, 64, 128)"), "placeholder_marker_count": f"CAST({_MARKED} AS DOUBLE)", "has_placeholder_marker": _is(f"({_MARKED}) > 0"),
+    "has_placeholder_run": _is("regexp_matches(v, 'qwerty|asdf|abcd|1234|0{6,}|[.]{3,}|[*]{4,}|X{4,}|x{4,}')"),
+    **{n: f"CAST({x} AS DOUBLE)" for n, x in (("ctx_name_has_secret_kw", 1), ("ctx_line_has_secret_kw", 1), ("ctx_any_secret_kw", 1), ("ctx_is_assignment", 1), ("ctx_in_quotes", 1), ("ctx_in_url", 0), ("ctx_is_comment", 0), ("ctx_test_path", 0), ("ctx_name_len", 7), ("ctx_source_code", 1), ("ctx_source_jira", 0), ("ctx_source_confluence", 0), ("ctx_source_unknown", 0))},
+    "is_ssh_pubkey": _is(" OR ".join(f"starts_with(v, '{x}')" for x in SSH)), "is_arn": _is("starts_with(v, 'arn:')"), "is_data_uri": _is("starts_with(v, 'data:')"), "is_object_id": _is(f"{_HEXRUN} AND length(v) = 24"),
+    "url_host_local": _is(f"contains(v, '://') AND ({_URLHOST} IN ({', '.join(repr(x) for x in (*T.LOCAL_HOSTS, *T.SERVICE_HOSTS))}) OR starts_with({_URLHOST}, '10.') OR starts_with({_URLHOST}, '192.168.') OR starts_with({_URLHOST}, '169.254.') OR regexp_matches({_URLHOST}, '^172[.]0*(1[6-9]|2[0-9]|3[01])([.]|$)'))"),
+}
+
+
+@_query("SELECT doc_id, k, " + ", ".join(f"{x} AS {n}" for n, x in _FEATURES.items()) + f" FROM ({seeds.VALUES_SQL})")
 def ml01_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve of the 49 features, those that SQL can tell simply; the tests hold all against plain Python."""
-    cols = {c: f for c, f in zip(_names(), features(F.col("v"), F.lit("api_key"), F.lit('api_key = "x"'), F.lit("src/a.py"), F.lit("code")))}
-    want = ("length", "log_length", "frac_lower", "frac_digit", "frac_special", "frac_vowel", "longest_digit_run", "longest_alpha_run", "is_hex", "is_dsn", "is_arn", "is_object_id")
-    whole = ("length", "longest_digit_run", "longest_alpha_run")
-    kind = lambda n: "long" if n in whole else "int" if n.startswith("is_") else "double"
-    return seeds.values(spark, _docs(spark, sf_dir)).select("doc_id", "k", *(F.round(cols[n], 6).cast(kind(n)).alias(n) for n in want))
+    """All features but the compression ratio, which SQL has no function for; ml01_ratio has that one."""
+    cols = _feature_columns()
+    return seeds.values(spark, _docs(spark, sf_dir)).select("doc_id", "k", *(F.round(cols[n], 6).alias(n) for n in _FEATURES))
+
 
+@_query()
+def ml01_scl06_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature that needs zlib; the tests hold it against zlib itself."""
+    return seeds.values(spark, _docs(spark, sf_dir)).select("doc_id", "k", F.round(_feature_columns()["compression_ratio"], 6).alias("ratio"))
 
-def _names():
-    from spillway.ml.features import NAMES
 
-    return NAMES
+def _feature_columns() -> dict[str, Column]:
+    return dict(zip(NAMES, features(F.col("v"), F.lit("api_key"), F.lit('api_key = "x"'), F.lit("src/a.py"), F.lit("code"))))
 
 
 # Streams, in batch form.
@@ -590,12 +614,15 @@ def str04_error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.error_streaks(_table(spark, sf_dir, "events"), 2)
 
 
-@_query()
+@_query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id AS call_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t, event_type <> 'error' AS ok, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT host, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS call_id, false AS allowed, 0 AS n, CAST(-1 AS BIGINT) AS until FROM e WHERE k = 1
+  UNION ALL SELECT f.host, e.k, e.call_id, e.t >= f.until, CASE WHEN e.t < f.until THEN f.n WHEN e.ok THEN 0 ELSE f.n + 1 END, CASE WHEN e.t >= f.until AND NOT e.ok AND f.n + 1 >= 2 THEN e.t + 21600000000 ELSE f.until END FROM f JOIN e ON e.host = f.host AND e.k = f.k + 1)
+SELECT host, call_id, allowed FROM f WHERE k > 0""")
 def str04_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold; the tests hold it against one in plain Python."""
+    """Calls that a breaker lets through: two failures close a user's calls for six hours."""
     events = _table(spark, sf_dir, "events")
     calls = events.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
-    return streaming.breaker(calls, 2, 6 * 3600.0)
+    return streaming.breaker(calls, 2, 6 * 3600.0).select("host", "call_id", "allowed")
 
 
 @_query("""WITH g AS (SELECT *, CASE WHEN ts < LAG(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
