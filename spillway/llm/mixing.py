@@ -119,8 +119,9 @@ def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float
 def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, seed: str = SEED, topics: Column | None = None) -> DataFrame:
     """The sampled rows of docs, with all their columns; each row is drawn by the cell it lies in, where it is."""
     cell, _, solved = _solved(spark, docs, targets, share, alpha, topics)
-    solved = solved.select(F.struct(*AXES).alias("__of"), F.col("p").alias("__p"))  # few rows, sent to the texts while the written table is small
-    return docs.withColumn("__cell", F.struct(*cell)).join(solved, F.col("__cell") == F.col("__of")).where(_draw(seed) < F.col("__p")).select(*docs.columns)
+    solved = solved.select(F.struct(*AXES).alias("of"), "p")  # few rows, sent to the texts while the written table is small
+    rows = docs.select("doc_id", F.struct(*cell).alias("cell"), F.struct("*").alias("row"))
+    return rows.join(solved, F.col("cell") == F.col("of")).where(_draw(seed) < F.col("p")).select("row.*")
 
 
 def _draw(seed: str) -> Column:
