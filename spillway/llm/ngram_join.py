@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillway.llm.store import Store, partitions
@@ -51,6 +51,7 @@ BUCKETS, REFS, RINGS = 6, 15, 4
 #: Grams whose order follows their frequency, at most; those of equal class follow their hash.  Results don't depend on it.
 HEAVY, SEEN, COUNTED = 1 << 17, 3, 1 << 20
 BLOCK, CHUNK, LIST = 512, 2048, 4096
+BITS = 1 << 25  # of the table that tells which texts may be asked for
 _PARTS = (np.arange(2 * BUCKETS).astype(np.float64) * (2.0**64 / (2 * BUCKETS))).astype(np.uint64)
 
 LINKS_SQL = f"""
@@ -515,11 +516,28 @@ def _blocks(store: Store, classes: DataFrame) -> DataFrame:
     return of.join(refs, "k", "left").select("k", "lead", F.coalesce("ref", F.lit(False)).alias("ref"))
 
 
+def _among(spark: SparkSession, ids: DataFrame, c: str = "k") -> Column:
+    """Whether column c may be one of ids, by a table of BITS bits; all that are do pass.  So few texts are moved that aren't asked for."""
+    at = f"pmod(xxhash64({c}), {BITS}L)"
+    words = ids.select(F.expr(f"{at} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(BITS // 64, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def found(at: pa.Array) -> pa.Array:
+        at = np.asarray(at)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return found(F.expr(at))
+
+
 def _candidates(spark: SparkSession, store: Store, posts: DataFrame, least: float) -> DataFrame:
     """Pairs of leads that may hold a link."""
     order = Window.partitionBy("gram")
     # Most grams are of one set; their rows end here, and the others, a few, are moved again.
     lists = store.table(posts.withColumn("many", F.count(F.lit(1)).over(order)).where("many > 1"), "lists")
+    store.release()
     cols = ["gram", "lead", *((F.shiftrightunsigned(c, 32) if k == 0 else F.col(c).bitwiseAND(0xFFFFFFFF)).cast("int").alias(name) for c, names in (("sizes", ("low", "high")), ("places", ("first", "last"))) for k, name in enumerate(names))]
     short = lists.where(F.col("many") <= LIST).select(*cols, F.lit(0).alias("own")).repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists(least), _CANDIDATE)
     # Chunks of a long list are ranges of size and position.  Only chunks whose sizes can meet are paired, each pair a list of its own.
@@ -553,8 +571,8 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     one = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     named = classes.select("k", "doc.doc_id", "doc.h").join(assigned, "k", "left")
     texts = store.table(one.join(named.hint("merge"), ["doc_id", "h"]).select("k", "lead", "ref", "text"), "texts")
-    for name in ("best", "assigned"):
-        store.drop(name)
+    store.drop("best", "assigned")
+    store.release()
     in_bucket = texts.where("lead IS NOT NULL")
     refs = in_bucket.where("ref").select("lead", "text").repartition("lead").sortWithinPartitions("lead").mapInArrow(_consensus(n), "lead long, grams binary")
     refs = store.table(refs, "refs")
@@ -588,7 +606,8 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     meet = store.table(meet.select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "home", "chunk"), "meet")
     store.drop("pairs")
     shape = meet.select("v").distinct().join(rings, F.col("v") == rings["lead"]).groupBy("v").agg(F.collect_list(F.struct("ring", "docs", "low", "high")).alias("rings"))
-    what = texts.select(F.col("k").alias("v"), "text", F.lit(None).cast("binary").alias("grams")).unionByName(refs.select((-1 - F.col("lead")).alias("v"), F.lit(None).cast("string").alias("text"), "grams"))
+    asked = meet.select("v").distinct()
+    what = texts.where(_among(spark, asked.withColumnRenamed("v", "k"))).select(F.col("k").alias("v"), "text", F.lit(None).cast("binary").alias("grams")).unionByName(refs.select((-1 - F.col("lead")).alias("v"), F.lit(None).cast("string").alias("text"), "grams"))
     meet = meet.join(shape, "v").join(what, "v").select("g", "i", "j", "v", "home", "chunk", "rings", "text", "grams")
     found = meet.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_answers(n, least), _FOUND)
     found = store.table(found, "found")
@@ -602,7 +621,8 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
         side = open_.join(sets_.select("k", "docs", F.col("lead").alias(c), F.col("ring").alias(f"r{c}")), [c, f"r{c}"])
         side = side.withColumn(own, F.pmod(F.xxhash64("k"), F.col(f"p{c}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("pb" if c == "a" else "pa") - 1)))
         sides.append(side.select("a", "ra", "b", "rb", "i", "j", F.lit(int(c == "b")).alias("second"), "k", "docs"))
-    each = sides[0].unionByName(sides[1]).join(texts.select("k", "text"), "k").select("a", "ra", "b", "rb", "i", "j", "second", "k", "docs", "text")
+    each = store.table(sides[0].unionByName(sides[1]), "each")
+    each = each.join(texts.select("k", "text").where(_among(spark, each.select("k"))), "k").select("a", "ra", "b", "rb", "i", "j", "second", "k", "docs", "text")
     key = ["a", "ra", "b", "rb", "i", "j"]
     single = each.repartition(*key).sortWithinPartitions(*key).mapInArrow(_one_by_one(n, least), _FOUND)
     single = store.table(single, "single")
@@ -613,8 +633,7 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     own = F.col("inside") - 1 + F.coalesce("ring_links", F.lit(0)) + F.coalesce("set_links", F.lit(0))
     sets_ = sets_.join(inside, "lead").join(of_ring, ["lead", "ring"], "left").join(of_set, "k", "left").select("k", "id1", "id2", "size", "doc", "lead", own.alias("links"))
     edges = found.unionByName(single).where(F.col("kind") == EDGE).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for name in ("classes", "near", "refs", "texts", "open"):
-        store.drop(name)
+    store.drop("classes", "near", "refs", "texts", "open", "each")
     return members, sets_, edges, store
 
 
@@ -636,13 +655,13 @@ def _classes(members: DataFrame, sets_: DataFrame, edges: DataFrame, store: Stor
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """docs without all but one document, of the least doc_id, of each class, and without repeated rows of a document; rows of null doc_id stay."""
     members, sets_, edges, store = _links(spark, docs, n, least)
-    gone = store.table(_classes(members, sets_, edges, store).where("NOT first").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")), "gone")
+    gone = store.table(_classes(members, sets_, edges, store).where("NOT first").select("doc_id", F.col("h").alias("hash")), "gone")
     # Ordered by every column that has an order, so the row that stays doesn't depend on the run; a text moves once.
-    order = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    again = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(*order))
-    one = docs.where("doc_id IS NOT NULL").withColumn("__hash", F.xxhash64("text")).withColumn("__again", again).where("__again = 1")
-    kept = one.join(gone, (one["doc_id"] == gone["__doc"]) & (one["__hash"] == gone["__h"]), "left_anti")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    order = [F.col("row")[c] for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    again = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(*order))
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    kept = rows.withColumn("again", again).where("again = 1").join(gone, ["doc_id", "hash"], "left_anti")
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def _components(store: Store, edges: DataFrame) -> DataFrame:

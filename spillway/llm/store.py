@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -44,6 +45,11 @@ class Store:
             self.marked = files.deleteOnExit(whole)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that have ended: it does so when the driver collects garbage, which in a short job it may never do."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later plan reads."""
         for name in names:
