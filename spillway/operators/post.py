@@ -109,6 +109,13 @@ def by_file(findings: DataFrame) -> DataFrame:
     return findings.groupBy("path").agg(worst.alias("worst"), F.count("*").alias("n")).orderBy(F.desc("worst"), "path")
 
 
+def by_repository(items: DataFrame, findings: DataFrame, repository: Column) -> DataFrame:
+    """repository, scanned (items), with_findings, failed and findings; a repository of an item is told by the column."""
+    of = findings.groupBy("item_id").agg(F.count_if(~F.col("type").isin("scan_failed", "results_truncated")).alias("n"), F.count_if(F.col("type") == "scan_failed").alias("bad"))
+    rows = items.select("item_id", repository.alias("repository")).join(of, "item_id", "left")
+    return rows.groupBy("repository").agg(F.count("*").alias("scanned"), F.count_if(F.col("n") > 0).alias("with_findings"), F.count_if(F.col("bad") > 0).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+
+
 def live_summary(findings: DataFrame) -> DataFrame:
     """One row: live, dead and untested findings, and the type of the worst live one."""
     top = F.max_by("type", F.when(F.col("verified"), F.struct(sev_rank(F.col("severity")), F.col("confidence"), F.col("type"))))

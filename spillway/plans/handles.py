@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import tarfile
 import zipfile
 
@@ -16,12 +17,16 @@ from spillway.detect import words as W
 from spillway.detect.kernel import Allow
 from spillway.functions import filters as X
 from spillway.functions import text as T
+from spillway.ml import score
+from spillway.ml.features import NAMES
 from spillway.operators import images, post, resolve, scan, spans, verify
-from spillway.plans import seeds
-from spillway.plans.queries import _RANK, _any, _docs, _entropy_sql, _found, _items, _planted, _query, _table
+from spillway.plans import scratch, seeds
+from spillway.plans.queries import _HEXRUN, _RANK, _any, _docs, _entropy_sql, _found, _items, _planted, _query, _table
 from spillway.rules import catalogue, template
+from spillway.services import ingest
 from spillway.sinks import report
-from spillway.sources import archives, content, files, trackers, web
+from spillway.sources import archives, content, files, git, trackers, web
+from spillway.streaming import operators as streaming
 
 # Sources.
 
@@ -273,9 +278,9 @@ def flt29_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(seeds.FINDINGS_SQL + "SELECT item_id, type, line FROM findings WHERE type NOT IN ('gitlab_pat', 'db_connection_string') AND NOT starts_with(path, 'src3/')")
-def flt02_03_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flt02_03_set04_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a pattern, a stop word and a folder accept; entries that would accept everything are left out."""
-    allow = Allow(frozenset({"no such value"}), ("src3/**", "**", " "), ("^glpat-", ".*", "(a|b|.)"), ("MYSQL://app", "a", "")).checked()
+    allow = Allow(frozenset({"no such value"}), ("src3/**", "**"), ("^glpat-", ".*")).merge(Allow(paths=(" ",), regexes=("(a|b|.)",), stopwords=("MYSQL://app", "a", ""))).checked()
     return scan.findings(_seeded_items(spark, sf_dir), allow=allow).select("item_id", "type", F.col("line").cast("long"))
 
 
@@ -463,3 +468,147 @@ def src20_top05_subdomains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of certificates below a domain: the first thirty, which is the feature."""
     bodies = _docs(spark, sf_dir).select(F.replace(F.lit(_LISTING), F.lit("@"), (F.col("doc_id") % 50).cast("string")).alias("body"))
     return web.subdomains(bodies, "example.org")
+
+
+# What is written and read again.
+
+
+@_query("SELECT md5(CAST(doc_id AS VARCHAR)) AS value, text, source, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label, CASE WHEN doc_id % 2 = 0 THEN '{\"note\":\"n' || doc_id || '\"}' END AS extra FROM {docs}")
+def src28_labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled records as JSON lines, labels written in three ways, some with a field that isn't known."""
+    at = scratch.folder(spark)
+    label = F.when(F.col("doc_id") % 3 == 0, "true").when(F.col("doc_id") % 3 == 1, "0")
+    note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("n"), "doc_id"))
+    docs = _docs(spark, sf_dir).select(F.md5(F.col("doc_id").cast("string")).alias("value"), "text", "source", label.alias("label_binary"), note.alias("note"))
+    docs.write.json(f"{at}/corpus")
+    return files.labelled_corpus(spark, f"{at}/corpus").select("value", "text", "source", F.col("label_binary").cast("int").alias("label"), "extra")
+
+
+@_query("SELECT DISTINCT 'h' || (doc_id % 37) || '.example.org' AS target FROM {docs}")
+def src27_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of a list with blank lines, comments and repeats."""
+    at = scratch.folder(spark)
+    line = F.concat(F.lit("  h"), (F.col("doc_id") % 37).cast("string"), F.lit(".example.org "))
+    _docs(spark, sf_dir).select(F.concat_ws("\n", line, F.lit(""), F.lit("# a note")).alias("value")).write.text(f"{at}/list")
+    return files.targets(spark, f"{at}/list")
+
+
+@_query("SELECT doc_id, CASE WHEN lower(name) LIKE '%.md' OR lower(name) LIKE '%.txt' THEN 'file' ELSE 'code' END AS source, text FROM (SELECT doc_id, text, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.PNG' ELSE '.txt' END AS name FROM {docs}) WHERE doc_id % 4 <> 2 AND doc_id % 7 <> 0 AND strlen(text) BETWEEN 1 AND 20000")
+def src02_04_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, some in a folder that is skipped, some of a kind that is; the limit of size is the feature."""
+    at = scratch.folder(spark)
+    root = at.removeprefix("file:")
+
+    def write(batches):
+        for pdf in batches:
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                folder = f"{root}/tree/{'node_modules' if doc % 7 == 0 else 'src'}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/d{doc}{('.md', '.py', '.PNG', '.txt')[doc % 4]}", "w", encoding="utf-8", newline="") as f:
+                    f.write(text or "")
+            yield pdf[["doc_id"]]
+
+    _docs(spark, sf_dir).select("doc_id", "text").mapInPandas(write, "doc_id long").count()
+    items = files.folder(spark, f"{root}/tree", most_bytes=20_000)
+    return items.select(F.regexp_extract("path", "/d([0-9]+)[.]", 1).cast("long").alias("doc_id"), "source", "text")
+
+
+@_query(seeds.FINDINGS_SQL + "SELECT item_id, type, line, fingerprint FROM findings")
+def str02_str06_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded documents as a stream of files, a few at a time, scanned into a table; the same findings as a batch gives."""
+    at = scratch.folder(spark)
+    _seeded_items(spark, sf_dir).repartition(6).write.json(f"{at}/in")
+    query = streaming.start_scan(spark, f"{at}/in", f"{at}/out", f"{at}/state")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.parquet(f"{at}/out").select("item_id", "type", F.col("line").cast("long"), "fingerprint")
+
+
+# Requests, scores, labels.
+
+_LIMIT = 4000
+
+
+@_query(seeds.FINDINGS_SQL + f""", r AS (SELECT doc_id, strlen(t) > {_LIMIT} AS large, t FROM (SELECT doc_id, COALESCE(text, '') AS t FROM {{docs}})),
+k AS (SELECT doc_id, large, ROW_NUMBER() OVER (PARTITION BY large ORDER BY doc_id % 11, doc_id) AS k FROM r), took AS (SELECT doc_id, NOT large AND k <= 500 AS ok FROM k)
+SELECT CAST(COUNT(*) FILTER (WHERE ok) AS BIGINT) AS scanned, CAST(COALESCE(SUM(n) FILTER (WHERE ok), 0) AS BIGINT) AS findings, CAST(0 AS BIGINT) AS errors, CAST(COUNT(*) FILTER (WHERE NOT ok) AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS truncated
+FROM took LEFT JOIN (SELECT item_id, COUNT(*) AS n FROM n GROUP BY 1) g ON g.item_id = took.doc_id""")
+def src24_agg11_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests: the first five hundred to arrive are scanned, large texts and the others are sent back, and counters say so.  The limits are the feature."""
+    docs = _docs(spark, sf_dir)
+    requests = docs.select(F.col("doc_id").alias("request_id"), F.timestamp_seconds(F.col("doc_id") % 11).alias("arrived"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    return ingest.counters(ingest.answers(ingest.admitted(requests, 500, _LIMIT)))
+
+
+_TREES = (
+    {"feature_idx": ["length", None, "is_hex", None, None], "threshold": [20.5, 0, 0.5, 0, 0], "left": [1, 0, 3, 0, 0], "right": [2, 0, 4, 0, 0], "value": [0, 0.5, 0, -0.3, 0.7], "is_leaf": [0, 1, 0, 1, 1]},
+    {"feature_idx": ["frac_digit", None, None], "threshold": [0.3, 0, 0], "left": [1, 0, 0], "right": [2, 0, 0], "value": [0, 0.2, -0.4], "is_leaf": [0, 1, 1]},
+)
+
+
+def _model(baseline: float, trees) -> score.Model:
+    at = lambda n: NAMES.index(n) if n else 0
+    return score.Model({"feature_names": list(NAMES), "baseline": baseline, "trees": [t | {"feature_idx": [at(n) for n in t["feature_idx"]], "missing_left": [1] * len(t["value"])} for t in trees]})
+
+
+@_query(f"SELECT doc_id, k, ROUND(1 / (1 + exp(-(0.1 + CASE WHEN length(v) <= 20.5 THEN 0.5 WHEN {_HEXRUN} THEN 0.7 ELSE -0.3 END + CASE WHEN len(regexp_extract_all(v, '[0-9]')) / greatest(length(v), 1) <= 0.3 THEN 0.2 ELSE -0.4 END))), 6) AS score FROM ({seeds.VALUES_SQL})")
+def ml02_03_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of two trees over every seeded value."""
+    rows = seeds.values(spark, _docs(spark, sf_dir))
+    return score.scored(rows, _model(0.1, _TREES), F.col("v"), F.lit("n"), F.lit("n = 1"), F.lit("a.py"), F.lit("code")).select("doc_id", "k", F.round("score", 6).alias("score"))
+
+
+_SHORT = ({"feature_idx": ["length", None, None], "threshold": [25.5, 0, 0], "left": [1, 0, 0], "right": [2, 0, 0], "value": [0, 3, -3], "is_leaf": [0, 1, 1]},)
+
+
+@_query(seeds.FINDINGS_SQL + "SELECT item_id, type, line FROM findings WHERE length(value) <= 25 OR type = 'private_key_pem'")
+def flt30_ml04_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate whose model likes short values: keys stay whatever it says."""
+    return score.gated(scan.raw(_seeded_items(spark, sf_dir)), _model(0.0, _SHORT)).select("item_id", "type", F.col("line").cast("long"))
+
+
+@_query(seeds.FINDINGS_SQL + "SELECT source AS repository, COUNT(*) AS scanned, CAST(COUNT(f) AS BIGINT) AS with_findings, CAST(0 AS BIGINT) AS failed, COALESCE(CAST(SUM(f) AS BIGINT), 0) AS findings FROM d LEFT JOIN (SELECT item_id, COUNT(*) AS f FROM n GROUP BY 1) g ON g.item_id = d.doc_id GROUP BY 1")
+def agg14_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was scanned, found and failed in each source, taken as a repository."""
+    items = _items(spark, sf_dir)
+    return post.by_repository(items, scan.findings(items), F.col("source"))
+
+
+@_query("SELECT 'owner/name/' || COALESCE(source, 'file') || '/' || doc_id AS path FROM {docs}")
+def prj11_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return git.labelled(_items(spark, sf_dir).withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("file")), F.col("item_id").cast("string"))), "https://host.example.org/owner/name.git").select("path")
+
+
+@_query("SELECT 'https://s' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.example.org' ELSE '.atlassian.net' END AS base, CASE doc_id % 4 WHEN 0 THEN 'datacenter' WHEN 2 THEN 'server' WHEN 3 THEN 'server' ELSE 'cloud' END AS kind, CASE WHEN doc_id % 4 <> 1 THEN '9.' || doc_id END AS version FROM {docs}")
+def src23_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What servers tell of themselves; one in four says nothing, but has a cloud's name."""
+    k = F.col("doc_id") % 4
+    base = F.concat(F.lit("https://s"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".example.org").otherwise(".atlassian.net"))
+    info = F.when(k != 1, F.to_json(F.struct(F.when(k == 0, "DataCenter").when(k == 3, "SERVER").alias("deploymentType"), F.concat(F.lit("9."), "doc_id").alias("version"))))
+    return trackers.deployment(_docs(spark, sf_dir).select(base.alias("base"), info.alias("info")))
+
+
+_LISTED = _values_sql(f"('{t.id}', '{t.category}', '{t.severity}', {len(t.tags)})" for t in _RULE_ROWS)
+
+
+@_query(f"SELECT id, category, severity, CAST(tags AS INTEGER) AS tags FROM {_LISTED} AS r(id, category, severity, tags)")
+def det13_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.frame(spark).select("id", "category", "severity", F.size("tags").alias("tags"))
+
+
+_URLS = {"https://a/x?k={{secret}}": True, "https://a/{{base64(secret)}}": True, "https://a/x": False, "https://a/{{account}}": False, "{{secretive}}": False}
+
+
+@_query("SELECT url, leaks FROM " + _values_sql(f"('{u}', {str(v).lower()})" for u, v in _URLS.items()) + " AS u(url, leaks)")
+def ver02_exfiltration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request templates that put a secret into the URL."""
+    return spark.createDataFrame([(u, verify.leaks_secret(u)) for u in _URLS], "url string, leaks boolean")
+
+
+@_query(seeds.FINDINGS_SQL + "SELECT false AS whole, true AS cut, (SELECT COUNT(*) FROM findings) > 0 AS some")
+def agg04_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether findings were cut: of a scan, and of the same with the row that says so."""
+    found = _found(spark, sf_dir)
+    cut = found.unionByName(found.limit(1).withColumn("type", F.lit("results_truncated")))
+    return post.truncated(found).withColumnRenamed("truncated", "whole").crossJoin(post.truncated(cut).withColumnRenamed("truncated", "cut")).withColumn("some", F.lit(True))
