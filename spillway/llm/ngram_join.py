@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spillway.llm.hot import bits, lookup
 from spillway.llm.store import Store, partitions
 from spillway.llm.tokens import Words, mix, rolling, signed, slices
 
@@ -51,7 +52,6 @@ BUCKETS, REFS, RINGS = 6, 15, 4
 #: Grams whose order follows their frequency, at most; those of equal class follow their hash.  Results don't depend on it.
 HEAVY, SEEN, COUNTED = 1 << 17, 3, 1 << 20
 BLOCK, CHUNK, LIST = 512, 2048, 4096
-BITS = 1 << 25  # of the table that tells which texts may be asked for
 _PARTS = (np.arange(2 * BUCKETS).astype(np.float64) * (2.0**64 / (2 * BUCKETS))).astype(np.uint64)
 
 LINKS_SQL = f"""
@@ -259,7 +259,7 @@ def _lists(least: float):
             at = new[many == m]
             if m <= 64:  # all lists of this length at once
                 i, j = np.triu_indices(m, 1)
-                each = max(1, 400_000 // len(i))
+                each = max(1, 100_000 // len(i))
                 for lo in range(0, len(at), each):
                     base = at[lo : lo + each]
                     x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
@@ -306,7 +306,7 @@ def _lists(least: float):
         for x, y in lists(*cols):
             held.append((x, y))
             many += len(x)
-            if many > 2_000_000:
+            if many > 500_000:
                 yield from flush()
                 held, many = [], 0
         if held:
@@ -319,7 +319,7 @@ def _lists(least: float):
                 continue
             kept.append([np.asarray(c).astype(np.int64) for c in batch.columns])
             rows += batch.num_rows
-            if rows < 200_000:
+            if rows < 100_000:
                 continue
             cols = [np.concatenate(c) for c in zip(*kept)]
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
@@ -516,20 +516,15 @@ def _blocks(store: Store, classes: DataFrame) -> DataFrame:
     return of.join(refs, "k", "left").select("k", "lead", F.coalesce("ref", F.lit(False)).alias("ref"))
 
 
-def _among(spark: SparkSession, ids: DataFrame, c: str = "k") -> Column:
-    """Whether column c may be one of ids, by a table of BITS bits; all that are do pass.  So few texts are moved that aren't asked for."""
-    at = f"pmod(xxhash64({c}), {BITS}L)"
-    words = ids.select(F.expr(f"{at} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(BITS // 64, np.uint64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+def _among(spark: SparkSession, ids: DataFrame, of: Column) -> Column:
+    """Whether a column may be one of ids (k), by a table of bits; all that are do pass.  So few texts are moved that aren't asked for."""
+    shared = spark.sparkContext.broadcast(bits(ids, "k"))
 
     @F.arrow_udf("boolean")
     def found(at: pa.Array) -> pa.Array:
-        at = np.asarray(at)
-        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+        return pa.array(lookup(shared.value, np.asarray(at)))
 
-    return found(F.expr(at))
+    return found(of)
 
 
 def _candidates(spark: SparkSession, store: Store, posts: DataFrame, least: float) -> DataFrame:
@@ -567,13 +562,16 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     classes = members.groupBy("id1", "id2", "size").agg(F.min(F.struct("doc_id", "h")).alias("doc"), F.count(F.lit(1)).alias("docs"), *(F.first(c).alias(c) for c in values[3:]))
     classes = store.table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
     assigned = _blocks(store, classes)
-    # One text of each set; this moves all texts once, the last join but one moves them again.
-    one = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    named = classes.select("k", "doc.doc_id", "doc.h").join(assigned, "k", "left")
-    texts = store.table(one.join(named.hint("merge"), ["doc_id", "h"]).select("k", "lead", "ref", "text"), "texts")
+    named = classes.select("k", "doc.doc_id", "doc.h")
+
+    def fetched(sets: DataFrame, few: bool = True) -> DataFrame:
+        """A text of each of the sets (k, doc_id, h and more); few of all texts are moved if few are asked for."""
+        some = rows.where(_among(spark, sets.select(F.xxhash64("doc_id", "h").alias("k")), F.xxhash64("doc_id", "h"))) if few else rows
+        return some.groupBy("doc_id", "h").agg(F.first("text").alias("text")).join(sets.hint("merge"), ["doc_id", "h"]).drop("doc_id", "h")
+
+    named = store.table(named.join(assigned, "k", "left"), "named")
+    in_bucket = store.table(fetched(named.where("lead IS NOT NULL")), "texts")
     store.drop("best", "assigned")
-    store.release()
-    in_bucket = texts.where("lead IS NOT NULL")
     refs = in_bucket.where("ref").select("lead", "text").repartition("lead").sortWithinPartitions("lead").mapInArrow(_consensus(n), "lead long, grams binary")
     refs = store.table(refs, "refs")
     near = in_bucket.hint("merge").join(refs, "lead").select("k", "lead", "text", "grams").mapInArrow(_compare(n, least), "k long, lead long, d int")
@@ -589,7 +587,7 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     rings = store.table(rings, "rings")
 
     kind = "gram long, lead long, size int, pos int"
-    alone = texts.where("lead IS NULL").select("k", "text").mapInArrow(_post(n, least, heavy), kind)
+    alone = fetched(named.where("lead IS NULL").select("k", "doc_id", "h"), few=False).select("k", "text").mapInArrow(_post(n, least, heavy), kind)
     other = in_bucket.select("k", "text").join(near.select("k", F.col("lead").alias("block")), "k", "left").select(F.coalesce("block", "k").alias("k"), "text").mapInArrow(_post(n, least, heavy), kind)
     both = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     posts = alone.select("gram", "lead", both(F.col("size"), F.col("size")).alias("sizes"), both(F.col("pos"), F.col("pos")).alias("places"))
@@ -597,6 +595,7 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     posts = posts.unionByName(block.select("gram", "lead", both(F.col("low"), F.col("high")).alias("sizes"), both(F.col("first"), F.col("last")).alias("places")))
     pairs = store.table(_candidates(spark, store, posts, least), "pairs")
     store.drop("lists")
+    store.release()
 
     lead = pairs.groupBy("b").agg(F.min("a").alias("g"))
     meet = pairs.join(lead, "b").select("g", F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("home")), F.struct(F.col("b").alias("v"), F.lit(1).alias("home")))).alias("m"))
@@ -606,8 +605,8 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     meet = store.table(meet.select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "home", "chunk"), "meet")
     store.drop("pairs")
     shape = meet.select("v").distinct().join(rings, F.col("v") == rings["lead"]).groupBy("v").agg(F.collect_list(F.struct("ring", "docs", "low", "high")).alias("rings"))
-    asked = meet.select("v").distinct()
-    what = texts.where(_among(spark, asked.withColumnRenamed("v", "k"))).select(F.col("k").alias("v"), "text", F.lit(None).cast("binary").alias("grams")).unionByName(refs.select((-1 - F.col("lead")).alias("v"), F.lit(None).cast("string").alias("text"), "grams"))
+    asked = store.table(meet.select(F.col("v").alias("k")).distinct().join(named.select("k", "doc_id", "h"), "k"), "asked")
+    what = fetched(asked).select(F.col("k").alias("v"), "text", F.lit(None).cast("binary").alias("grams")).unionByName(refs.select((-1 - F.col("lead")).alias("v"), F.lit(None).cast("string").alias("text"), "grams"))
     meet = meet.join(shape, "v").join(what, "v").select("g", "i", "j", "v", "home", "chunk", "rings", "text", "grams")
     found = meet.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_answers(n, least), _FOUND)
     found = store.table(found, "found")
@@ -622,7 +621,8 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
         side = side.withColumn(own, F.pmod(F.xxhash64("k"), F.col(f"p{c}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("pb" if c == "a" else "pa") - 1)))
         sides.append(side.select("a", "ra", "b", "rb", "i", "j", F.lit(int(c == "b")).alias("second"), "k", "docs"))
     each = store.table(sides[0].unionByName(sides[1]), "each")
-    each = each.join(texts.select("k", "text").where(_among(spark, each.select("k"))), "k").select("a", "ra", "b", "rb", "i", "j", "second", "k", "docs", "text")
+    asked = store.table(each.select("k").distinct().join(named.select("k", "doc_id", "h"), "k"), "asked-again")
+    each = each.join(fetched(asked), "k").select("a", "ra", "b", "rb", "i", "j", "second", "k", "docs", "text")
     key = ["a", "ra", "b", "rb", "i", "j"]
     single = each.repartition(*key).sortWithinPartitions(*key).mapInArrow(_one_by_one(n, least), _FOUND)
     single = store.table(single, "single")
@@ -633,7 +633,8 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     own = F.col("inside") - 1 + F.coalesce("ring_links", F.lit(0)) + F.coalesce("set_links", F.lit(0))
     sets_ = sets_.join(inside, "lead").join(of_ring, ["lead", "ring"], "left").join(of_set, "k", "left").select("k", "id1", "id2", "size", "doc", "lead", own.alias("links"))
     edges = found.unionByName(single).where(F.col("kind") == EDGE).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    store.drop("classes", "near", "refs", "texts", "open", "each")
+    store.drop("classes", "near", "refs", "texts", "open", "each", "named", "asked", "asked-again")
+    store.release()
     return members, sets_, edges, store
 
 
