@@ -12,12 +12,17 @@ dropped that could be a link, and no list, group or chunk is cut.
    sets have; a set joins the bucket's block if it differs from the reference so little that
    any two sets that do are linked (size > r * difference, r = (1 + least) / (1 - least)).
    Inside a block all answers are known; no pair is looked at.
-3. Index lists by position.  Grams are ordered by frequency class, then hash.  A set is listed
-   under its first grams, as many as the threshold needs for any link to share one.  A list
-   holds a block once, with the ranges of its sets' sizes and positions, is sorted by them, and
-   is read in blocks of entries; those whose sizes or positions rule the overlap out are
-   skipped whole.  The lists that two entries share are counted: what the counted grams and the
-   unlisted rest can't bring to the threshold is no candidate.
+3. Index lists.  A set's grams lie on a ring, by hash; its keys are its grams, each with the
+   next one on the ring.  Two sets of o common grams have 3 o - (sizes) common keys at least:
+   of the grams of both, only those before a gram of one alone aren't followed alike.  So a
+   link shares keys wherever least > 1/2, while texts that have single grams in common by
+   chance share next to none; below that the grams are the keys.  Keys are ordered by frequency
+   class, then hash.  A set is listed under its first keys, as many as the threshold needs for
+   any link to share one, in PASSES parts of the keys, so the disk holds one part's shuffle.
+   A list holds a block once, with the range of its sets' sizes, is sorted by them, and is read
+   in blocks of entries; those whose sizes rule the overlap out are skipped whole.  The lists
+   that two entries share are counted: what the counted keys and the unlisted rest can't bring
+   to the threshold is no candidate.
 4. Answers from the reference.  Candidates meet in the group of the least candidate of one of
    them, where references are compared exactly.  The answers of a block's sets follow: with D
    between two references and d from a set to its own, two sets differ by D - d - d' at least
@@ -37,6 +42,7 @@ near_links(), and kept by keep_one().
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +55,11 @@ from spillway.llm.tokens import Words, mix, rolling, signed, slices
 
 N, LEAST = 3, 0.6
 BUCKETS, REFS, RINGS = 6, 15, 4
-#: Grams whose order follows their frequency, at most; those of equal class follow their hash.  Results don't depend on it.
+#: Keys whose order follows their frequency, at most; those of equal class follow their hash.  Results don't depend on it.
 HEAVY, SEEN, COUNTED = 1 << 17, 3, 1 << 20
 BLOCK, CHUNK, LIST = 512, 2048, 4096
+#: Parts of the keys that are listed one after the other.  Results don't depend on it.
+PASSES = 3
 _PARTS = (np.arange(2 * BUCKETS).astype(np.float64) * (2.0**64 / (2 * BUCKETS))).astype(np.uint64)
 
 LINKS_SQL = f"""
@@ -95,6 +103,17 @@ def _ratio(least: float) -> float:
     return (1 + least) / (1 - least)
 
 
+def bounds(least: float) -> tuple[bool, float, float]:
+    """Whether keys are of two grams, the least share of a set's keys that a link of it has in common with it, and that of the sizes of both."""
+    one, both = 2 * least - 1, 3 * least / (1 + least) - 1
+    return (True, one, both) if one > 0.05 else (False, least, least / (1 + least))
+
+
+def keys(x: np.ndarray, least: float) -> np.ndarray:
+    """The keys of a sorted set, sorted: each gram with the one that follows it, the last with the first."""
+    return np.sort(mix(x ^ mix(np.roll(x, -1)))) if bounds(least)[0] else x
+
+
 def _batch(kinds: dict[str, pa.DataType], cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], list(kinds))
 
@@ -102,8 +121,8 @@ def _batch(kinds: dict[str, pa.DataType], cols) -> pa.RecordBatch:
 _SCAN = "doc_id long, h long, size int, id1 long, id2 long, " + ", ".join(f"b{k} long" for k in range(BUCKETS)) + ", gram long, seen int"
 
 
-def _scan(n: int):
-    """A row for each text that has a set, and rows of grams that are seen often in a part of the texts."""
+def _scan(n: int, least: float):
+    """A row for each text that has a set, and rows of keys that are seen often in a part of the texts."""
     names = [c.split()[0] for c in _SCAN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +142,11 @@ def _scan(n: int):
                     continue
                 at = pa.array([i for i, _ in some])
                 ids = np.array([identity(x) for _, x in some])
-                keys = np.array([buckets(x) for _, x in some])
+                into = np.array([buckets(x) for _, x in some])
                 size = pa.array([len(x) for _, x in some], pa.int32())
                 last = [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32())]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), size, *(pa.array(c.copy()) for c in ids.T), *(pa.array(c.copy()) for c in keys.T), *last], names)
-                held += [x for _, x in some]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), size, *(pa.array(c.copy()) for c in ids.T), *(pa.array(c.copy()) for c in into.T), *last], names)
+                held += [keys(x, least) for _, x in some]
                 many += sum(len(x) for _, x in some)
                 if many > COUNTED:
                     yield often()
@@ -139,7 +158,7 @@ def _scan(n: int):
 
 
 def _heavy(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most HEAVY of the most frequent grams, sorted, and their frequency classes."""
+    """At most HEAVY of the most frequent keys, sorted, and their frequency classes."""
     level = F.floor(F.log2("n")).cast("int")
     counts = scan.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("n")).withColumn("level", level)
     at = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
@@ -164,21 +183,27 @@ def prefix(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], least: float) ->
     return x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
 
 
-def _post(n: int, least: float, heavy):
+def listed(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The keys that a set is listed under."""
+    return prefix(keys(x, least), heavy, bounds(least)[1])
+
+
+def _post(n: int, least: float, heavy, turn: int, turns: int):
+    """gram, lead, size for each key that a text's set is listed under, of one of `turns` parts of the keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 some = [(i, x) for i, x in enumerate(sets(Words(part.column(1)), n)) if len(x)]
                 if not some:
                     continue
-                first = [prefix(x, heavy.value, least) for _, x in some]
+                first = [k[k % np.uint64(turns) == turn] for k in (listed(x, heavy.value, least) for _, x in some)]
                 long = np.array([len(x) for x in first])
                 lead = part.column(0).take(pa.array(np.repeat([i for i, _ in some], long)))
                 size = np.repeat([len(x) for _, x in some], long).astype(np.int32)
-                pos = (np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)).astype(np.int32)
                 gram = signed(np.concatenate(first))
                 for lo in range(0, len(gram), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[lo : lo + 100_000]), lead.slice(lo, 100_000), pa.array(size[lo : lo + 100_000]), pa.array(pos[lo : lo + 100_000])], ["gram", "lead", "size", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[lo : lo + 100_000]), lead.slice(lo, 100_000), pa.array(size[lo : lo + 100_000])], ["gram", "lead", "size"])
 
     return run
 
@@ -240,9 +265,12 @@ def _compare(n: int, least: float):
 _CANDIDATE = "a long, b long, shared int, amin int, amax int, bmin int, bmax int"
 
 
-def _lists(least: float):
-    """Pairs of leads that share grams in the lists of a partition, sorted by gram, and how many; rows of two chunks of a list pair across them."""
-    half = least / (1 + least)
+def _lists(least: float, share: float | None = None):
+    """Pairs of leads that share grams in the lists of a partition, sorted by gram, and how many; rows of two chunks of a list pair across them.
+
+    share: the least share of both sizes that a link has in common; by default, that of its grams.
+    """
+    half = least / (1 + least) if share is None else share
 
     def pairs(x, y, low, high, first, last):
         """Which entries x and y may hold a link."""
@@ -527,16 +555,26 @@ def _among(spark: SparkSession, ids: DataFrame, of: Column) -> Column:
     return found(of)
 
 
-def _candidates(spark: SparkSession, store: Store, posts: DataFrame, least: float) -> DataFrame:
-    """Pairs of leads that may hold a link."""
+def _candidates(spark: SparkSession, store: Store, indexed: DataFrame, heavy, n: int, least: float) -> DataFrame:
+    """Pairs of leads that may hold a link, of the texts (lead, text) of sets; those of a block have one lead."""
+    _, one, share = bounds(least)
     order = Window.partitionBy("gram")
-    # Most grams are of one set; their rows end here, and the others, a few, are moved again.
-    lists = store.table(posts.withColumn("many", F.count(F.lit(1)).over(order)).where("many > 1"), "lists")
-    store.release()
-    cols = ["gram", "lead", *((F.shiftrightunsigned(c, 32) if k == 0 else F.col(c).bitwiseAND(0xFFFFFFFF)).cast("int").alias(name) for c, names in (("sizes", ("low", "high")), ("places", ("first", "last"))) for k, name in enumerate(names))]
-    short = lists.where(F.col("many") <= LIST).select(*cols, F.lit(0).alias("own")).repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists(least), _CANDIDATE)
-    # Chunks of a long list are ranges of size and position.  Only chunks whose sizes can meet are paired, each pair a list of its own.
-    long = lists.where(F.col("many") > LIST).select(*cols).withColumn("own", F.floor((F.row_number().over(order.orderBy("low", "first", "lead")) - 1) / LIST).cast("int"))
+    both = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long")).alias("sizes")
+    # Most keys are of one set; their rows end here, and the others, a few, are moved again.
+    parts = []
+    for turn in range(PASSES):
+        posts, block = (indexed.where(which).mapInArrow(_post(n, least, heavy, turn, PASSES), "gram long, lead long, size int") for which in ("lead >= 0", "lead < 0"))
+        block = block.groupBy("gram", "lead").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+        posts = posts.select("gram", "lead", both("size", "size")).unionByName(block.select("gram", "lead", both("low", "high")))
+        parts.append(store.table(posts.withColumn("many", F.count(F.lit(1)).over(order)).where("many > 1"), f"lists-{turn}"))
+        store.release()
+    lists = reduce(DataFrame.unionByName, parts)
+    low, high = F.shiftrightunsigned("sizes", 32).cast("int"), F.col("sizes").bitwiseAND(0xFFFFFFFF).cast("int")
+    # Places among a set's keys rule out next to nothing, and aren't kept: any may be the first or the last.
+    cols = ["gram", "lead", low.alias("low"), high.alias("high"), F.lit(0).alias("first"), high.alias("last")]
+    short = lists.where(F.col("many") <= LIST).select(*cols, F.lit(0).alias("own")).repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists(least, share), _CANDIDATE)
+    # Chunks of a long list are ranges of size.  Only chunks whose sizes can meet are paired, each pair a list of its own.
+    long = lists.where(F.col("many") > LIST).select(*cols).withColumn("own", F.floor((F.row_number().over(order.orderBy("low", "lead")) - 1) / LIST).cast("int"))
     ranges = long.groupBy("gram", "own").agg(F.min("low").alias("least"), F.max("high").alias("most"))
     a, b = (ranges.select("gram", F.col("own").alias(c), F.col("least").alias(f"{c}0"), F.col("most").alias(f"{c}1")) for c in "ij")
     meet = a.join(b, "gram").where(f"i <= j AND i1 >= {least} * j0 - 1e-6 AND j1 >= {least} * i0 - 1e-6")
@@ -544,17 +582,17 @@ def _candidates(spark: SparkSession, store: Store, posts: DataFrame, least: floa
     key = F.xxhash64("gram", "i", "j")
     long = long.join(meet, ["gram", "own"]).select(key.alias("gram"), "lead", "low", "high", "first", "last", "own")
     # Few bytes and much work: their partitions are given, lest they be put together by size.
-    long = long.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "own").mapInArrow(_lists(least), _CANDIDATE)
+    long = long.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "own").mapInArrow(_lists(least, share), _CANDIDATE)
     found = short.unionByName(long).groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.min(c).alias(c) for c in ("amin", "bmin")), *(F.max(c).alias(c) for c in ("amax", "bmax")))
-    rest = F.ceil(F.lit(least) * F.greatest("amax", "bmax") - 1e-9) - 1
-    return found.where(F.col("shared") + rest >= least / (1 + least) * (F.col("amin") + F.col("bmin")) - 1e-6).select("a", "b")
+    rest = F.ceil(F.lit(one) * F.greatest("amax", "bmax") - 1e-9) - 1
+    return found.where(F.col("shared") + rest >= share * (F.col("amin") + F.col("bmin")) - 1e-6).select("a", "b")
 
 
 def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame, Store]:
     """members (doc_id, h, id1, id2, size), sets (k, id1, id2, size, doc, docs, lead, ring, own: links), edges between leads (u, v; v < u), and the store they are in."""
     store = Store(spark)
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    scan = store.table(rows.mapInArrow(_scan(n), _SCAN), "scan")
+    scan = store.table(rows.mapInArrow(_scan(n, least), _SCAN), "scan")
     heavy = spark.sparkContext.broadcast(_heavy(scan))
     values = ["size", "id1", "id2", *(f"b{r}" for r in range(BUCKETS))]
     members = store.table(scan.where("doc_id IS NOT NULL").groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in values)), "members")
@@ -586,15 +624,12 @@ def _links(spark: SparkSession, docs: DataFrame, n: int, least: float) -> tuple[
     rings = sets_.groupBy("lead", "ring").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sets"), low.alias("low"), high.alias("high"))
     rings = store.table(rings, "rings")
 
-    kind = "gram long, lead long, size int, pos int"
-    alone = fetched(named.where("lead IS NULL").select("k", "doc_id", "h"), few=False).select("k", "text").mapInArrow(_post(n, least, heavy), kind)
-    other = in_bucket.select("k", "text").join(near.select("k", F.col("lead").alias("block")), "k", "left").select(F.coalesce("block", "k").alias("k"), "text").mapInArrow(_post(n, least, heavy), kind)
-    both = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-    posts = alone.select("gram", "lead", both(F.col("size"), F.col("size")).alias("sizes"), both(F.col("pos"), F.col("pos")).alias("places"))
-    block = other.groupBy("gram", "lead").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    posts = posts.unionByName(block.select("gram", "lead", both(F.col("low"), F.col("high")).alias("sizes"), both(F.col("first"), F.col("last")).alias("places")))
-    pairs = store.table(_candidates(spark, store, posts, least), "pairs")
-    store.drop("lists")
+    alone = fetched(named.where("lead IS NULL").select("k", "doc_id", "h"), few=False).select(F.col("k").alias("lead"), "text")
+    other = in_bucket.select("k", "text").join(near.select("k", F.col("lead").alias("block")), "k", "left").select(F.coalesce("block", "k").alias("lead"), "text")
+    indexed = store.table(alone.unionByName(other), "indexed")
+    store.release()
+    pairs = store.table(_candidates(spark, store, indexed, heavy, n, least), "pairs")
+    store.drop("indexed", *(f"lists-{turn}" for turn in range(PASSES)))
     store.release()
 
     lead = pairs.groupBy("b").agg(F.min("a").alias("g"))

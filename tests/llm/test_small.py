@@ -273,6 +273,51 @@ def test_prefixes_of_linked_sets_meet():
                 assert first[i] & first[j]
 
 
+def closed(seed, n, size=60):
+    """Sets of grams of a small universe, unlike each other, and a changed copy of each tenth."""
+    r = np.random.default_rng(seed)
+    universe = r.integers(0, 2**63, 6000).astype(np.uint64)
+    some = [np.unique(r.choice(universe, size + int(r.integers(0, size)))) for _ in range(n)]
+    return some + [np.unique(np.concatenate([x[r.random(len(x)) > 0.15], r.choice(universe, len(x) // 10)])) for x in some[::10]]
+
+
+def listed_pairs(some, first, *share):
+    """Pairs that the index lists give, of sets listed under `first`."""
+    gram, lead = np.concatenate(first), np.repeat(np.arange(len(some)), [len(x) for x in first])
+    size, order = np.array([len(x) for x in some])[lead], np.argsort(gram, kind="stable")
+    cols = [c[order] for c in (tokens.signed(gram), lead, size, size, np.zeros_like(size), size, np.zeros_like(size))]
+    order = np.argsort(cols[0], kind="stable")
+    return {(x["a"], x["b"]) for b in ngram_join._lists(0.6, *share)(iter([pa.RecordBatch.from_arrays([pa.array(c[order]) for c in cols], [*"abcdefg"])])) for x in b.to_pylist()}
+
+
+def test_lists_of_unlike_texts_give_few_pairs():
+    """Of texts that have single grams in common by chance few meet, and all links do."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n in (200, 800):
+        some = closed(31, n)
+        found = listed_pairs(some, [ngram_join.listed(x, none, 0.6) for x in some], ngram_join.bounds(0.6)[2])
+        linked = {(i, j) for j in range(len(some)) for i in range(j) if (o := len(np.intersect1d(some[i], some[j], assume_unique=True))) / (len(some[i]) + len(some[j]) - o) >= 0.6}
+        assert linked <= found and len(linked) > n / 20
+        assert 20 * len(found - linked) < len(listed_pairs(some, [ngram_join.prefix(x, none, 0.6) for x in some]))  # by single grams
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.8, 0.95])
+def test_keys_of_linked_sets(least):
+    """Linked sets have as many keys in common as the bounds say, at every size, and are listed under one."""
+    r = np.random.default_rng(17)
+    none, (_, one, share), linked = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), ngram_join.bounds(least), 0
+    for _ in range(4000):
+        x = np.unique(r.integers(0, 2**63, r.integers(1, 40)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) > r.choice([0, 0.1, 0.3])], r.integers(0, 2**63, r.integers(0, 8)).astype(np.uint64)]))
+        o = len(np.intersect1d(x, y))
+        if len(y) and o / (len(x) + len(y) - o) >= least:
+            both = len(np.intersect1d(ngram_join.keys(x, least), ngram_join.keys(y, least)))
+            assert both >= share * (len(x) + len(y)) - 1e-6 and both >= one * max(len(x), len(y)) - 1e-6
+            assert len(np.intersect1d(ngram_join.listed(x, none, least), ngram_join.listed(y, none, least)))
+            linked += 1
+    assert linked > 200
+
+
 def test_join_defined(spark, table):
     assert ngram_join.near_links(spark, table([])).count() == 0 and ngram_join.keep_one(spark, table([])).count() == 0
     assert ngram_join.near_links(spark, table([(1, None), (2, None), (3, ""), (4, "")])).count() == 0
