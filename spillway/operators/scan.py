@@ -25,6 +25,8 @@ _ARROW = pa.struct([
 ])
 
 
+#: Items that are Python objects at a time.
+SLICE = 256
 #: The type of the row that stands for an item whose scan failed; its rationale says why.
 FAILED = "scan_failed"
 
@@ -39,11 +41,10 @@ def found(text: Column, path: Column, source: Column, detectors=table.BUILTIN, t
     """Findings of a text as an array of structs; null for a null text.  An item whose scan fails has one row, of type FAILED."""
     key = (tuple(detectors), tuple(templates), allow, cap or Scanner().cap)
 
-    @F.arrow_udf(f"array<{RAW}>")
-    def run(text: pa.Array, path: pa.Array, source: pa.Array) -> pa.Array:
+    def some(text: pa.Array, path: list, source: list) -> pa.Array:
         scanner = _scanner(*key)
         out = []
-        for t, p, s in zip(text, path.to_pylist(), source.to_pylist()):
+        for t, p, s in zip(text, path, source):
             t = t.as_py()
             try:
                 hits = None if t is None else scanner.scan(t, p, s)
@@ -57,6 +58,12 @@ def found(text: Column, path: Column, source: Column, detectors=table.BUILTIN, t
         off = pa.array(np.r_[np.int32(0), np.cumsum(size, dtype=np.int32)], mask=np.r_[[hits is None for hits in out], False] if out else None)
         return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(fields, _ARROW.names))
 
+    @F.arrow_udf(f"array<{RAW}>")
+    def run(text: pa.Array, path: pa.Array, source: pa.Array) -> pa.Array:
+        # Findings are Python objects only of so many items at a time.
+        parts = [some(text[k : k + SLICE], path[k : k + SLICE].to_pylist(), source[k : k + SLICE].to_pylist()) for k in range(0, len(text), SLICE)]
+        return pa.concat_arrays(parts) if parts else some(text, [], [])
+
     return run(text, path, source)
 
 

@@ -77,6 +77,10 @@ class Template:
         """For each pattern of the values the literals of which it needs one."""
         return tuple(dialect.required(rx.pattern) for rx, _ in self._values)
 
+    @cached_property
+    def _heads(self) -> tuple[tuple[tuple[bytes, int], ...], ...]:
+        return tuple(dialect.heads(rx.pattern) for rx, _ in self._values)
+
     @cached_property
     def _tests(self) -> tuple[tuple[Matcher, tuple], ...]:
         return tuple((m, tuple(w.lower().encode() for w in m.words) if m.type == "word" else tuple(map(dialect.compiled_bytes, m.regex))) for m in self.matchers)
@@ -104,8 +108,8 @@ class Template:
                 yield text, 0, len(text)
             return
         seen = set()
-        for rx, group in self._values:
-            for m in rx.finditer(text):
+        for (rx, group), heads in zip(self._values, self._heads):
+            for m in dialect.search(rx, heads, text, low):
                 lo, hi = m.span(group if 0 < group <= rx.groups else 0)
                 value = text[lo:hi]
                 if lo < 0 or value in seen or (self.floor and entropy(value) < self.floor):
