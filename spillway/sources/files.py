@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillway.detect.dialect import path_regex
 from spillway.functions.filters import matches_path
-from spillway.sources.content import normalized, source_of
+from spillway.sources.content import normalized, source_of, text_of
 
 MOST_BYTES = 10 << 20
 SKIP_FOLDERS = tuple(sorted(".git .hg .svn .venv __pycache__ bower_components node_modules target vendor venv".split()))
@@ -44,8 +47,12 @@ def items(files: DataFrame, exclude=(), most_bytes: int = MOST_BYTES, root: str
     """
     path = _named(F.col("path"))
     fit = files.where(_wanted(path, F.col("length"), exclude, most_bytes, root))
-    text = normalized(F.col("content"))
-    return fit.select(F.xxhash64("path").alias("item_id"), text.alias("text"), source_of(path).alias("source"), path.alias("path"), F.lit(None).cast("map<string,string>").alias("meta")).where("text IS NOT NULL")
+    return _items(fit, normalized(F.col("content")))
+
+
+def _items(files: DataFrame, text: Column) -> DataFrame:
+    path = _named(F.col("path"))
+    return files.select(F.xxhash64("path").alias("item_id"), text.alias("text"), source_of(path).alias("source"), path.alias("path"), F.lit(None).cast("map<string,string>").alias("meta")).where("text IS NOT NULL")
 
 
 def resolved(root: str) -> str:
@@ -54,30 +61,91 @@ def resolved(root: str) -> str:
     return os.path.realpath(path) if os.path.islink(path.rstrip("/")) else root
 
 
-def without_links(files: DataFrame, root: str) -> DataFrame:
-    """Files of a local root without those that are links, or below a folder that is one."""
-    links = [os.path.join(at, n) for at, folders, names in os.walk(root) for n in (*folders, *names) if os.path.islink(os.path.join(at, n))]
-    if not links:
-        return files
-    path = _named(F.col("path"))
-    gone = F.lit(False)
-    for link in links:
-        gone = gone | (path == link) | F.startswith(path, F.lit(link + "/"))
-    return files.where(~gone)
+def _passed_over(name: str) -> bool:
+    """Names that Spark's own listing leaves out."""
+    return (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")) and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _folders(root: str) -> tuple[list[str], int]:
+    """A local root and the folders below it, without links and those that are skipped, and how many entries they have."""
+    out, n = [root], 0
+    for at in out:  # which grows
+        with os.scandir(at) as entries:
+            for e in entries:
+                n += 1
+                if e.is_dir(follow_symlinks=False) and e.name not in SKIP_FOLDERS and not _passed_over(e.name):
+                    out.append(e.path)
+    return out, n
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        names, sizes = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(["file:" + n.decode("utf-8", "replace") for n in names], pa.string()), pa.array(sizes, pa.int64())], ["name", "path", "length"])
+
+    for b in batches:
+        for at in b.column(0).to_pylist():
+            rows = []
+            with os.scandir(at) as entries:
+                for e in entries:
+                    if e.is_file(follow_symlinks=False) and not _passed_over(os.fsdecode(e.name)):
+                        rows.append((e.path, e.stat(follow_symlinks=False).st_size))
+                        if len(rows) >= BATCH_ROWS:
+                            yield batch(rows)
+                            rows = []
+            if rows:
+                yield batch(rows)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["path", "text"])
+
+    for b in batches:
+        rows, held = [], 0
+        for name, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            with open(name, "rb") as f:
+                text = text_of(f.read())
+            if text is None:
+                continue
+            rows.append((path, text))
+            held += len(text)
+            if held > BATCH_BYTES:
+                yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+
+BATCH_ROWS, BATCH_BYTES, TASK_FILES = 5000, 4 << 20, 2000
+
+
+def local_items(spark: SparkSession, root: str, exclude=(), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Items of a local folder that all executors see; links below it aren't followed.
+
+    The driver learns the folders alone; executors list them and read the files, so many for
+    a task: Spark's own reader counts any file as some megabytes, which makes a task for a few.
+    """
+    folders, entries = _folders(root)
+    spread = max(spark.sparkContext.defaultParallelism, entries // TASK_FILES)
+    names = spark.createDataFrame([(bytearray(os.fsencode(f)),) for f in folders], "folder binary").repartition(min(spread, len(folders))).mapInArrow(_list, "name binary, path string, length long")
+    fit = names.where(_wanted(_named(F.col("path")), F.col("length"), exclude, most_bytes, root)).select("name", "path")
+    return _items(fit.repartition(spread, "name").mapInArrow(_read, "path string, text string"), F.col("text"))
 
 
 def folder(spark: SparkSession, root: str, exclude=(), most_bytes: int = MOST_BYTES) -> DataFrame:
     root = resolved(root).rstrip("/")
-    found = binary_files(spark, root)
-    return items(without_links(found, root) if os.path.isdir(root) else found, exclude, most_bytes, root)
+    local = re.sub("^file:/+", "/", root)
+    if os.path.isdir(local):
+        return local_items(spark, local, exclude, most_bytes)
+    return items(binary_files(spark, root), exclude, most_bytes, root)
 
 
 def file_list(spark: SparkSession, paths, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Items of the files named, whatever their extension; a link that is named is followed."""
     paths = [resolved(p) for p in paths]
     files = binary_files(spark, *paths, recursive=False).where(F.col("length").between(1, most_bytes))
-    path = _named(F.col("path"))
-    return files.select(F.xxhash64("path").alias("item_id"), normalized(F.col("content")).alias("text"), source_of(path).alias("source"), path.alias("path"), F.lit(None).cast("map<string,string>").alias("meta")).where("text IS NOT NULL")
+    return _items(files, normalized(F.col("content")))
 
 
 def stdin(spark: SparkSession, text: str) -> DataFrame:
@@ -149,4 +217,4 @@ def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("r.value", "r.text", "r.source", "r.origin", label.alias("label_binary"), "r.label_type", "r.context", "r.span", extra.alias("extra"))
 
 
-__all__ = ["binary_files", "file_list", "folder", "items", "labelled_corpus", "path_regex", "stdin", "targets", "total_bytes"]
+__all__ = ["binary_files", "file_list", "folder", "items", "labelled_corpus", "local_items", "path_regex", "stdin", "targets", "total_bytes"]
