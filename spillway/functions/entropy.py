@@ -72,7 +72,55 @@ PROFILE = ("shannon", "normalized", "base64", "hex", "bigram", "diversity")
 
 
 def profiles(s: pa.Array) -> np.ndarray:
-    """All of PROFILE of each string, a column each, in one pass over its code points; zeros for an empty or null string."""
+    """All of PROFILE of each string, a column each, in one pass over its code points; zeros for an empty or null string.
+
+    Each different string is worked out once.
+    """
+    code = pc.fill_null(s, "").dictionary_encode()
+    values = code.dictionary
+    out, plain = np.zeros((len(values), len(PROFILE))), np.asarray(pc.string_is_ascii(values))
+    for kind, of in ((plain, _ascii_profiles), (~plain, _any_profiles)):
+        if kind.any():
+            out[kind] = of(values.filter(pa.array(kind)))
+    return out[np.asarray(code.indices)]
+
+
+def _ascii_profiles(s: pa.Array) -> np.ndarray:
+    """profiles() by counts in a table of 128 symbols for each string; only pairs are sorted.  The terms and their order are those of _spread()."""
+    out = np.zeros((len(s), len(PROFILE)))
+
+    def bits(row, count, rows) -> np.ndarray:
+        p = count / np.bincount(row, count, rows)[row]
+        return np.bincount(row, -p * np.log2(p), rows) + 0.0
+
+    for part in _parts(s, 1 << 20):
+        units, off = _units(s[part], "char")
+        size, rows = np.diff(off), len(off) - 1
+        row = np.repeat(np.arange(rows), size)
+        table = np.bincount(row << 7 | units, minlength=rows << 7)
+        at = np.flatnonzero(table)
+        of, count, symbol = at >> 7, table[at], at & 127
+        different = np.bincount(of, minlength=rows)
+        whole = bits(of, count, rows)
+        some = [bits(of[ok], count[ok], rows) for ok in (_IN_BASE64[symbol], _IN_HEX[symbol])]
+        last = off[1:][size > 0] - 1
+        table[row[last] << 7 | units[last]] -= 1  # a symbol with another after it
+        at = np.flatnonzero(table)
+        firsts = bits(at >> 7, table[at], rows)
+        inner = np.ones(len(units), bool)
+        inner[last] = False
+        k = np.flatnonzero(inner)
+        key = np.sort(row[k] << 14 | units[k] << 7 | units[k + 1]) if len(k) else np.zeros(0, np.int64)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        pairs = bits(key[new] >> 14, np.diff(np.r_[new, len(key)]), rows)
+        following = np.where(size < 3, 0.0, np.maximum(pairs - firsts, 0.0))
+        normal = np.divide(whole, np.log2(np.maximum(different, 2)), out=np.zeros(rows), where=different >= 2)
+        out[part] = np.stack([whole, normal, *some, following, different / np.maximum(size, 1)], 1)
+    return out
+
+
+def _any_profiles(s: pa.Array) -> np.ndarray:
+    """profiles() of strings of any letters, by sorts."""
     out = np.zeros((len(s), len(PROFILE)))
     for part in _parts(s, 1 << 20):
         units, off = _units(s[part], "char")
@@ -106,6 +154,43 @@ def profile(s: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c.copy()) for c in profiles(s).T], list(PROFILE))
 
 
+SHAPE = ("lower", "upper", "digit", "special", "hex", "vowel", "steps", "digit_run", "alpha_run")
+_letters = "abcdefghijklmnopqrstuvwxyz"
+_CLASSES = np.array([[chr(c) in kind for c in range(128)] for kind in (_letters, _letters.upper(), "0123456789", "".join(chr(c) for c in range(128) if not chr(c).isalnum()), "0123456789abcdefABCDEF", "aeiouAEIOU")])
+
+
+def shapes(s: pa.Array) -> pa.StructArray:
+    """Numbers of symbols of each class, of changes of case, and the longest runs of digits and letters, of ASCII strings; null for others."""
+    code = pc.fill_null(s, "").dictionary_encode()
+    ok = pc.string_is_ascii(code.dictionary)
+    values = pc.if_else(ok, code.dictionary, "")
+    out = np.zeros((len(values), len(SHAPE)))
+    for part in _parts(values, 1 << 20):
+        units, off = _units(values[part], "char")
+        size, rows = np.diff(off), len(off) - 1
+        row = np.repeat(np.arange(rows), size)
+        count = lambda flags: np.bincount(row[flags], minlength=rows)  # noqa: E731, B023
+        is_ = _CLASSES[:, units]
+        lower, upper, digit = is_[:3]
+        same = row[1:] == row[:-1]
+        change = np.flatnonzero(((lower[:-1] & upper[1:]) | (upper[:-1] & lower[1:])) & same)
+        runs = []
+        for flags in (digit, lower | upper):
+            first = np.flatnonzero(flags & np.r_[True, ~(flags[:-1] & same)][: len(flags)])
+            last = np.flatnonzero(flags & np.r_[~(flags[1:] & same), True][: len(flags)])
+            most = np.zeros(rows, np.int64)
+            np.maximum.at(most, row[first], last - first + 1)
+            runs.append(most)
+        out[part] = np.stack([*map(count, is_), np.bincount(row[change], minlength=rows), *runs], 1)
+    take, mask = np.asarray(code.indices), ~np.asarray(ok)
+    return pa.StructArray.from_arrays([pa.array(c) for c in out[take].T.copy()], list(SHAPE), mask=pa.array(mask[take]))
+
+
+@F.arrow_udf(StructType([StructField(n, DoubleType()) for n in SHAPE]))
+def shape(s: pa.Array) -> pa.Array:
+    return shapes(s)
+
+
 @F.arrow_udf(DoubleType())
 def text_entropy(s: pa.Array) -> pa.Array:
     """shannon_char() of texts of any length, in time that doesn't grow with the number of different symbols."""
