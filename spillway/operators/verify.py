@@ -131,10 +131,19 @@ def route(rows: DataFrame, anchors: DataFrame, key: str = "finding_id") -> DataF
     A type decides before a value, a longer anchor before a shorter one, an earlier verifier
     before a later one.  The anchors are the rule table, a few hundred rows whatever the corpus.
     """
-    low = rows.select(key, F.lower("type").alias("__t"), F.lower("value").alias("__v"))
-    score = _score(F.col("__t"), F.col("__v"), F.col("verifier"), F.col("anchor"))
-    pairs = low.join(F.broadcast(anchors), F.contains("__t", "anchor") | F.contains("__v", "anchor")).withColumn("score", score).where("score IS NOT NULL")
-    return pairs.groupBy(key).agg(F.max_by("verifier", F.struct("score", -F.col("ord"))).alias("verifier"))
+    return routed(rows, anchors).where("verifier IS NOT NULL").groupBy(key).agg(F.max_by("verifier", F.struct("__score", "__ord")).alias("verifier"))
+
+
+def routed(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows with their verifier, null if there is none, and __score and __ord, by which it was chosen; a narrow pass."""
+    each = anchors.agg(F.collect_list(F.struct("anchor", "verifier", "ord")).alias("__anchors"))
+    low = rows.crossJoin(F.broadcast(each)).withColumns({"__t": F.lower("type"), "__v": F.lower("value")})
+    # No anchor holds a NUL, so one search in both is a search in each.
+    held = F.filter("__anchors", lambda a: F.contains(F.concat_ws("\0", "__t", "__v"), a["anchor"]))
+    score = lambda a: _score(F.col("__t"), F.col("__v"), a["verifier"], a["anchor"])
+    best = F.array_max(F.filter(F.transform("__held", lambda a: F.struct(score(a).alias("score"), (-a["ord"]).alias("ord"), a["verifier"].alias("verifier"))), lambda x: x["score"].isNotNull()))
+    out = low.withColumn("__held", held).withColumn("__best", F.when(F.size("__held") > 0, best))
+    return out.select(*rows.columns, F.col("__best.verifier").alias("verifier"), F.col("__best.score").alias("__score"), F.col("__best.ord").alias("__ord"))
 
 
 @dataclass(frozen=True)
