@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.sources.content import normalized, strings
+from spillway.sources.content import normalized, printable, strings, text_of
 
 ENTRY_BYTES, ARCHIVE_BYTES, ENTRIES = 64 << 20, 1 << 30, 200_000
 TEXT = tuple(sorted("bundle cfg conf css env graphql gradle htm html ini js json kt md pem plist properties smali strings toml ts txt xml yaml yml".split()))
@@ -28,9 +28,11 @@ def _open(b: bytes) -> bytes:
     return gzip.decompress(b) if b[:2] == b"\x1f\x8b" else lzma.decompress(b) if b[:6] == b"\xfd7zXZ\0" else b
 
 
-def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _layers(batches: Iterator[pa.RecordBatch], read=None) -> Iterator[pa.RecordBatch]:
+    """Entries of layers, one layer in memory at a time; read(bytes) instead of the bytes, if it is given."""
     for batch in batches:
-        for label, layer, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for row in zip(*batch.columns):
+            label, layer, content = (x.as_py() for x in row)
             rows: list[tuple] = []
             held = 0
             try:
@@ -38,39 +40,47 @@ def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for seq, e in enumerate(tar):
                         kind = "dir" if e.isdir() else "file" if e.isfile() else "link"
                         data = tar.extractfile(e).read() if e.isfile() and e.size <= ENTRY_BYTES else None
-                        rows.append((label, layer, seq, e.name.removeprefix("./").strip("/"), kind, e.size, data))
+                        rows.append((label, layer, seq, e.name.removeprefix("./").strip("/"), kind, e.size, read(data) if read and data is not None else data))
                         held += len(data or b"")
-                        if held > 32 << 20:
-                            yield _batch(rows)
+                        tar.members = []  # else a layer's entries are all kept
+                        if held > BATCH_BYTES:
+                            yield _batch(rows, read)
                             rows, held = [], 0
             except (tarfile.TarError, EOFError, OSError, lzma.LZMAError, zlib.error) as e:  # the entries before the damage stay
                 rows.append((label, layer, -1, f"{type(e).__name__}: {e}"[:200], "error", 0, None))
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, read)
 
 
-_LAYER = "label string, layer int, seq int, path string, entry string, size long, content binary"
+_LAYER = "label string, layer int, seq int, path string, entry string, size long, "
+BATCH_BYTES = 4 << 20
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["label", "layer", "seq", "path", "entry", "size", "content"])
+def _batch(rows: list[tuple], read) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string() if read else pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["label", "layer", "seq", "path", "entry", "size", "text" if read else "content"])
 
 
 def layer_entries(layers: DataFrame) -> DataFrame:
     """Tar entries of layers: label, layer, content (tar, gzip or xz).  A damaged layer ends in an entry of kind error that says why."""
-    return layers.select("label", "layer", "content").mapInArrow(_layers, _LAYER)
+    return layers.select("label", "layer", "content").mapInArrow(_layers, _LAYER + "content binary")
+
+
+def layer_texts(layers: DataFrame) -> DataFrame:
+    """layer_entries() with the text of each in place of its bytes, which never leave the pass that reads them."""
+    return layers.select("label", "layer", "content").mapInArrow(lambda batches: _layers(batches, text_of), _LAYER + "text string")
 
 
 def layer_items(entries: DataFrame, instructions: DataFrame | None = None, most_bytes: int = 10 << 20) -> DataFrame:
-    """Items label|layerN:path, with the step that made the layer in meta."""
+    """Items label|layerN:path of layer_entries() or layer_texts(), with the step that made the layer in meta."""
     rows = entries.where(F.col("size").between(1, most_bytes) & (F.col("entry") == "file"))
     step = F.lit(None).cast("string")
     if instructions is not None:
         rows, step = rows.join(instructions, ["label", "layer"], "left"), F.col("instruction")
     path = F.concat("label", F.lit("|layer"), F.col("layer").cast("string"), F.lit(":"), "path")
     meta = F.when(step.isNotNull(), F.create_map(F.lit("instruction"), step))
-    return rows.select(F.xxhash64("label", "layer", "path").alias("item_id"), normalized(F.col("content")).alias("text"), F.lit("code").alias("source"), path.alias("path"), meta.alias("meta")).where("text IS NOT NULL")
+    text = F.col("text") if "text" in rows.columns else normalized(F.col("content"))
+    return rows.select(F.xxhash64("label", "layer", "path").alias("item_id"), text.alias("text"), F.lit("code").alias("source"), path.alias("path"), meta.alias("meta")).where("text IS NOT NULL")
 
 
 _CONFIG = (
@@ -168,27 +178,51 @@ def classify(name: Column) -> Column:
     return F.when(F.endswith(name, F.lit("/")) | ext.isin(*SKIP), "skip").when(ext.isin(*BINARY_STRINGS), "strings").when(ext.isin(*TEXT), "text").otherwise("strings")
 
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def kind_of(name: str) -> str:
+    """classify() of one name."""
+    last = name.rpartition("/")[2]
+    ext = last.rpartition(".")[2].lower() if "." in last else ""
+    return "skip" if name.endswith("/") or ext in SKIP else "strings" if ext in BINARY_STRINGS else "text" if ext in TEXT else "strings"
+
+
+def _entry_text(name: str, data: bytes) -> str | None:
+    kind = kind_of(name)
+    if kind == "skip":
+        return None
+    text = text_of(data) if kind == "text" else None
+    return printable(data) if text is None else text
+
+
+def _unzip(batches: Iterator[pa.RecordBatch], read=None) -> Iterator[pa.RecordBatch]:
+    """Entries of packages, one package in memory at a time; read(name, bytes) instead of the bytes, if it is given."""
     for batch in batches:
-        for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total = 0
+        for row in zip(*batch.columns):
+            archive, content = (x.as_py() for x in row)
+            total, rows, held = 0, [], 0
             try:
                 z = zipfile.ZipFile(io.BytesIO(content or b""))
             except zipfile.BadZipFile:
-                yield _entry(archive, 0, None, 0, None, "not a package")
+                yield _entries([(archive, 0, None, 0, None, "not a package")], read)
                 continue
             for k, e in enumerate(z.infolist()):
                 total += e.file_size
                 if k >= ENTRIES or total > ARCHIVE_BYTES:
-                    yield _entry(archive, k, None, 0, None, "cut at its budget")
+                    rows.append((archive, k, None, 0, None, "cut at its budget"))
                     break
                 if not e.is_dir() and e.file_size <= ENTRY_BYTES:
-                    yield _entry(archive, k, e.filename, e.file_size, z.read(e), None)
+                    data = z.read(e)
+                    rows.append((archive, k, e.filename, e.file_size, read(e.filename, data) if read else data, None))
+                    held += len(data)
+                    if held > BATCH_BYTES:
+                        yield _entries(rows, read)
+                        rows, held = [], 0
+            if rows:
+                yield _entries(rows, read)
 
 
-def _entry(archive, k, name, size, data, error) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((archive, k, name, size, data, error), kinds)], ["archive", "seq", "name", "size", "content", "error"])
+def _entries(rows: list[tuple], read) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string() if read else pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["archive", "seq", "name", "size", "text" if read else "content", "error"])
 
 
 def package_entries(archives: DataFrame) -> DataFrame:
@@ -196,8 +230,15 @@ def package_entries(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(_unzip, "archive string, seq int, name string, size long, content binary, error string")
 
 
+def package_texts(archives: DataFrame) -> DataFrame:
+    """package_entries() with the text of each in place of its bytes, which never leave the pass that reads them; null for what isn't read."""
+    return archives.select("archive", "content").mapInArrow(lambda batches: _unzip(batches, _entry_text), "archive string, seq int, name string, size long, text string, error string")
+
+
 def package_items(entries: DataFrame) -> DataFrame:
-    """Items archive!name: texts, or the printable strings of binary entries and of texts that turn out binary."""
-    rows = entries.where("error IS NULL").withColumn("kind", classify(F.col("name"))).where("kind != 'skip'")
-    text = F.coalesce(F.when(F.col("kind") == "text", normalized(F.col("content"))), strings(F.col("content")))
+    """Items archive!name of package_entries() or package_texts(): texts, or the printable strings of binary entries and of texts that turn out binary."""
+    rows, text = entries.where("error IS NULL"), F.col("text")
+    if "text" not in entries.columns:
+        rows = rows.withColumn("kind", classify(F.col("name"))).where("kind != 'skip'")
+        text = F.coalesce(F.when(F.col("kind") == "text", normalized(F.col("content"))), strings(F.col("content")))
     return rows.select(F.xxhash64("archive", "seq").alias("item_id"), text.alias("text"), F.lit("code").alias("source"), F.concat("archive", F.lit("!"), "name").alias("path"), F.lit(None).cast("map<string,string>").alias("meta")).where("text != ''")

@@ -64,15 +64,31 @@ def printable(b: bytes) -> str:
     return b"\n".join(rows).decode("ascii")
 
 
+SLICE_BYTES = 1 << 20
+
+
+def by_slices(f, content: pa.Array, *others: pa.Array) -> pa.Array:
+    """f of each value, with about SLICE_BYTES of them as Python objects at a time."""
+    out, rows, held = [], [], 0
+    for x in zip(content, *others):
+        rows.append(f(*(v.as_py() for v in x)))
+        held += len(rows[-1] or "")
+        if held > SLICE_BYTES:
+            out.append(pa.array(rows, pa.string()))
+            rows, held = [], 0
+    out.append(pa.array(rows, pa.string()))
+    return pa.concat_arrays(out)
+
+
 @F.arrow_udf(StringType())
 def normalized(content: pa.Array) -> pa.Array:
     """Text of a file's bytes in any of the known sets; null for binary, empty and null contents."""
-    return pa.array([text_of(x) for x in content.to_pylist()], pa.string())
+    return by_slices(text_of, content)
 
 
 @F.arrow_udf(StringType())
 def strings(content: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else printable(x) for x in content.to_pylist()], pa.string())
+    return by_slices(lambda x: None if x is None else printable(x), content)
 
 
 def source_of(path: Column) -> Column:
