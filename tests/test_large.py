@@ -195,3 +195,11 @@ def test_features_of_other_letters_are_as_before(spark):
 def test_entropies_come_from_one_kernel(spark, tmp_path, query):
     plan = query(spark, table_of(spark, tmp_path, [(1, "x", "en", "s", 1)]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan
+
+
+def test_native_entropies_are_those_of_the_kernel(spark):
+    v, h = F.col("v"), E.profile(F.col("v"))
+    native = {"shannon": E.shannon_char(v), "normalized": E.normalized(v), "base64": E.restricted(v, "A-Za-z0-9+/=_\\-"), "hex": E.restricted(v, "0-9A-Fa-f"), "diversity": E.diversity(v)}
+    rows = spark.createDataFrame([(x,) for x in (*seeds.VALUES, "", "é日é", "𝄞a𝄞")], "v string")
+    got = rows.select("v", *(F.round(c, 6).alias(f"{n}_a") for n, c in native.items()), *(F.round(h[n], 6).alias(f"{n}_b") for n in native)).collect()
+    assert len(got) == len(seeds.VALUES) + 3 and all(r[f"{n}_a"] == r[f"{n}_b"] for r in got for n in native)
